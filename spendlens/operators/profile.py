@@ -35,7 +35,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def _unpivot(row: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One wide row with ``<col>__<field>`` -> one row per column."""
     structs = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{f}").alias(f) for f in fields]) for c in columns
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{f}").alias(f) for f in fields]) for c in columns
     ]
     return row.select(F.inline(F.array(*structs)))
 
@@ -64,14 +64,14 @@ def outlier_limits(
     wide: bool = False,
 ) -> DataFrame:
     """O-19: ``low = q1 - 1.5 IQR``, ``up = q3 + 1.5 IQR`` per column (linear
-    quantiles). Long ``(column, q1, q3, iqr, low_limit, up_limit)``, or one wide row
+    quantiles). Long ``(column_name, q1, q3, iqr, low_limit, up_limit)``, or one wide row
     with ``<col>__low`` / ``<col>__up`` when ``wide``."""
     probs = [lower_q, upper_q]
     qs = Q.column_quantiles(df, columns, probs) if exact else Q.approx_column_quantiles(df, columns, probs)
-    p = Q.pivot_probs(qs, ["column"], {lower_q: "q1", upper_q: "q3"})
+    p = Q.pivot_probs(qs, ["column_name"], {lower_q: "q1", upper_q: "q3"})
     iqr = F.col("q3") - F.col("q1")
     long = p.select(
-        "column",
+        "column_name",
         "q1",
         "q3",
         iqr.alias("iqr"),
@@ -82,8 +82,8 @@ def outlier_limits(
         return long
     aggs: list[Column] = []
     for c in columns:
-        aggs.append(F.max(F.when(F.col("column") == c, F.col("low_limit"))).alias(f"{c}__low"))
-        aggs.append(F.max(F.when(F.col("column") == c, F.col("up_limit"))).alias(f"{c}__up"))
+        aggs.append(F.max(F.when(F.col("column_name") == c, F.col("low_limit"))).alias(f"{c}__low"))
+        aggs.append(F.max(F.when(F.col("column_name") == c, F.col("up_limit"))).alias(f"{c}__up"))
     return long.agg(*aggs)
 
 
@@ -95,12 +95,12 @@ def outlier_check(
     exact: bool = True,
 ) -> DataFrame:
     """O-18: does any value lie outside the limits (20/80 by default)?
-    ``(column, low_limit, up_limit, n_outliers, has_outlier)``.
+    ``(column_name, low_limit, up_limit, n_outliers, has_outlier)``.
 
     The limits are one scalar-subquery row; the counts are one aggregate pass over
     ``df`` with a conditional count per column."""
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, low_limit double, up_limit double, "
+        return df.sparkSession.createDataFrame([], "column_name string, low_limit double, up_limit double, "
                                                "n_outliers bigint, has_outlier boolean")
     lim = outlier_limits(df, columns, lower_q, upper_q, exact=exact, wide=True)
     s = lim.select(F.struct(*[F.col(c) for c in lim.columns]).alias("s")).scalar()
@@ -140,7 +140,7 @@ def column_classes(df: DataFrame, cat_th: int = 10, car_th: int = 20) -> DataFra
         )
         rows.append(
             F.struct(
-                F.lit(f.name).alias("column"),
+                F.lit(f.name).alias("column_name"),
                 F.lit(f.dataType.simpleString()).alias("dtype"),
                 F.lit(kind).alias("_kind"),
                 F.col(f"{f.name}__n_unique").alias("n_unique"),
@@ -156,7 +156,7 @@ def column_classes(df: DataFrame, cat_th: int = 10, car_th: int = 20) -> DataFra
         .otherwise("other")
     )
     return out.select(
-        "column",
+        "column_name",
         "dtype",
         "n_unique",
         cls.alias("class"),
@@ -168,9 +168,9 @@ def class_lists(classes: DataFrame) -> dict[str, list[str]]:
     """Small metadata (one row per column) as the three lists of the source."""
     rows = classes.collect()
     return {
-        "cat_cols": [r["column"] for r in rows if r["class"] == "categorical"],
-        "num_cols": [r["column"] for r in rows if r["class"] == "numeric"],
-        "cat_but_car": [r["column"] for r in rows if r["class"] == "cardinal"],
+        "cat_cols": [r["column_name"] for r in rows if r["class"] == "categorical"],
+        "num_cols": [r["column_name"] for r in rows if r["class"] == "numeric"],
+        "cat_but_car": [r["column_name"] for r in rows if r["class"] == "cardinal"],
     }
 
 
@@ -192,7 +192,7 @@ def column_class_summary(df: DataFrame, cat_th: int = 10, car_th: int = 20) -> D
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """O-24: ``(column, n_null)`` from one aggregate."""
+    """O-24: ``(column_name, n_null)`` from one aggregate."""
     cols = df.columns
     wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}__n_null") for c in cols])
     return _unpivot(wide, cols, ["n_null"])
@@ -205,7 +205,7 @@ def quantile_profile(
     probability (``q_0``, ``q_0_05``, ...)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
     qs = Q.column_quantiles(df, cols, probs)
-    return Q.pivot_probs(qs, ["column"], {p: prob_name(p) for p in probs})
+    return Q.pivot_probs(qs, ["column_name"], {p: prob_name(p) for p in probs})
 
 
 def prob_name(p: float) -> str:
@@ -217,16 +217,16 @@ def table_profile(df: DataFrame, probs: Sequence[float] = PROFILE_QUANTILES) ->
     n_rows = df.select(F.count(F.lit(1))).scalar()
     types = df.sparkSession.createDataFrame(
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
-        "position int, column string, dtype string",
+        "position int, column_name string, dtype string",
     )
     nulls = null_counts(df)
     qp = quantile_profile(df, numeric_columns(df), probs)
     return (
-        types.join(nulls, "column")
-        .join(qp, "column", "left")
+        types.join(nulls, "column_name")
+        .join(qp, "column_name", "left")
         .select(
             "position",
-            "column",
+            "column_name",
             "dtype",
             n_rows.alias("n_rows"),
             F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
@@ -240,7 +240,7 @@ def table_profile(df: DataFrame, probs: Sequence[float] = PROFILE_QUANTILES) ->
 
 
 def _column_stats(long: DataFrame) -> DataFrame:
-    return long.groupBy("column").agg(
+    return long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("value").alias("vmin"),
         F.max("value").alias("vmax"),
@@ -258,18 +258,18 @@ def _edges(stats: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = HIST_BINS) -> DataFrame:
     """O-47: equal-width bins over [min, max] per column, last bin right-closed,
-    empty bins included: ``(column, bin, bin_start, bin_end, count)``."""
+    empty bins included: ``(column_name, bin, bin_start, bin_end, count)``."""
     long = Q.to_long(df, columns)
     edges = _edges(_column_stats(long))
     scale = F.lit(float(bins)) / (F.col("hi") - F.col("lo"))
     idx = F.least(F.floor((F.col("value") - F.col("lo")) * scale).cast("int"), F.lit(bins - 1))
-    counts = long.join(edges.select("column", "lo", "hi"), "column").groupBy("column", idx.alias("bin")).agg(
+    counts = long.join(edges.select("column_name", "lo", "hi"), "column_name").groupBy("column_name", idx.alias("bin")).agg(
         F.count(F.lit(1)).alias("count")
     )
-    grid = edges.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = edges.select("column_name", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
-    return grid.join(counts, ["column", "bin"], "left").select(
-        "column",
+    return grid.join(counts, ["column_name", "bin"], "left").select(
+        "column_name",
         "bin",
         (F.col("lo") + width * F.col("bin")).alias("bin_start"),
         (F.col("lo") + width * (F.col("bin") + 1)).alias("bin_end"),
@@ -282,7 +282,7 @@ def kde_curve(
 ) -> DataFrame:
     """O-48: Gaussian kernel density per column on ``grid`` points over [min, max],
     Scott bandwidth ``sd * n^(-1/5)``, scaled to the count histogram
-    (``density * n * bin width``): ``(column, point, x, density)``.
+    (``density * n * bin width``): ``(column_name, point, x, density)``.
 
     Values are first reduced to distinct ``(value, cnt)``; each distinct value then
     adds its kernel to every grid point (a fixed fan-out of ``grid``), summed with
@@ -290,24 +290,24 @@ def kde_curve(
     """
     long = Q.to_long(df, columns)
     stats = _column_stats(long).where(F.col("n") > 1)
-    vc = Q.value_counts(long, ["column"])
+    vc = Q.value_counts(long, ["column_name"])
     h = F.sqrt("var") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     step = (F.col("vmax") - F.col("vmin")) / F.lit(float(grid - 1))
     params = stats.select(
-        "column", "n", "vmin", "vmax", h.alias("bw"), step.alias("step"),
+        "column_name", "n", "vmin", "vmax", h.alias("bw"), step.alias("step"),
         ((F.col("vmax") - F.col("vmin")) / F.lit(float(bins))).alias("binw"),
     )
-    pts = vc.join(params, "column").select(
-        "column", "value", "cnt", "bw", "vmin", "step",
+    pts = vc.join(params, "column_name").select(
+        "column_name", "value", "cnt", "bw", "vmin", "step",
         F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"),
     )
     x = F.col("vmin") + F.col("step") * F.col("point")
     z = (x - F.col("value")) / F.col("bw")
     contrib = F.col("cnt") * F.exp(F.lit(-0.5) * z * z)
-    sums = pts.groupBy("column", "point").agg(F.sum(contrib).alias("_k"))
+    sums = pts.groupBy("column_name", "point").agg(F.sum(contrib).alias("_k"))
     norm = F.col("bw") * F.lit(math.sqrt(2 * math.pi)) * F.col("n")
-    return sums.join(params, "column").select(
-        "column",
+    return sums.join(params, "column_name").select(
+        "column_name",
         "point",
         F.round(F.col("vmin") + F.col("step") * F.col("point"), digits).alias("x"),
         F.round(F.col("_k") / norm * F.col("n") * F.col("binw"), digits).alias("density"),

@@ -12,9 +12,9 @@ which does not survive a high-cardinality column at scale. Here:
    sum inside each bucket gives every distinct value its rank interval;
 4. the ranks the interpolation needs, ``floor(h)`` and ``floor(h)+1`` with
    ``h = (n-1)p``, are looked up by an equi-join on the keys plus a range
-   condition, and ``q = lo + (hi - lo) * (h - floor(h))``.
+   condition, and interpolated as NumPy does (``lerp``).
 
-The result equals pandas/NumPy ``quantile`` (linear) and SQL ``quantile_cont``.
+The result equals pandas/NumPy ``quantile`` with linear interpolation bit for bit.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 
-def to_long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), name: str = "column") -> DataFrame:
+
+def to_long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), name: str = "column_name") -> DataFrame:
     """Stack numeric ``columns`` into ``(keys..., column, value)``, nulls removed."""
     cells = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns])
     return df.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
@@ -42,11 +44,21 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def ranked_values(long: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+def lerp(a: Column, b: Column, t: Column) -> Column:
+    """Linear interpolation as NumPy computes it (so results equal pandas' linear
+    quantile to the last bit): ``a + (b-a)t`` below one half, ``b - (b-a)(1-t)`` from it."""
+    d = b - a
+    return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+
+
+def ranked_values(
+    long: DataFrame, keys: Sequence[str], buckets: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Distinct values per key with their rank interval ``[rank_lo, rank_hi)`` in the
-    sorted multiset and the key's total count ``n``."""
+    sorted multiset, and the per-key totals ``(keys, n)``."""
     keys = list(keys)
-    vc = value_counts(long, keys)
+    # The only pass over the input; everything after reads these distinct values.
+    vc = checkpointed(value_counts(long, keys))
     b = _bucket_count(long, buckets)
     probs = [i / b for i in range(1, b)]
     splits = vc.groupBy(*keys).agg(F.percentile_approx("value", probs, 10000).alias("_splits"))
@@ -67,14 +79,13 @@ def ranked_values(long: DataFrame, keys: Sequence[str], buckets: int | None = No
     )
     in_bucket = W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = vc.withColumn("_run", F.sum("cnt").over(in_bucket)).join(totals, [*keys, "_bucket"])
-    return ranked.select(
+    ranked = ranked.select(
         *keys,
         "value",
-        "cnt",
         (F.col("_offset") + F.col("_run") - F.col("cnt")).alias("rank_lo"),
         (F.col("_offset") + F.col("_run")).alias("rank_hi"),
-        "n",
     )
+    return ranked, totals.select(*keys, "n").distinct()
 
 
 def quantiles(
@@ -84,40 +95,43 @@ def quantiles(
     buckets: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``keys``:
-    rows ``(keys..., p, q)`` for every key with at least one value."""
+    rows ``(keys..., p, q)`` for every key with at least one value.
+
+    The two order statistics per (key, p) are found by one join of the ranked
+    values with the (small) target table on the keys plus a rank-range condition,
+    and combined by one aggregate."""
     keys = list(keys)
-    ranked = ranked_values(long, keys, buckets)
-    per_key = ranked.select(*keys, "n").distinct() if keys else ranked.select("n").limit(1)
+    ranked, per_key = ranked_values(long, keys, buckets)
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = per_key.select(*keys, "n", F.explode(p_arr).alias("p")).select(
-        *keys,
-        "p",
-        ((F.col("n") - 1).cast("double") * F.col("p")).alias("_h"),
+    h = (F.col("n") - 1).cast("double") * F.col("p")
+    targets = (
+        per_key.select(*keys, "n", F.explode(p_arr).alias("p"))
+        .select(*keys, "p", h.alias("_h"))
+        .withColumn("_lo", F.floor("_h").cast("bigint"))
+        .withColumn("_hi", F.when(F.col("_h") > F.col("_lo"), F.col("_lo") + 1).otherwise(F.col("_lo")))
+        .alias("t")
     )
-    targets = targets.select(
-        *keys,
-        "p",
-        "_h",
-        F.floor("_h").cast("bigint").alias("_lo"),
-    ).withColumn("_hi", F.when(F.col("_h") > F.col("_lo"), F.col("_lo") + 1).otherwise(F.col("_lo")))
-    wanted = targets.select(*keys, "p", F.explode(F.array(F.col("_lo"), F.col("_hi"))).alias("_rank")).distinct()
-    cond = [wanted[k] == ranked[k] for k in keys] + [
-        ranked["rank_lo"] <= wanted["_rank"],
-        wanted["_rank"] < ranked["rank_hi"],
+    r = ranked.alias("r")
+    cond = [F.col(f"t.{k}") == F.col(f"r.{k}") for k in keys] + [
+        F.col("r.rank_lo") <= F.col("t._hi"),
+        F.col("t._lo") < F.col("r.rank_hi"),
     ]
-    hits = wanted.join(ranked, cond).select(*[wanted[k] for k in keys], wanted["p"], wanted["_rank"], ranked["value"])
-    lo = hits.select(*keys, "p", F.col("_rank").alias("_lo"), F.col("value").alias("_vlo"))
-    hi = hits.select(*keys, "p", F.col("_rank").alias("_hi"), F.col("value").alias("_vhi"))
-    out = targets.join(lo, [*keys, "p", "_lo"]).join(hi, [*keys, "p", "_hi"])
-    frac = F.col("_h") - F.col("_lo").cast("double")
-    return out.select(*keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q"))
+    rlo, rhi, value = F.col("r.rank_lo"), F.col("r.rank_hi"), F.col("r.value")
+    lo, hi = F.col("t._lo"), F.col("t._hi")
+    group = [F.col(f"t.{k}").alias(k) for k in keys] + [F.col(f"t.{c}").alias(c) for c in ("p", "_h", "_lo")]
+    hits = targets.join(r, cond).groupBy(*group).agg(
+        F.max(F.when((rlo <= lo) & (lo < rhi), value)).alias("_a"),
+        F.max(F.when((rlo <= hi) & (hi < rhi), value)).alias("_b"),
+    )
+    t = F.col("_h") - F.col("_lo").cast("double")
+    return hits.select(*keys, "p", lerp(F.col("_a"), F.col("_b"), t).alias("q"))
 
 
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
-    """Quantiles of several numeric columns at once: ``(column, p, q)``."""
-    return quantiles(to_long(df, columns), probs, keys=["column"], buckets=buckets)
+    """Quantiles of several numeric columns at once: ``(column_name, p, q)``."""
+    return quantiles(to_long(df, columns), probs, keys=["column_name"], buckets=buckets)
 
 
 def approx_column_quantiles(
@@ -125,9 +139,9 @@ def approx_column_quantiles(
 ) -> DataFrame:
     """Bounded-memory alternative (``percentile_approx``), one aggregate."""
     long = to_long(df, columns)
-    agg = long.groupBy("column").agg(F.percentile_approx("value", list(probs), accuracy).alias("_qs"))
+    agg = long.groupBy("column_name").agg(F.percentile_approx("value", list(probs), accuracy).alias("_qs"))
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    return agg.select("column", F.inline(F.arrays_zip(p_arr.alias("p"), F.col("_qs").alias("q"))))
+    return agg.select("column_name", F.inline(F.arrays_zip(p_arr.alias("p"), F.col("_qs").alias("q"))))
 
 
 def pivot_probs(q: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:

@@ -352,3 +352,370 @@ def q_top_customers(spark, sf_dir):
 
 # Window helper re-exported for the flagship query.
 __all__ = ["QUERIES", "ORACLE", "W"]
+
+
+# ------------------------------------------------------------------ cleaning and profiling
+
+# Product columns as the source classifies them (cat_th=10, car_th=15): every
+# numeric column (the fixture's integer product id included, as the type-based rule
+# has it); the photo count (6 values) counts as categorical.
+CAT_TH, CAR_TH = 10, 15
+
+
+def _num_cols(t) -> list[str]:
+    """The source's ``num_cols`` of the products table (small metadata: one row per
+    product column)."""
+    return profile.class_lists(profile.column_classes(t.products, CAT_TH, CAR_TH))["num_cols"]
+
+
+NUM_COLS_SQL = [
+    "product_id",
+    "product_name_lenght",
+    "product_description_lenght",
+    "product_weight_g",
+    "product_length_cm",
+    "product_height_cm",
+    "product_width_cm",
+]
+
+
+def _union(parts: list[str]) -> str:
+    return "\nunion all\n".join(parts)
+
+
+def _limits_sql(lq: float, uq: float) -> str:
+    return _union(
+        [
+            f"""select '{c}' as column_name, {O.np_quantile(c, lq)} as q1, {O.np_quantile(c, uq)} as q3
+from sales_fanout"""
+            for c in NUM_COLS_SQL
+        ]
+    )
+
+
+LIMITS_BODY = """
+select column_name, q1, q3, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as low_limit, q3 + 1.5 * (q3 - q1) as up_limit
+from qs"""
+
+
+@register("outlier_thresholds", O.sql(LIMITS_BODY, upto="sales_fanout", extra={"qs": _limits_sql(0.25, 0.75)}))
+def q_outlier_thresholds(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return profile.outlier_limits(assemble.denormalize(t), _num_cols(t))
+
+
+@register(
+    "outlier_check",
+    O.sql(
+        """
+select l.column_name, l.low_limit, l.up_limit, n.n_outliers, n.n_outliers > 0 as has_outlier
+from lim l join counts n on l.column_name = n.column_name""",
+        upto="sales_fanout",
+        extra={
+            "qs": _limits_sql(0.2, 0.8),
+            "lim": LIMITS_BODY,
+            "counts": _union(
+                [
+                    f"""select '{c}' as column_name, count(*) filter (where s.{c} > l.up_limit or s.{c} < l.low_limit)
+  as n_outliers from sales_fanout s, (select * from lim where column_name = '{c}') l"""
+                    for c in NUM_COLS_SQL
+                ]
+            ),
+        },
+    ),
+)
+def q_outlier_check(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return profile.outlier_check(assemble.denormalize(t), _num_cols(t))
+
+
+def _winsor_sql() -> str:
+    sel = ",\n".join(
+        f"""case when s.{c} < l{i}.low_limit then l{i}.low_limit when s.{c} > l{i}.up_limit then l{i}.up_limit
+     else s.{c} end as {c}"""
+        for i, c in enumerate(NUM_COLS_SQL)
+    )
+    src = ", ".join(f"(select * from lim where column_name = '{c}') l{i}" for i, c in enumerate(NUM_COLS_SQL))
+    return f"""
+select s.order_id, s.order_item_id, s.payment_sequential, {sel}
+from sales_fanout s, {src}"""
+
+
+@register(
+    "winsorize",
+    O.sql(_winsor_sql(), upto="sales_fanout", extra={"qs": _limits_sql(0.25, 0.75), "lim": LIMITS_BODY}),
+)
+def q_winsorize(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    cols = _num_cols(t)
+    capped = clean.winsorize(assemble.denormalize(t), cols)
+    keys = ["order_id", "order_item_id", "product_id", "payment_sequential"]
+    return capped.select(*keys, *[c for c in cols if c not in keys])
+
+
+@register(
+    "fill_delivery_dates",
+    O.sql(
+        """
+select order_id, order_item_id, product_id, payment_sequential,
+       order_delivered_carrier_date, order_delivered_customer_date,
+       cast(order_delivered_carrier_date is null as integer) as order_delivered_carrier_date_missing,
+       coalesce(strftime(order_delivered_carrier_date, '%Y-%m-%d %H:%M:%S'), '0') as order_delivered_carrier_date_filled,
+       cast(order_delivered_customer_date is null as integer) as order_delivered_customer_date_missing,
+       coalesce(strftime(order_delivered_customer_date, '%Y-%m-%d %H:%M:%S'), '0')
+         as order_delivered_customer_date_filled
+from sales_fanout""",
+        upto="sales_fanout",
+    ),
+)
+def q_fill_delivery_dates(spark, sf_dir):
+    df = clean.fill_delivery_dates(assemble.denormalize(_t(spark, sf_dir)))
+    keep = ["order_id", "order_item_id", "product_id", "payment_sequential"]
+    dates = [c for c in df.columns if c.startswith("order_delivered_")]
+    return df.select(*keep, *dates)
+
+
+PRODUCT_TYPES = [
+    ("product_id", "bigint"),
+    ("product_category_name", "string"),
+    ("product_name_lenght", "double"),
+    ("product_description_lenght", "double"),
+    ("product_photos_qty", "double"),
+    ("product_weight_g", "double"),
+    ("product_length_cm", "double"),
+    ("product_height_cm", "double"),
+    ("product_width_cm", "double"),
+]
+
+
+def _classes_sql() -> str:
+    rows = _union(
+        [
+            f"select '{c}' as column_name, '{d}' as dtype, count(distinct {c}) as n_unique, "
+            f"'{'string' if d == 'string' else 'numeric'}' as kind from cv_products"
+            for c, d in PRODUCT_TYPES
+        ]
+    )
+    return f"""
+select column_name, dtype, n_unique,
+       case when kind = 'string' and n_unique > {CAR_TH} then 'cardinal'
+            when kind = 'string' then 'categorical'
+            when n_unique < {CAT_TH} then 'categorical'
+            else 'numeric' end as class,
+       kind = 'numeric' and n_unique < {CAT_TH} as num_but_cat
+from ({rows}) x"""
+
+
+@register("column_classes", O.sql(_classes_sql(), upto=None))
+def q_column_classes(spark, sf_dir):
+    return profile.column_classes(_t(spark, sf_dir).products, CAT_TH, CAR_TH)
+
+
+@register(
+    "column_class_summary",
+    O.sql(
+        """
+select (select count(*) from cv_products) as observations, cast(9 as bigint) as variables,
+       count(*) filter (where class = 'categorical') as cat_cols,
+       count(*) filter (where class = 'numeric') as num_cols,
+       count(*) filter (where class = 'cardinal') as cat_but_car,
+       count(*) filter (where num_but_cat) as num_but_cat
+from classes""",
+        upto=None,
+        extra={"classes": _classes_sql()},
+    ),
+)
+def q_column_class_summary(spark, sf_dir):
+    return profile.column_class_summary(_t(spark, sf_dir).products, CAT_TH, CAR_TH)
+
+
+FANOUT_TYPES = [
+    ("customer_id", "bigint"),
+    ("customer_unique_id", "bigint"),
+    ("customer_state", "string"),
+    ("order_id", "bigint"),
+    ("order_status", "string"),
+    ("order_purchase_timestamp", "timestamp_ntz"),
+    ("order_approved_at", "timestamp_ntz"),
+    ("order_delivered_carrier_date", "timestamp_ntz"),
+    ("order_delivered_customer_date", "timestamp_ntz"),
+    ("payment_sequential", "int"),
+    ("payment_installments", "int"),
+    ("payment_value", "double"),
+    ("order_item_id", "int"),
+    ("product_id", "bigint"),
+    ("price", "double"),
+    ("freight_value", "double"),
+    ("product_category_name", "string"),
+    ("product_name_lenght", "double"),
+    ("product_description_lenght", "double"),
+    ("product_photos_qty", "double"),
+    ("product_weight_g", "double"),
+    ("product_length_cm", "double"),
+    ("product_height_cm", "double"),
+    ("product_width_cm", "double"),
+    ("product_category_name_english", "string"),
+]
+FANOUT_NUMERIC = [c for c, d in FANOUT_TYPES if d in ("bigint", "int", "double")]
+PROBS = profile.PROFILE_QUANTILES
+
+
+def _nulls_sql() -> str:
+    return _union(
+        [f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_null from sales_fanout" for c, _ in FANOUT_TYPES]
+    )
+
+
+@register("null_counts", O.sql(_nulls_sql(), upto="sales_fanout"))
+def q_null_counts(spark, sf_dir):
+    return profile.null_counts(assemble.denormalize(_t(spark, sf_dir)))
+
+
+def _qprofile_sql(cols) -> str:
+    return _union(
+        [
+            f"select '{c}' as column_name, "
+            + ", ".join(f"{O.np_quantile(c, p)} as {profile.prob_name(p)}" for p in PROBS)
+            + " from sales_fanout"
+            for c in cols
+        ]
+    )
+
+
+@register("quantile_profile", O.sql(_qprofile_sql(FANOUT_NUMERIC), upto="sales_fanout"))
+def q_quantile_profile(spark, sf_dir):
+    return profile.quantile_profile(assemble.denormalize(_t(spark, sf_dir)))
+
+
+def _table_profile_sql() -> str:
+    types = _union(
+        [f"select {i} as position, '{c}' as column_name, '{d}' as dtype" for i, (c, d) in enumerate(FANOUT_TYPES)]
+    )
+    qcols = ", ".join(f"q.{profile.prob_name(p)}" for p in PROBS)
+    return f"""
+select t.position, t.column_name, t.dtype, (select count(*) from sales_fanout) as n_rows,
+       cast({len(FANOUT_TYPES)} as bigint) as n_columns, n.n_null, {qcols}
+from ({types}) t join nulls n on t.column_name = n.column_name left join qp q on t.column_name = q.column_name"""
+
+
+@register(
+    "table_profile",
+    O.sql(_table_profile_sql(), upto="sales_fanout", extra={"nulls": _nulls_sql(), "qp": _qprofile_sql(FANOUT_NUMERIC)}),
+)
+def q_table_profile(spark, sf_dir):
+    return profile.table_profile(assemble.denormalize(_t(spark, sf_dir)))
+
+
+def _long_sql() -> str:
+    return _union(
+        [f"select '{c}' as column_name, cast({c} as double) as value from sales_fanout where {c} is not null" for c in NUM_COLS_SQL]
+    )
+
+
+HIST_SQL = f"""
+select g.column_name, g.bin, g.lo + (g.hi - g.lo) / {profile.HIST_BINS} * g.bin as bin_start,
+       g.lo + (g.hi - g.lo) / {profile.HIST_BINS} * (g.bin + 1) as bin_end,
+       coalesce(c.count, 0) as count
+from (select e.*, b.bin from edges e, (select unnest(range(0, {profile.HIST_BINS})) as bin) b) g
+left join (
+  select l.column_name,
+         least(cast(floor((l.value - e.lo) * ({float(profile.HIST_BINS)} / (e.hi - e.lo))) as integer),
+               {profile.HIST_BINS - 1}) as bin,
+         count(*) as count
+  from long l join edges e on l.column_name = e.column_name group by all) c
+on g.column_name = c.column_name and g.bin = c.bin"""
+
+EDGES_SQL = """
+select column_name, case when max(value) = min(value) then min(value) - 0.5 else min(value) end as lo,
+       case when max(value) = min(value) then max(value) + 0.5 else max(value) end as hi
+from long group by column_name"""
+
+
+@register("histogram", O.sql(HIST_SQL, upto="sales_fanout", extra={"long": _long_sql(), "edges": EDGES_SQL}))
+def q_histogram(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return profile.histogram(assemble.denormalize(t), _num_cols(t))
+
+
+KDE_SQL = f"""
+select p.column_name, g.point, round(p.vmin + p.step * g.point, 6) as x,
+       round(sum(v.cnt * exp(-0.5 * ((p.vmin + p.step * g.point - v.value) / p.bw)
+                                  * ((p.vmin + p.step * g.point - v.value) / p.bw)))
+             / (p.bw * sqrt(2 * pi()) * p.n) * p.n * p.binw, 6) as density
+from params p join vc v on p.column_name = v.column_name,
+     (select unnest(range(0, {profile.KDE_GRID})) as point) g
+group by p.column_name, g.point, p.vmin, p.step, p.bw, p.n, p.binw"""
+
+KDE_PARAMS = f"""
+select column_name, count(*) as n, min(value) as vmin, max(value) as vmax,
+       sqrt(var_samp(value)) * pow(cast(count(*) as double), -0.2) as bw,
+       (max(value) - min(value)) / {float(profile.KDE_GRID - 1)} as step,
+       (max(value) - min(value)) / {float(profile.HIST_BINS)} as binw
+from long group by column_name having count(*) > 1"""
+
+
+@register(
+    "kde_curve",
+    O.sql(
+        KDE_SQL,
+        upto="sales_fanout",
+        extra={
+            "long": _long_sql(),
+            "params": KDE_PARAMS,
+            "vc": "select column_name, value, count(*) as cnt from long group by column_name, value",
+        },
+    ),
+)
+def q_kde_curve(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return profile.kde_curve(assemble.denormalize(t), _num_cols(t))
+
+
+def _corr_sql() -> str:
+    parts = []
+    for a in NUM_COLS_SQL:
+        for b in NUM_COLS_SQL:
+            parts.append(f"select '{a}' as column_a, '{b}' as column_b, round(corr({a}, {b}), 6) as corr from sales_fanout")
+    return _union(parts)
+
+
+@register("correlation_matrix", O.sql(_corr_sql(), upto="sales_fanout"))
+def q_correlation_matrix(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return profile.correlation_matrix(assemble.denormalize(t), _num_cols(t))
+
+
+BOX_SQL = f"""
+select b.customer_state, b.q1, b.median, b.q3, count(*) as n,
+       min(case when s.freight_value between b.lo and b.hi then s.freight_value end) as whisker_low,
+       max(case when s.freight_value between b.lo and b.hi then s.freight_value end) as whisker_high,
+       count(*) filter (where not (s.freight_value between b.lo and b.hi)) as n_fliers
+from sales_fanout s join (
+  select customer_state, q1, median, q3, q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi
+  from (select customer_state, {O.np_quantile("freight_value", 0.25)} as q1,
+               {O.np_quantile("freight_value", 0.5)} as median, {O.np_quantile("freight_value", 0.75)} as q3
+        from sales_fanout where freight_value is not null group by customer_state) x) b
+on s.customer_state = b.customer_state
+where s.freight_value is not null
+group by b.customer_state, b.q1, b.median, b.q3"""
+
+
+@register("boxplot_stats", O.sql(BOX_SQL, upto="sales_fanout"))
+def q_boxplot_stats(spark, sf_dir):
+    return profile.boxplot_stats(assemble.denormalize(_t(spark, sf_dir)))
+
+
+def _summary_sql() -> str:
+    return _union(
+        [
+            f"select '{c}' as column_name, round(avg({c}), 6) as mean, cast(min({c}) as double) as min, "
+            f"cast(max({c}) as double) as max from sales_fanout"
+            for c in NUM_COLS_SQL
+        ]
+    )
+
+
+@register("summary_stats", O.sql(_summary_sql(), upto="sales_fanout"))
+def q_summary_stats(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return profile.summary_stats(assemble.denormalize(t), _num_cols(t))

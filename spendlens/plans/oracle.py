@@ -96,3 +96,16 @@ def sql(body: str, upto: str | None = "modeling", extra: dict[str, str] | None =
                 break
     ctes.update(extra or {})
     return with_fixture_ctes(body, ctes)
+
+
+def np_quantile(x: str, p: float) -> str:
+    """Aggregate SQL for a linear quantile computed as NumPy does (order statistics
+    from the sorted list, then ``a + (b-a)t`` or ``b - (b-a)(1-t)``)."""
+    v = f"list_sort(list({x}) filter (where {x} is not null))"
+    n = f"count({x})"
+    h = f"((cast({n} as double) - 1) * {float(p)!r})"
+    lo = f"cast(floor({h}) as bigint)"
+    a = f"{v}[{lo} + 1]"
+    b = f"{v}[least({lo} + 2, {n})]"
+    t = f"({h} - floor({h}))"
+    return f"(case when {t} >= 0.5 then {b} - ({b} - {a}) * (1 - {t}) else {a} + ({b} - {a}) * {t} end)"

@@ -72,3 +72,15 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+def checkpointed(df):
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Used where a plan shrinks (value counts, per-customer aggregates) and the
+    result feeds several branches: the big input is read once, the branches read
+    the small table, and a lost executor re-reads the files instead of recomputing
+    the whole upstream plan. Reliable ``checkpoint`` only, never a local one.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
