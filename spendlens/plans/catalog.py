@@ -719,3 +719,85 @@ def _summary_sql() -> str:
 def q_summary_stats(spark, sf_dir):
     t = _t(spark, sf_dir)
     return profile.summary_stats(assemble.denormalize(t), _num_cols(t))
+
+
+# ------------------------------------------------------------------ folds, top-N overlap, metrics
+
+from ..functions.scalars import hash_sql  # noqa: E402
+from ..operators import folds, metrics  # noqa: E402
+
+SPLIT_SQL = f"case when {hash_sql('customer_unique_id', 42)} % 10000 < 2000 then 'test' else 'train' end"
+FOLD_SQL = f"cast({hash_sql('customer_unique_id', 42, 9)} % 5 as integer)"
+
+
+@register("train_test_split", O.sql(f"select customer_unique_id, {SPLIT_SQL} as split from modeling"))
+def q_train_test_split(spark, sf_dir):
+    return folds.train_test_split(_modeling(spark, sf_dir)).select(KEY, "split")
+
+
+@register("kfold_assign", O.sql(f"select customer_unique_id, {FOLD_SQL} as fold from modeling"))
+def q_kfold_assign(spark, sf_dir):
+    return folds.kfold_assign(_modeling(spark, sf_dir)).select(KEY, "fold")
+
+
+@register(
+    "kfold_contiguous",
+    O.sql("select customer_unique_id, cast(ntile(3) over (order by customer_unique_id) as integer) as fold from modeling"),
+)
+def q_kfold_contiguous(spark, sf_dir):
+    return folds.kfold_contiguous(_modeling(spark, sf_dir).select(KEY)).select(KEY, "fold")
+
+
+@register(
+    "top_n_overlap",
+    O.sql(
+        """
+select 100 as top_n, count(*) as overlap from (
+  (select customer_unique_id from modeling order by actual_cltv desc, customer_unique_id limit 100)
+  intersect
+  (select customer_unique_id from modeling order by monetary desc, customer_unique_id limit 100)) x"""
+    ),
+)
+def q_top_n_overlap(spark, sf_dir):
+    """True top-100 by realised value against the top-100 by past spend."""
+    return rank.top_n_overlap(_modeling(spark, sf_dir), "actual_cltv", "monetary", 100, KEY)
+
+
+@register(
+    "top_n_overlap_by_fold",
+    O.sql(
+        f"""
+select fold, cast(overlap as double) as overlap, avg(cast(overlap as double)) over () as mean_overlap
+from per_fold""",
+        extra={
+            "f": f"""select customer_unique_id, actual_cltv, monetary, {FOLD_SQL} as fold,
+  row_number() over (partition by {FOLD_SQL} order by actual_cltv desc, customer_unique_id) as rt,
+  row_number() over (partition by {FOLD_SQL} order by monetary desc, customer_unique_id) as rp
+from modeling""",
+            "per_fold": "select fold, count(*) filter (where rt <= 100 and rp <= 100) as overlap from f group by fold",
+        },
+    ),
+)
+def q_top_n_overlap_by_fold(spark, sf_dir):
+    df = folds.kfold_assign(_modeling(spark, sf_dir))
+    return rank.top_n_overlap_by_fold(df, "actual_cltv", "monetary", "fold", 100, KEY)
+
+
+@register(
+    "regression_metrics",
+    O.sql(
+        f"""
+select count(*) as n, round(sqrt(avg((cltv_log - p) * (cltv_log - p))), 6) as rmse,
+       round(1 - sum((cltv_log - p) * (cltv_log - p))
+                 / sum((cltv_log - (select avg(cltv_log) from h)) * (cltv_log - (select avg(cltv_log) from h))), 6) as r2,
+       round(avg(abs(cltv_log - p)), 6) as mae
+from h""",
+        extra={"h": f"select cltv_log, ln(1 + monetary) as p from modeling where {SPLIT_SQL} = 'test'"},
+    ),
+)
+def q_regression_metrics(spark, sf_dir):
+    """Holdout metrics of a SQL-defined predictor (``log1p(monetary)``)."""
+    mf = folds.train_test_split(_modeling(spark, sf_dir))
+    hold = mf.where(F.col("split") == "test").select("cltv_log", S.log_target("monetary").alias("prediction"))
+    m = metrics.regression_metrics(hold)
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("rmse", "r2", "mae")])
