@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.aggregates import pearson
 from . import quantiles as Q
 
 # Fixed defaults of the source: IQR limits at 25/75 for capping, 20/80 for the
@@ -319,7 +320,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -
     ``(column_a, column_b, corr)`` for every ordered pair, from one aggregate."""
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    agg = df.agg(*[pearson(a, b).alias(f"{a}__{b}") for a, b in pairs])
     structs = []
     for a, b in pairs:
         v = F.round(F.col(f"{a}__{b}"), digits)

@@ -801,3 +801,111 @@ def q_regression_metrics(spark, sf_dir):
     hold = mf.where(F.col("split") == "test").select("cltv_log", S.log_target("monetary").alias("prediction"))
     m = metrics.regression_metrics(hold)
     return m.select("n", *[F.round(c, 6).alias(c) for c in ("rmse", "r2", "mae")])
+
+
+# ------------------------------------------------------------------ models and attribution (rows-only checks)
+
+from ..operators import explain, model  # noqa: E402
+
+# Parameters of the check runs only: small ensembles so every model query finishes
+# in seconds. The library defaults stay the source's settings (model.PRESETS,
+# model.TUNING_GRID).
+QUICK: dict[str, model.Preset] = {
+    "LightGBM": model.Preset("boosted", {"maxIter": 6, "stepSize": 0.05, "maxDepth": 3}),
+    "RandomForest": model.Preset("forest", {"numTrees": 10, "maxDepth": 5}),
+    "LinearRegression": model.Preset("linear", {}),
+    "XGBoost": model.Preset("boosted", {"maxIter": 5, "stepSize": 0.05, "maxDepth": 3}),
+}
+QUICK_GRID = {"maxIter": [3, 5], "maxDepth": [2, 3]}
+
+_CACHE: dict[tuple, object] = {}
+
+
+def _cached(spark, key, build):
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _CACHE:
+        _CACHE[k] = build()
+    return _CACHE[k]
+
+
+def _prepared(spark, sf_dir) -> DataFrame:
+    return _cached(spark, ("prepared", sf_dir), lambda: model.prepare(_modeling(spark, sf_dir)))
+
+
+def _split(spark, sf_dir):
+    s = folds.train_test_split(_prepared(spark, sf_dir))
+    return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+
+
+def _fitted(spark, sf_dir, name: str):
+    def build():
+        train, _ = _split(spark, sf_dir)
+        return model.fit(train, QUICK[name])
+
+    return _cached(spark, ("fit", sf_dir, name), build)
+
+
+@register("fit_linear")
+def q_fit_linear(spark, sf_dir):
+    return model.coefficients(spark, _fitted(spark, sf_dir, "LinearRegression"))
+
+
+@register("fit_forest")
+def q_fit_forest(spark, sf_dir):
+    return model.importances(spark, _fitted(spark, sf_dir, "RandomForest"))
+
+
+@register("fit_boosted")
+def q_fit_boosted(spark, sf_dir):
+    return model.importances(spark, _fitted(spark, sf_dir, "XGBoost"))
+
+
+@register("fit_boosted_deep")
+def q_fit_boosted_deep(spark, sf_dir):
+    return model.importances(spark, _fitted(spark, sf_dir, "LightGBM"))
+
+
+@register("score_customers")
+def q_score_customers(spark, sf_dir):
+    scored = model.score(_fitted(spark, sf_dir, "XGBoost"), _prepared(spark, sf_dir))
+    return scored.select(KEY, "actual_cltv", "cltv_log", "prediction", "predicted_cltv")
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    return model.model_comparison(_prepared(spark, sf_dir), QUICK)
+
+
+@register("cv_rmse")
+def q_cv_rmse(spark, sf_dir):
+    return model.cv_rmse(_prepared(spark, sf_dir), QUICK["XGBoost"])
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    table, _ = model.grid_search(_prepared(spark, sf_dir), QUICK["XGBoost"], QUICK_GRID)
+    return table
+
+
+@register("out_of_fold")
+def q_out_of_fold(spark, sf_dir):
+    return model.out_of_fold(_prepared(spark, sf_dir), QUICK["XGBoost"])
+
+
+def _shap(spark, sf_dir) -> DataFrame:
+    return explain.shap_values(_prepared(spark, sf_dir), _fitted(spark, sf_dir, "XGBoost"))
+
+
+@register("shap_values")
+def q_shap_values(spark, sf_dir):
+    return _shap(spark, sf_dir)
+
+
+@register("shap_importance")
+def q_shap_importance(spark, sf_dir):
+    return explain.shap_importance(_shap(spark, sf_dir))
+
+
+@register("shap_dependence")
+def q_shap_dependence(spark, sf_dir):
+    return explain.shap_dependence(_shap(spark, sf_dir), _prepared(spark, sf_dir), "recency")
