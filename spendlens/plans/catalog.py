@@ -909,3 +909,69 @@ def q_shap_importance(spark, sf_dir):
 @register("shap_dependence")
 def q_shap_dependence(spark, sf_dir):
     return explain.shap_dependence(_shap(spark, sf_dir), _prepared(spark, sf_dir), "recency")
+
+
+# ------------------------------------------------------------------ k-NN imputation
+
+from ..operators import impute  # noqa: E402
+
+KNN_COLS = ["product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"]
+
+
+def _knn_sql() -> str:
+    v = [f"v{j}" for j in range(4)]
+    both = [f"(r.{x} is not null and d.{x} is not null)" for x in v]
+    ss = " + ".join(f"(case when {b} then (r.{x} - d.{x}) * (r.{x} - d.{x}) else 0.0 end)" for b, x in zip(both, v))
+    p = " + ".join(f"(case when {b} then 1 else 0 end)" for b in both)
+    target_present = " or ".join(f"(t.t = {j} and d.{x} is not null)" for j, x in enumerate(v))
+    tval = "case " + " ".join(f"when t.t = {j} then d.{x}" for j, x in enumerate(v)) + " end"
+    mean = "case " + " ".join(
+        f"when tk.t = {j} then (select sum(v{j} * mult) / sum(case when v{j} is not null then mult end) from vecs)"
+        for j in range(4)
+    ) + " end"
+    keys = ", ".join(f"{c} as v{j}" for j, c in enumerate(KNN_COLS))
+    ctes = {
+        "qs": _limits_sql(0.25, 0.75),
+        "lim": LIMITS_BODY,
+        "wins": _winsor_sql(),
+        "vecs": f"select {keys}, count(*) as mult from wins group by all",
+        "rec": "select v0, v1, v2, v3 from vecs where v0 is null or v1 is null or v2 is null or v3 is null",
+        "tasks": """select * from (select *, unnest([case when v0 is null then 0 end, case when v1 is null then 1 end,
+  case when v2 is null then 2 end, case when v3 is null then 3 end]) as t from rec) where t is not null""",
+        "cand": f"""select t.v0 as r0, t.v1 as r1, t.v2 as r2, t.v3 as r3, t.t, d.mult, {tval} as val,
+  d.v0 as d0, d.v1 as d1, d.v2 as d2, d.v3 as d3,
+  sqrt(cast(4 as double) / ({p.replace('r.', 't.')}) * ({ss.replace('r.', 't.')})) as dist
+from tasks t join vecs d on ({target_present}) and ({p.replace('r.', 't.')}) > 0""",
+        "ranked": """select *, sum(mult) over (partition by r0, r1, r2, r3, t
+    order by dist, d0 nulls first, d1 nulls first, d2 nulls first, d3 nulls first
+    rows between unbounded preceding and current row) as cum from cand""",
+        "per_task": """select r0, r1, r2, r3, t,
+  sum(greatest(least(mult, 5 - (cum - mult)), 0) * val) / sum(greatest(least(mult, 5 - (cum - mult)), 0)) as imp
+from ranked group by r0, r1, r2, r3, t""",
+        "filled": f"""select tk.v0, tk.v1, tk.v2, tk.v3, tk.t, coalesce(p.imp, {mean}) as imp
+from tasks tk left join per_task p
+  on tk.v0 is not distinct from p.r0 and tk.v1 is not distinct from p.r1
+ and tk.v2 is not distinct from p.r2 and tk.v3 is not distinct from p.r3 and tk.t = p.t""",
+        "imputed": """select v0, v1, v2, v3,
+  coalesce(v0, max(case when t = 0 then imp end)) as n0, coalesce(v1, max(case when t = 1 then imp end)) as n1,
+  coalesce(v2, max(case when t = 2 then imp end)) as n2, coalesce(v3, max(case when t = 3 then imp end)) as n3
+from filled group by v0, v1, v2, v3""",
+    }
+    sel = ", ".join(
+        f"round(coalesce(i.n{j}, w.{c}), 6) as {c}" for j, c in enumerate(KNN_COLS)
+    )
+    on = " and ".join(f"w.{c} is not distinct from i.v{j}" for j, c in enumerate(KNN_COLS))
+    body = f"""
+select w.order_id, w.order_item_id, w.payment_sequential, {sel}
+from wins w left join imputed i on {on}"""
+    return O.sql(body, upto="sales_fanout", extra=ctes)
+
+
+@register("knn_impute", _knn_sql())
+def q_knn_impute(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    capped = clean.winsorize(assemble.denormalize(t), _num_cols(t))
+    done = impute.knn_impute(capped, KNN_COLS)
+    return done.select(
+        "order_id", "order_item_id", "payment_sequential", *[F.round(c, 6).alias(c) for c in KNN_COLS]
+    )

@@ -84,5 +84,9 @@ def checkpointed(df):
     the small table, and a lost executor re-reads the files instead of recomputing
     the whole upstream plan. Reliable ``checkpoint`` only, never a local one.
     """
+    from pyspark.sql import functions as F
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cp = df.checkpoint(eager=True)
+    # Fresh column identities, so frames checkpointed from one another can be joined.
+    return cp.select(*[F.col(f"`{c}`").alias(c) for c in cp.columns])
