@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import elapsed_days, flag, log_target, money_sum
+from ..session import checkpointed
 
 KEY = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -115,10 +116,12 @@ def customer_features(train: DataFrame, weight: str | None = None) -> DataFrame:
     ``train`` is the cleaned sales frame before the cutoff with ``total_price``.
     Null customer keys are dropped (a pandas group-by drops them) but their rows
     still count for the reference date, which is the maximum over all train rows:
-    it is taken from the aggregate itself (max of per-customer maxima), so no
-    second pass over the sales rows is needed.
+    it is taken from the aggregate itself (max of per-customer maxima). The
+    aggregate (one row per customer) is checkpointed, so the sales rows are read
+    once and the reference date is a scan of the small table (a scalar subquery
+    over the un-materialised plan would be re-planned and re-join the facts).
     """
-    agg = train.groupBy(KEY).agg(*_aggregates(weight))
+    agg = checkpointed(train.groupBy(KEY).agg(*_aggregates(weight)))
     ref = agg.select(F.max("_last")).scalar()
     return _finish(agg, ref)
 
@@ -150,7 +153,7 @@ def modeling_frame(sales: DataFrame, cutoff=DEFAULT_CUTOFF, weight: str | None =
     ts = F.col(TS)
     before, after = ts < c, ts >= c
     w = _w(weight)
-    agg = (
+    agg = checkpointed(
         sales.where(ts.isNotNull())
         .groupBy(KEY)
         .agg(*_aggregates(weight, before), F.sum(F.when(after, money_sum("total_price", w))).alias("_after"))

@@ -19,9 +19,17 @@ RAW_TABLES = ("customer", "nation", "orders", "lineitem", "part")
 TEST_CUTOFF = "2000-01-01"
 
 
+_RAW: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The driver's tables as parquet scans. The DataFrame objects (plans, not
+    data) are reused per session and folder, so schema discovery runs once."""
     base = sf_dir.rstrip("/")
-    return {n: spark.read.parquet(f"{base}/{n}.parquet") for n in RAW_TABLES}
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _RAW:
+        _RAW[key] = {n: spark.read.parquet(f"{base}/{n}.parquet") for n in RAW_TABLES}
+    return _RAW[key]
 
 
 def _keep_unless(cond: Column, value: Column) -> Column:
