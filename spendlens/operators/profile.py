@@ -317,17 +317,40 @@ def kde_curve(
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """O-49: Pearson correlation, pairwise-complete over nulls, long form
-    ``(column_a, column_b, corr)`` for every ordered pair, from one aggregate."""
+    ``(column_a, column_b, corr)`` for every ordered pair.
+
+    One pass: every row is expanded to one ``(pair, x, y)`` row per column pair
+    (a fixed fan-out), rows with a null in the pair are dropped, and a group-by on
+    the pair keeps three streaming moments (covariance and both variances) with
+    map-side partial aggregation. A narrow aggregate per pair stays code-generated,
+    unlike one very wide aggregate over all pairs. A constant column gives null."""
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = df.agg(*[pearson(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    structs = []
-    for a, b in pairs:
-        v = F.round(F.col(f"{a}__{b}"), digits)
-        structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), v.alias("corr")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), v.alias("corr")))
-    return agg.select(F.inline(F.array(*structs)))
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    long = df.select(F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    mom = long.groupBy("pair").agg(
+        F.covar_samp("x", "y").alias("cxy"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy")
+    )
+    r = F.try_divide(F.col("cxy"), F.sqrt(F.col("vx") * F.col("vy")))
+    corr = F.round(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), digits)
+    first = F.array(*[F.lit(a) for a, _ in pairs])
+    second = F.array(*[F.lit(b) for _, b in pairs])
+    idx = F.col("pair") + 1
+    both = mom.select(
+        F.explode(
+            F.array(
+                F.struct(F.element_at(first, idx).alias("column_a"), F.element_at(second, idx).alias("column_b")),
+                F.struct(F.element_at(second, idx).alias("column_a"), F.element_at(first, idx).alias("column_b")),
+            )
+        ).alias("p"),
+        corr.alias("corr"),
+    ).select("p.column_a", "p.column_b", "corr")
+    return both.distinct()
 
 
 def boxplot_stats(df: DataFrame, value: str = "freight_value", group: str = "customer_state") -> DataFrame:
