@@ -1 +1,2 @@
-
+"""No streaming operators: the source has no stream, watermark, window or state;
+live scoring is only named there as future work."""
