@@ -58,7 +58,7 @@ def _offsets_map(m: int) -> Column:
     return F.create_map(*pairs)
 
 
-def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS) -> DataFrame:
+def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, salts: int = 16) -> DataFrame:
     """``df`` with nulls in ``columns`` replaced by the k-NN estimate."""
     cols = list(columns)
     m = len(cols)
@@ -152,7 +152,20 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS) ->
         cand = cand.select("_rid", "_t", "mult", dist.alias("_dist"), value.alias("_val"),
                            *[f"_d{j}" for j in range(m)])
         order = [F.col("_dist")] + [F.col(f"_d{j}").asc_nulls_first() for j in range(m)]
-        w = W.partitionBy("_rid", "_t").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        # Two rounds so that a dense neighbourhood never ranks in one task: first the
+        # k-prefix (by multiplicity) inside each (task, salt) slice, then the final
+        # prefix over the survivors. A donor in the global prefix has fewer than k
+        # better donors overall, hence also in its slice, so nothing is lost.
+        salt = F.abs(F.xxhash64(*[F.col(f"_d{j}") for j in range(m)])) % salts
+        run = W.unboundedPreceding, W.currentRow
+        w1 = W.partitionBy("_rid", "_t", "_salt").orderBy(*order).rowsBetween(*run)
+        cand = (
+            cand.withColumn("_salt", salt)
+            .withColumn("_c1", F.sum("mult").over(w1))
+            .where(F.col("_c1") - F.col("mult") < k)
+            .drop("_salt", "_c1")
+        )
+        w = W.partitionBy("_rid", "_t").orderBy(*order).rowsBetween(*run)
         ranked = cand.withColumn("_cum", F.sum("mult").over(w)).withColumn("_before", F.col("_cum") - F.col("mult"))
         take = F.greatest(F.least(F.col("mult"), F.lit(k) - F.col("_before")), F.lit(0))
         per_task = ranked.groupBy("_rid", "_t").agg(

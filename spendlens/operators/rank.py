@@ -53,10 +53,13 @@ def top_n_per_group(
     score: str,
     n: int = TOP_N,
     id_col: str = "customer_unique_id",
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Exact top-n per group in two rounds (see module doc). Adds ``rank``."""
+    """Exact top-n per group in two rounds (see module doc). Adds ``rank``.
+    ``salts`` defaults to the shuffle partition count, so a group's first round
+    spreads over as many tasks as the cluster shuffles into."""
     g = list(group)
+    salts = salts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     order = _order(score, id_col)
     salted = df.withColumn("_salt", hash_unit(id_col, "salt") % salts)
     first = salted.withColumn("_r", F.row_number().over(W.partitionBy(*g, "_salt").orderBy(*order)))

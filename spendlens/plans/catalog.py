@@ -362,10 +362,16 @@ __all__ = ["QUERIES", "ORACLE", "W"]
 CAT_TH, CAR_TH = 10, 15
 
 
+_NUM_COLS: dict[int, list[str]] = {}
+
+
 def _num_cols(t) -> list[str]:
     """The source's ``num_cols`` of the products table (small metadata: one row per
-    product column)."""
-    return profile.class_lists(profile.column_classes(t.products, CAT_TH, CAR_TH))["num_cols"]
+    product column), computed once per products plan."""
+    key = id(t.products.sparkSession), t.products.semanticHash()
+    if key not in _NUM_COLS:
+        _NUM_COLS[key] = profile.class_lists(profile.column_classes(t.products, CAT_TH, CAR_TH))["num_cols"]
+    return _NUM_COLS[key]
 
 
 NUM_COLS_SQL = [
