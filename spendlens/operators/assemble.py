@@ -4,8 +4,8 @@ Join order is authored for scale (Catalyst does not reorder joins without
 statistics): orders meet customers first (the smaller fact table shuffles on
 ``customer_id``), then payments and items join on ``order_id`` so both big tables
 shuffle once on the same key and the two sort-merge joins share one partitioning.
-Products and categories are dimension tables; whether they are broadcast is left to
-Spark's size checks (static plan statistics, then the measured size under AQE),
+Products and categories are dimension tables, joined to each other first; whether
+the result is broadcast is left to Spark's size checks (static plan statistics, then the measured size under AQE),
 with a sort-merge join beyond the threshold.
 """
 
@@ -31,6 +31,13 @@ def _with_categories(df: DataFrame, categories: DataFrame) -> DataFrame:
     return joined.drop("_cat_key")
 
 
+def _products(t: Tables) -> DataFrame:
+    """Products with their translation: the two dimension tables meet first, so the
+    left join runs on the small side and the fact rows join once. Same rows as
+    joining the translation after the inner product join."""
+    return _with_categories(t.products, t.categories)
+
+
 def _ordered(df: DataFrame, t: Tables, payment_cols: bool) -> DataFrame:
     """Column order of the source's chained merges: customers, orders, payments,
     items, products, translation."""
@@ -59,8 +66,7 @@ def denormalize(t: Tables, payment_fanout: bool = True) -> DataFrame:
         base = base.join(t.payments, "order_id")
     else:
         base = base.join(t.payments.select("order_id"), "order_id", "left_semi")
-    df = base.join(t.items, "order_id").join(t.products, "product_id")
-    df = _with_categories(df, t.categories)
+    df = base.join(t.items, "order_id").join(_products(t), "product_id")
     return _ordered(df, t, payment_fanout)
 
 
@@ -73,6 +79,5 @@ def weighted_sales(t: Tables) -> DataFrame:
     fan-out rows equals the weighted sum over these rows.
     """
     pay = t.payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("payment_rows"))
-    df = _order_side(t).join(pay, "order_id").join(t.items, "order_id").join(t.products, "product_id")
-    df = _with_categories(df, t.categories)
+    df = _order_side(t).join(pay, "order_id").join(t.items, "order_id").join(_products(t), "product_id")
     return _ordered(df, t, True)
