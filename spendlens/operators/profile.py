@@ -263,11 +263,13 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = HIST_BINS) -> D
     long = Q.to_long(df, columns)
     edges = _edges(_column_stats(long))
     scale = F.lit(float(bins)) / (F.col("hi") - F.col("lo"))
-    idx = F.least(F.floor((F.col("value") - F.col("lo")) * scale).cast("int"), F.lit(bins - 1))
+    idx = F.least(F.floor((F.col("value") - F.col("lo")) * scale), F.lit(bins - 1)).cast("bigint")
     counts = long.join(edges.select("column_name", "lo", "hi"), "column_name").groupBy("column_name", idx.alias("bin")).agg(
         F.count(F.lit(1)).alias("count")
     )
-    grid = edges.select("column_name", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = edges.select(
+        "column_name", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
+    )
     width = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counts, ["column_name", "bin"], "left").select(
         "column_name",
@@ -300,7 +302,7 @@ def kde_curve(
     )
     pts = vc.join(params, "column_name").select(
         "column_name", "value", "cnt", "bw", "vmin", "step",
-        F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))).alias("point"),
     )
     x = F.col("vmin") + F.col("step") * F.col("point")
     z = (x - F.col("value")) / F.col("bw")

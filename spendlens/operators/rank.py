@@ -29,7 +29,7 @@ def top_n(df: DataFrame, score: str, n: int = TOP_N, id_col: str = "customer_uni
     """O-44: the ``n`` rows with the highest ``score``; ties broken by id.
     ``(id, score, rank)``; the rank window runs over the n result rows only."""
     best = df.select(id_col, score).orderBy(*_order(score, id_col)).limit(n)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(*_order(score, id_col))))
+    return best.withColumn("rank", F.row_number().over(W.orderBy(*_order(score, id_col))).cast("bigint"))
 
 
 def top_n_overlap(
