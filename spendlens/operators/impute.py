@@ -14,11 +14,13 @@ Plan:
 * every (incomplete vector, missing column) is a task; donors are grouped into
   classes by null pattern, and for a (task, class) pair the common coordinates C
   are fixed, so the search is a plain Euclidean one in the C-subspace;
-* round r uses cells of side h: a task joins (equi-join, no cross join) the donors
-  in its own and the 3^|C| - 1 neighbouring cells, so every donor closer than h is
-  a candidate; when the k-th candidate distance is <= h the answer is exact and
-  the task is done, otherwise it moves to the next round with h * 4. Once h
-  exceeds the value span, one neighbourhood holds every donor, so all tasks end.
+* round r uses cells of side h(C) = h0(C) * 4^r, with h0(C) from the spans of the
+  dimensions in C: a task joins (equi-join, no cross join) the donors in its own
+  and the 3^|C| - 1 neighbouring cells, so every donor of the class closer than
+  h(C) is a candidate; when the k-th candidate distance is within the smallest
+  h(C) of the task's classes the answer is exact and the task is done, otherwise it
+  moves to the next round. Once h(C) exceeds the span of C, one neighbourhood
+  holds every donor of the class, so all tasks end.
 
 Each round's output is checkpointed; the driver only loops over rounds.
 """
@@ -26,7 +28,6 @@ Each round's output is checkpointed; the driver only loops over rounds.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -80,8 +81,6 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
         *[F.max(v[j]).alias(f"hi{j}") for j in range(m)],
         F.count(F.lit(1)).alias("n_vec"),
     ).first()  # one row of metadata: column means, value span, donor count
-    span = max([(stats[f"hi{j}"] - stats[f"lo{j}"]) for j in range(m) if stats[f"hi{j}"] is not None] or [0.0])
-    h = max(span / max(1.0, stats["n_vec"] ** (1.0 / m)), 1e-9)
 
     receivers = donors.where(F.col("_pat") != full).select(*[f"_v{j}" for j in range(m)], "_pat")
     receivers = checkpointed(receivers.withColumn("_rid", F.monotonically_increasing_id()))
@@ -105,14 +104,43 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
         .where(F.col("_c") > 0)
     )
 
+    # Cell sizes per common-coordinate class: from the spans of that class's own
+    # dimensions, so a class over narrow dimensions is not searched with cells sized
+    # for a wide one. Classes are metadata (at most m * 4^m rows).
+    spans = [
+        (stats[f"hi{j}"] - stats[f"lo{j}"]) if stats[f"hi{j}"] is not None else 0.0 for j in range(m)
+    ]
+    class_rows = classes.select("_t", "_rpat", "_c").distinct().collect()
+    masks = sorted({int(r["_c"]) for r in class_rows})
+
+    def _class_span(c: int) -> float:
+        return max(spans[j] for j in range(m) if c >> j & 1)
+
+    def _class_h0(c: int) -> float:
+        sp, dims = _class_span(c), bin(c).count("1")
+        return sp / max(1.0, stats["n_vec"] ** (1.0 / dims)) if sp > 0 else 1.0
+
+    by_task_cls: dict[int, list[int]] = {}
+    for r in class_rows:
+        by_task_cls.setdefault(int(r["_t"]) * (1 << m) + int(r["_rpat"]), []).append(int(r["_c"]))
+
     offsets = _offsets_map(m)
     results = []
     pending = checkpointed(tasks)
+    rnd = 0
     while True:
-        final = h > span
-        hh = F.lit(float(h))
+        h_of = {c: _class_h0(c) * GROWTH**rnd for c in masks}
+        final_of = {c: h_of[c] > _class_span(c) for c in masks}
+        # Radius within which a task's candidates are complete: the smallest cell of
+        # its classes still searching (none: every donor is a candidate).
+        radius = {
+            key: min([h_of[c] for c in cs if not final_of[c]], default=None) for key, cs in by_task_cls.items()
+        }
+        all_final = all(v is None for v in radius.values())
+        hmap = F.create_map(*[x for c in masks for x in (F.lit(c), F.lit(float(h_of[c])))]) if masks else None
 
         def cell(vals: list[Column], mask: Column, off: Column | None = None) -> Column:
+            hh = F.element_at(hmap, mask)
             parts = []
             for j in range(m):
                 base = F.floor(vals[j] / hh).cast("bigint")
@@ -121,6 +149,8 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
                 parts.append(F.when(_bit(mask, j), base).otherwise(F.lit(0).cast("bigint")))
             return F.array(*parts)
 
+        if not masks:
+            break
         # ``classes`` has at most m * 4^m rows: a proven bound, safe to broadcast.
         cl, pn = classes.alias("cl"), pending.alias("pn")
         rside = (
@@ -149,7 +179,7 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
         n_common = sum((F.when(_bit(F.col("_c"), j), 1).otherwise(0) for j in range(m)), F.lit(0))
         dist = F.sqrt(F.lit(float(m)) / n_common * ss)
         value = F.element_at(F.array(*[F.col(f"_d{j}") for j in range(m)]), F.col("_t") + 1)
-        cand = cand.select("_rid", "_t", "mult", dist.alias("_dist"), value.alias("_val"),
+        cand = cand.select("_rid", "_t", "_pat", "mult", dist.alias("_dist"), value.alias("_val"),
                            *[f"_d{j}" for j in range(m)])
         order = [F.col("_dist")] + [F.col(f"_d{j}").asc_nulls_first() for j in range(m)]
         # Two rounds so that a dense neighbourhood never ranks in one task: first the
@@ -168,21 +198,27 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
         w = W.partitionBy("_rid", "_t").orderBy(*order).rowsBetween(*run)
         ranked = cand.withColumn("_cum", F.sum("mult").over(w)).withColumn("_before", F.col("_cum") - F.col("mult"))
         take = F.greatest(F.least(F.col("mult"), F.lit(k) - F.col("_before")), F.lit(0))
-        per_task = ranked.groupBy("_rid", "_t").agg(
+        per_task = ranked.groupBy("_rid", "_t", "_pat").agg(
             F.sum("mult").alias("_total"),
             F.min(F.when((F.col("_before") < k) & (F.col("_cum") >= k), F.col("_dist"))).alias("_kth"),
             F.sum(take * F.col("_val")).alias("_num"),
             F.sum(take).alias("_den"),
         )
-        if not final:
-            per_task = per_task.where((F.col("_total") >= k) & (F.col("_kth") <= hh))
+        if not all_final:
+            pairs = [x for key, r in radius.items() if r is not None for x in (F.lit(key), F.lit(float(r)))]
+            rcol = F.element_at(F.create_map(*pairs), F.col("_t") * (1 << m) + F.col("_pat")) if pairs else F.lit(None)
+            per_task = per_task.where(
+                rcol.isNull() | ((F.col("_total") >= k) & (F.col("_kth") <= rcol))
+            )
         done = checkpointed(per_task.select("_rid", "_t", (F.col("_num") / F.col("_den")).alias("_imp")))
         results.append(done)
         pending = checkpointed(pending.join(done.select("_rid", "_t"), ["_rid", "_t"], "left_anti"))
-        if final or pending.isEmpty():
+        if all_final or pending.isEmpty():
             break
-        h *= GROWTH
+        rnd += 1
 
+    if not results:
+        results.append(tasks.sparkSession.createDataFrame([], "_rid bigint, _t int, _imp double"))
     solved = results[0]
     for r in results[1:]:
         solved = solved.unionByName(r)
@@ -208,9 +244,3 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
         for c in df.columns
     ]
     return joined.select(*out)
-
-
-def span_rounds(span: float, n_vec: int, m: int) -> int:
-    """How many rounds the search needs at most (for logging and tests)."""
-    h = max(span / max(1.0, n_vec ** (1.0 / m)), 1e-9)
-    return 1 + max(0, math.ceil(math.log(max(span / h, 1.0), GROWTH)))
