@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Tables
+from .tables import Tables, spread
 
 RAW_TABLES = ("customer", "nation", "orders", "lineitem", "part")
+FACT_TABLES = ("orders", "lineitem")
 
 # Test cutoff for the generated data (orders span 1995-01-01 .. 2001-08-01).
 TEST_CUTOFF = "2000-01-01"
@@ -28,7 +29,8 @@ def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     base = sf_dir.rstrip("/")
     key = (spark.sparkContext.applicationId, base)
     if key not in _RAW:
-        _RAW[key] = {n: spark.read.parquet(f"{base}/{n}.parquet") for n in RAW_TABLES}
+        raw = {n: spark.read.parquet(f"{base}/{n}.parquet") for n in RAW_TABLES}
+        _RAW[key] = {n: spread(df) if n in FACT_TABLES else df for n, df in raw.items()}
     return _RAW[key]
 
 
