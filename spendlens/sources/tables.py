@@ -108,18 +108,19 @@ def read_tables(
     return Tables(**out)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, keys: list[str] | tuple[str, ...] = (), min_partitions: int | None = None) -> DataFrame:
     """Give a scan at least ``min_partitions`` (default: the cluster's parallelism).
 
     A table stored as one file with one row group is read by one task, and every
     narrow operator after it (joins against broadcast sides, projections, partial
-    aggregates) runs in that task. When the scan is narrower than the cluster, a
-    round-robin repartition spreads it; when it is already wide (the normal case for
+    aggregates) runs in that task. When the scan is narrower than the cluster, it is
+    hash-partitioned on ``keys`` (no sort, unlike a round-robin split, and already
+    laid out for a join on that key); when it is already wide (the normal case for
     large inputs) nothing changes. Filters and column pruning still reach the scan.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
+        return df.repartition(n, *keys) if keys else df.repartition(n)
     return df
 
 
