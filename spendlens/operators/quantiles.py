@@ -51,6 +51,18 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
+def _count_below(splits: Column, value: Column, lo: int, hi: int) -> Column:
+    """Number of ``splits`` (sorted ascending) below ``value``, as a balanced tree of
+    comparisons: log2(buckets) code-generated comparisons per row instead of a
+    lambda over the whole array."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(splits[mid] < value, _count_below(splits, value, mid + 1, hi)).otherwise(
+        _count_below(splits, value, lo, mid)
+    )
+
+
 def ranked_values(
     long: DataFrame, keys: Sequence[str], buckets: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +78,7 @@ def ranked_values(
         vc = vc.join(splits, keys)
     else:
         vc = vc.withColumn("_splits", splits.select("_splits").scalar())
-    vc = vc.withColumn("_bucket", F.size(F.filter("_splits", lambda s: s < F.col("value")))).drop("_splits")
+    vc = vc.withColumn("_bucket", _count_below(F.col("_splits"), F.col("value"), 0, b - 1)).drop("_splits")
 
     totals = vc.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_btotal"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
@@ -78,6 +90,11 @@ def ranked_values(
         F.sum("_btotal").over(by_key).alias("n"),
     )
     in_bucket = W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Buckets hold about equal numbers of distinct values, so a fixed partition count
+    # on (keys, bucket) is balanced; the window reuses this partitioning, and AQE does
+    # not merge the sort-heavy window into a few tasks because its input is small.
+    parts = max(2, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    vc = vc.repartition(parts, *keys, "_bucket")
     ranked = vc.withColumn("_run", F.sum("cnt").over(in_bucket)).join(totals, [*keys, "_bucket"])
     ranked = ranked.select(
         *keys,

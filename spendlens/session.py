@@ -19,6 +19,9 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small-in-bytes but sort-heavy stages (windows over distinct values) keep the
+    # cores busy instead of being merged into a few 1 MB partitions.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # Broadcast decisions stay behind Spark's own size checks: the static one uses
     # plan statistics, the adaptive one the measured size of a finished shuffle stage.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),

@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 from .tables import Tables, spread
 
 RAW_TABLES = ("customer", "nation", "orders", "lineitem", "part")
-FACT_TABLES = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"]}
+# Key each scan is spread on when the file is narrower than the cluster. The
+# dimension tables are included: when AQE broadcasts the (measured-small) fact
+# sides, a dimension becomes the streamed side and must not be a single task.
+SPREAD_KEYS = {
+    "customer": ["c_custkey"],
+    "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey"],
+    "part": ["p_partkey"],
+}
 
 # Test cutoff for the generated data (orders span 1995-01-01 .. 2001-08-01).
 TEST_CUTOFF = "2000-01-01"
@@ -30,7 +38,7 @@ def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, base)
     if key not in _RAW:
         raw = {n: spark.read.parquet(f"{base}/{n}.parquet") for n in RAW_TABLES}
-        _RAW[key] = {n: spread(df, FACT_TABLES[n]) if n in FACT_TABLES else df for n, df in raw.items()}
+        _RAW[key] = {n: spread(df, SPREAD_KEYS[n]) if n in SPREAD_KEYS else df for n, df in raw.items()}
     return _RAW[key]
 
 
