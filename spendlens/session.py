@@ -27,6 +27,10 @@ LOCAL_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Constraint propagation only adds inferred filters (IsNotNull, ...); on the k-NN
+    # and winsorising plans, which alias many conditional expressions, it costs the
+    # optimizer seconds per round. Recommended on the cluster for those jobs too.
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.driver.memory": "16g",
     # Remove checkpoint files once the DataFrames that use them are gone.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
