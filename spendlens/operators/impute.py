@@ -44,19 +44,18 @@ def _bit(mask: Column, j: int) -> Column:
     return (F.shiftright(mask, j) % 2) == 1
 
 
-def _offsets_map(m: int) -> Column:
-    """Map: common-coordinate mask -> all neighbour offset vectors over those dims."""
-    pairs = []
+def _offsets(spark, m: int) -> DataFrame:
+    """Inline table ``(_c, _off)``: for every common-coordinate mask, each neighbour
+    offset vector over its dimensions (3^|mask| rows per mask, at most 4^m in all)."""
+    rows = []
     for mask in range(1, 2**m):
         dims = [j for j in range(m) if mask >> j & 1]
-        offs = []
         for combo in itertools.product((-1, 0, 1), repeat=len(dims)):
             v = [0] * m
             for d, o in zip(dims, combo):
                 v[d] = o
-            offs.append(F.array(*[F.lit(x).cast("bigint") for x in v]))
-        pairs += [F.lit(mask), F.array(*offs)]
-    return F.create_map(*pairs)
+            rows.append((mask, v))
+    return spark.createDataFrame(rows, "_c bigint, _off array<bigint>")
 
 
 def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, salts: int = 16) -> DataFrame:
@@ -124,7 +123,7 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
     for r in class_rows:
         by_task_cls.setdefault(int(r["_t"]) * (1 << m) + int(r["_rpat"]), []).append(int(r["_c"]))
 
-    offsets = _offsets_map(m)
+    offsets = _offsets(df.sparkSession, m)
     results = []
     pending = checkpointed(tasks)
     rnd = 0
@@ -156,7 +155,8 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
         rside = (
             pn.join(F.broadcast(cl), (F.col("pn._t") == F.col("cl._t")) & (F.col("pn._pat") == F.col("cl._rpat")))
             .select("pn.*", F.col("cl._dpat").alias("_dpat"), F.col("cl._c").alias("_c"))
-            .withColumn("_off", F.explode(offsets[F.col("_c")]))
+            # ``offsets`` has at most 4^m rows: a proven bound, safe to broadcast.
+            .join(F.broadcast(offsets), "_c")
             .withColumn("_cell", cell([F.col(f"_r{j}") for j in range(m)], F.col("_c"), F.col("_off")))
             .drop("_off")
         )
