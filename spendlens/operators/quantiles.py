@@ -8,8 +8,9 @@ which does not survive a high-cardinality column at scale. Here:
    held by a third of all rows is one row per task before the shuffle);
 2. approximate quantiles of the distinct values split each key into ``buckets``
    value ranges; a bucket is a contiguous, bounded slice of the sorted values;
-3. bucket totals (keys x buckets rows) give each bucket's rank offset; a running
-   sum inside each bucket gives every distinct value its rank interval;
+3. bucket totals (keys x buckets rows) give each bucket's rank offset and tell
+   which buckets hold a rank the requested quantiles read; only those buckets are
+   sorted, and a running sum inside each gives its values their rank intervals;
 4. the ranks the interpolation needs, ``floor(h)`` and ``floor(h)+1`` with
    ``h = (n-1)p``, are looked up by an equi-join on the keys plus a range
    condition, and interpolated as NumPy does (``lerp``).
@@ -63,17 +64,34 @@ def _count_below(splits: Column, value: Column, lo: int, hi: int) -> Column:
     )
 
 
+def _targets(per_key: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(keys, p, _h, _lo, _hi)``: the 0-based ranks linear interpolation reads,
+    ``floor(h)`` and ``floor(h)+1`` with ``h = (n-1)p`` (one rank when ``h`` is whole)."""
+    p_arr = F.array(*[F.lit(float(p)) for p in probs])
+    h = (F.col("n") - 1).cast("double") * F.col("p")
+    return (
+        per_key.select(*keys, "n", F.explode(p_arr).alias("p"))
+        .select(*keys, "p", h.alias("_h"))
+        .withColumn("_lo", F.floor("_h").cast("bigint"))
+        .withColumn("_hi", F.when(F.col("_h") > F.col("_lo"), F.col("_lo") + 1).otherwise(F.col("_lo")))
+    )
+
+
 def ranked_values(
-    long: DataFrame, keys: Sequence[str], buckets: int | None = None
+    long: DataFrame, keys: Sequence[str], buckets: int | None = None, probs: Sequence[float] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct values per key with their rank interval ``[rank_lo, rank_hi)`` in the
-    sorted multiset, and the per-key totals ``(keys, n)``."""
+    sorted multiset, and the per-key totals ``(keys, n)``.
+
+    With ``probs``, only the buckets holding a rank those quantiles read are ranked:
+    bucket totals locate them, so the sort covers about ``2 * len(probs)`` buckets
+    per key instead of all of them."""
     keys = list(keys)
     # The only pass over the input; everything after reads these distinct values.
     vc = checkpointed(value_counts(long, keys))
     b = _bucket_count(long, buckets)
-    probs = [i / b for i in range(1, b)]
-    splits = vc.groupBy(*keys).agg(F.percentile_approx("value", probs, 10000).alias("_splits"))
+    split_probs = [i / b for i in range(1, b)]
+    splits = vc.groupBy(*keys).agg(F.percentile_approx("value", split_probs, 10000).alias("_splits"))
     if keys:
         vc = vc.join(splits, keys)
     else:
@@ -86,23 +104,35 @@ def ranked_values(
     totals = totals.select(
         *keys,
         "_bucket",
+        "_btotal",
         (F.sum("_btotal").over(by_key.orderBy("_bucket")) - F.col("_btotal")).alias("_offset"),
         F.sum("_btotal").over(by_key).alias("n"),
     )
+    per_key = totals.select(*keys, "n").distinct()
+    if probs is not None:
+        t, bt = _targets(per_key, keys, probs).alias("t"), totals.alias("b")
+        cond = [F.col(f"t.{k}") == F.col(f"b.{k}") for k in keys] + [
+            F.col("b._offset") <= F.col("t._hi"),
+            F.col("t._lo") < F.col("b._offset") + F.col("b._btotal"),
+        ]
+        needed = t.join(bt, cond).select(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("b._bucket")).distinct()
+        vc = vc.join(needed, [*keys, "_bucket"], "left_semi")
     in_bucket = W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     # Buckets hold about equal numbers of distinct values, so a fixed partition count
     # on (keys, bucket) is balanced; the window reuses this partitioning, and AQE does
     # not merge the sort-heavy window into a few tasks because its input is small.
     parts = max(2, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     vc = vc.repartition(parts, *keys, "_bucket")
-    ranked = vc.withColumn("_run", F.sum("cnt").over(in_bucket)).join(totals, [*keys, "_bucket"])
+    ranked = vc.withColumn("_run", F.sum("cnt").over(in_bucket)).join(
+        totals.select(*keys, "_bucket", "_offset"), [*keys, "_bucket"]
+    )
     ranked = ranked.select(
         *keys,
         "value",
         (F.col("_offset") + F.col("_run") - F.col("cnt")).alias("rank_lo"),
         (F.col("_offset") + F.col("_run")).alias("rank_hi"),
     )
-    return ranked, totals.select(*keys, "n").distinct()
+    return ranked, per_key
 
 
 def quantiles(
@@ -118,16 +148,8 @@ def quantiles(
     values with the (small) target table on the keys plus a rank-range condition,
     and combined by one aggregate."""
     keys = list(keys)
-    ranked, per_key = ranked_values(long, keys, buckets)
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    h = (F.col("n") - 1).cast("double") * F.col("p")
-    targets = (
-        per_key.select(*keys, "n", F.explode(p_arr).alias("p"))
-        .select(*keys, "p", h.alias("_h"))
-        .withColumn("_lo", F.floor("_h").cast("bigint"))
-        .withColumn("_hi", F.when(F.col("_h") > F.col("_lo"), F.col("_lo") + 1).otherwise(F.col("_lo")))
-        .alias("t")
-    )
+    ranked, per_key = ranked_values(long, keys, buckets, probs)
+    targets = _targets(per_key, keys, probs).alias("t")
     r = ranked.alias("r")
     cond = [F.col(f"t.{k}") == F.col(f"r.{k}") for k in keys] + [
         F.col("r.rank_lo") <= F.col("t._hi"),
