@@ -39,6 +39,10 @@ def value_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+# Below this many buckets every bucket is sorted (see ``ranked_values``).
+PRUNE_MIN_BUCKETS = 64
+
+
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return buckets
@@ -83,9 +87,9 @@ def ranked_values(
     """Distinct values per key with their rank interval ``[rank_lo, rank_hi)`` in the
     sorted multiset, and the per-key totals ``(keys, n)``.
 
-    With ``probs``, only the buckets holding a rank those quantiles read are ranked:
-    bucket totals locate them, so the sort covers about ``2 * len(probs)`` buckets
-    per key instead of all of them."""
+    With ``probs`` and many buckets, only the buckets holding a rank those quantiles
+    read are ranked: bucket totals locate them, so the sort covers about
+    ``2 * len(probs)`` buckets per key instead of all of them."""
     keys = list(keys)
     # The only pass over the input; everything after reads these distinct values.
     vc = checkpointed(value_counts(long, keys))
@@ -109,7 +113,9 @@ def ranked_values(
         F.sum("_btotal").over(by_key).alias("n"),
     )
     per_key = totals.select(*keys, "n").distinct()
-    if probs is not None:
+    # Pruning costs a few small stages; it pays once buckets are many (large inputs,
+    # many shuffle partitions) and the requested ranks touch a small share of them.
+    if probs is not None and b >= PRUNE_MIN_BUCKETS and 2 * len(probs) * 4 <= b:
         t, bt = _targets(per_key, keys, probs).alias("t"), totals.alias("b")
         cond = [F.col(f"t.{k}") == F.col(f"b.{k}") for k in keys] + [
             F.col("b._offset") <= F.col("t._hi"),

@@ -205,3 +205,17 @@ def test_knn_fewer_donors_than_k(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (3.0, 5.0)], "a double, b double")
     got = [r["b"] for r in impute.knn_impute(df, ["a", "b"]).collect()]
     assert sorted(got) == [1.0, 3.0, 5.0]  # mean of the two donors
+
+
+def test_quantiles_pruned_buckets_match_numpy(spark):
+    # Enough buckets that only those holding the requested ranks are sorted.
+    rng = np.random.default_rng(7)
+    a = np.concatenate([rng.normal(size=2000).round(2), np.full(1500, 1.5), rng.integers(0, 20, 500).astype(float)])
+    df = spark.createDataFrame([(float(v), "k" if i % 3 else "j") for i, v in enumerate(a)], "value double, g string")
+    probs = [0.25, 0.75]
+    assert quantiles.PRUNE_MIN_BUCKETS <= 128
+    got = {(r["g"], r["p"]): r["q"] for r in quantiles.quantiles(df, probs, keys=["g"], buckets=128).collect()}
+    for g in ("j", "k"):
+        sub = np.array([v for i, v in enumerate(a) if (i % 3 == 0) == (g == "j")])
+        for p in probs:
+            assert got[(g, p)] == np.quantile(sub, p)
