@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregates import pearson
+from ..session import checkpointed
 from . import quantiles as Q
 
 # Fixed defaults of the source: IQR limits at 25/75 for capping, 20/80 for the
@@ -359,17 +360,20 @@ def boxplot_stats(df: DataFrame, value: str = "freight_value", group: str = "cus
     """O-50: per group median, quartiles, whiskers (most extreme values within
     1.5 IQR of the quartiles) and the count of values beyond them."""
     long = df.select(F.col(group), F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull())
-    qs = Q.quantiles(long, [0.25, 0.5, 0.75], keys=[group])
+    # One pass over the input: distinct (group, value) with counts, materialised; the
+    # quantiles and the whisker/flier statistics both read this small table.
+    vc = checkpointed(Q.value_counts(long, [group]))
+    qs = Q.quantiles(vc, [0.25, 0.5, 0.75], keys=[group], weight="cnt")
     box = Q.pivot_probs(qs, [group], {0.25: "q1", 0.5: "median", 0.75: "q3"})
     iqr = F.col("q3") - F.col("q1")
     box = box.withColumn("_lo", F.col("q1") - IQR_FACTOR * iqr).withColumn("_hi", F.col("q3") + IQR_FACTOR * iqr)
     v = F.col("value")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    stats = long.join(box.select(group, "_lo", "_hi"), group).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
+    stats = vc.join(box.select(group, "_lo", "_hi"), group).groupBy(group).agg(
+        F.sum("cnt").alias("n"),
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("n_fliers"),
+        F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0).cast("bigint"))).alias("n_fliers"),
     )
     return box.drop("_lo", "_hi").join(stats, group)
 

@@ -35,8 +35,10 @@ def to_long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), nam
     return df.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
 
 
-def value_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+def value_counts(long: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """``(keys, value, cnt)``; with ``weight``, rows already carry a count."""
+    cnt = F.sum(weight).cast("bigint") if weight else F.count(F.lit(1))
+    return long.groupBy(*keys, "value").agg(cnt.alias("cnt"))
 
 
 # Below this many buckets every bucket is sorted (see ``ranked_values``).
@@ -82,7 +84,11 @@ def _targets(per_key: DataFrame, keys: Sequence[str], probs: Sequence[float]) ->
 
 
 def ranked_values(
-    long: DataFrame, keys: Sequence[str], buckets: int | None = None, probs: Sequence[float] | None = None
+    long: DataFrame,
+    keys: Sequence[str],
+    buckets: int | None = None,
+    probs: Sequence[float] | None = None,
+    weight: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct values per key with their rank interval ``[rank_lo, rank_hi)`` in the
     sorted multiset, and the per-key totals ``(keys, n)``.
@@ -92,7 +98,7 @@ def ranked_values(
     ``2 * len(probs)`` buckets per key instead of all of them."""
     keys = list(keys)
     # The only pass over the input; everything after reads these distinct values.
-    vc = checkpointed(value_counts(long, keys))
+    vc = checkpointed(value_counts(long, keys, weight))
     b = _bucket_count(long, buckets)
     split_probs = [i / b for i in range(1, b)]
     splits = vc.groupBy(*keys).agg(F.percentile_approx("value", split_probs, 10000).alias("_splits"))
@@ -146,15 +152,17 @@ def quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     buckets: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``keys``:
-    rows ``(keys..., p, q)`` for every key with at least one value.
+    rows ``(keys..., p, q)`` for every key with at least one value. ``weight``
+    names a column of row multiplicities (input already reduced to value counts).
 
     The two order statistics per (key, p) are found by one join of the ranked
     values with the (small) target table on the keys plus a rank-range condition,
     and combined by one aggregate."""
     keys = list(keys)
-    ranked, per_key = ranked_values(long, keys, buckets, probs)
+    ranked, per_key = ranked_values(long, keys, buckets, probs, weight)
     targets = _targets(per_key, keys, probs).alias("t")
     r = ranked.alias("r")
     cond = [F.col(f"t.{k}") == F.col(f"r.{k}") for k in keys] + [
