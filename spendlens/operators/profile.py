@@ -70,9 +70,21 @@ def outlier_limits(
     with ``<col>__low`` / ``<col>__up`` when ``wide``."""
     probs = [lower_q, upper_q]
     qs = Q.column_quantiles(df, columns, probs) if exact else Q.approx_column_quantiles(df, columns, probs)
+    long = _iqr_limits(qs, lower_q, upper_q)
+    if not wide:
+        return long
+    aggs: list[Column] = []
+    for c in columns:
+        aggs.append(F.max(F.when(F.col("column_name") == c, F.col("low_limit"))).alias(f"{c}__low"))
+        aggs.append(F.max(F.when(F.col("column_name") == c, F.col("up_limit"))).alias(f"{c}__up"))
+    return long.agg(*aggs)
+
+
+def _iqr_limits(qs: DataFrame, lower_q: float, upper_q: float) -> DataFrame:
+    """``(column_name, p, q)`` -> ``(column_name, q1, q3, iqr, low_limit, up_limit)``."""
     p = Q.pivot_probs(qs, ["column_name"], {lower_q: "q1", upper_q: "q3"})
     iqr = F.col("q3") - F.col("q1")
-    long = p.select(
+    return p.select(
         "column_name",
         "q1",
         "q3",
@@ -80,13 +92,6 @@ def outlier_limits(
         (F.col("q1") - IQR_FACTOR * iqr).alias("low_limit"),
         (F.col("q3") + IQR_FACTOR * iqr).alias("up_limit"),
     )
-    if not wide:
-        return long
-    aggs: list[Column] = []
-    for c in columns:
-        aggs.append(F.max(F.when(F.col("column_name") == c, F.col("low_limit"))).alias(f"{c}__low"))
-        aggs.append(F.max(F.when(F.col("column_name") == c, F.col("up_limit"))).alias(f"{c}__up"))
-    return long.agg(*aggs)
 
 
 def outlier_check(
@@ -99,11 +104,30 @@ def outlier_check(
     """O-18: does any value lie outside the limits (20/80 by default)?
     ``(column_name, low_limit, up_limit, n_outliers, has_outlier)``.
 
-    The limits are one scalar-subquery row; the counts are one aggregate pass over
-    ``df`` with a conditional count per column."""
+    Exact: one pass over ``df`` into materialised ``(column, value, count)`` rows;
+    the limits and the outlier counts both read that table. Approximate: the limits
+    are one scalar-subquery row and the counts one aggregate pass over ``df``."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, low_limit double, up_limit double, "
                                                "n_outliers bigint, has_outlier boolean")
+    if exact:
+        vc = checkpointed(Q.value_counts(Q.to_long(df, columns), ["column_name"]))
+        qs = Q.quantiles(vc, [lower_q, upper_q], keys=["column_name"], weight="cnt")
+        lim = _iqr_limits(qs, lower_q, upper_q).select("column_name", "low_limit", "up_limit")
+        v = F.col("value")
+        outside = (v > F.col("up_limit")) | (v < F.col("low_limit"))
+        counts = vc.join(lim, "column_name").groupBy("column_name").agg(
+            F.sum(F.when(outside, F.col("cnt")).otherwise(F.lit(0).cast("bigint"))).alias("n_outliers")
+        )
+        # Every requested column gets a row, also one without values (null limits, 0).
+        names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+        out = names.join(lim, "column_name", "left").join(counts, "column_name", "left").select(
+            "column_name",
+            "low_limit",
+            "up_limit",
+            F.coalesce(F.col("n_outliers"), F.lit(0).cast("bigint")).alias("n_outliers"),
+        )
+        return out.withColumn("has_outlier", F.col("n_outliers") > 0)
     lim = outlier_limits(df, columns, lower_q, upper_q, exact=exact, wide=True)
     s = lim.select(F.struct(*[F.col(c) for c in lim.columns]).alias("s")).scalar()
     counts = df.agg(
