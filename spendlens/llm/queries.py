@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id
+from . import bpe, decontaminate, language_id, suffix_dedup
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,10 +56,22 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {}
