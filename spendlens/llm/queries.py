@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, suffix_dedup
+from . import bpe, decontaminate, language_id, ngram_join, suffix_dedup
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def _bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_read(spark, sf_dir, "documents"), bpe.vocabulary(_bpe_path()))
     return bpe_digests(coded)
@@ -68,6 +72,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
