@@ -4,7 +4,7 @@ Both look for windows (fixed-length runs of units: bytes or words) that also sta
 row with a smaller id. A *finder* says what the units are, which content-determined
 anchor owns each window, where a record is sent and how windows are grouped by content.
 
-1. Rows are dealt into batches of a few MB by a hash of the id; the one shuffle of the
+1. Rows are dealt into batches of a few MB by a hash of the text; the one shuffle of the
    texts, reused by steps 2, 4 and 6.
 2. Each batch sends the distinct fingerprints of its anchors, once per batch (pre-aggregated,
    so a passage found everywhere costs one entry per batch), in slices of the hash range.
@@ -20,11 +20,14 @@ Nothing but row counts and (for one finder) splitters reaches the driver.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ._bytes import binary_array, column_bytes, ragged, span_hashes
 
 BATCH_BYTES = 8 << 20
@@ -54,6 +57,26 @@ def _joined(column, dtype) -> tuple[list[np.ndarray], np.ndarray]:
     return parts, (np.concatenate(parts) if parts else np.zeros(0, dtype))
 
 
+def _distinct_records(units: np.ndarray, first: np.ndarray, count: np.ndarray, window: int):
+    """(one index per distinct record, number of the distinct record of each)."""
+    width = window - 1 + count
+    n, longest = len(first), int(width.max()) if len(first) else 0
+    body = np.zeros((n, longest), units.dtype)
+    body[np.repeat(np.arange(n), width), ragged(np.zeros(n, np.int64), width)] = units[ragged(first, width)]
+    tail = np.stack([count & 255, (count >> 8) + 1], axis=1).astype(np.uint8)
+    rows = np.ascontiguousarray(np.concatenate([body.view(np.uint8).reshape(n, longest * units.dtype.itemsize), tail], axis=1))
+    _, pick, of = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return pick, of
+
+
+def _local_copies(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows (sorted by id) whose whole text an earlier row with a smaller id of the batch has."""
+    raw, at = data.tobytes(), offsets.tolist()
+    h = np.array([hashlib.blake2b(raw[a:z], digest_size=16).hexdigest() for a, z in zip(at, at[1:])] or [""])[: len(ids)]
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    return ids > ids[first][of]
+
+
 def _shared_slices(table):
     """Step 3: for each batch's sorted fingerprints, a bit for those of several batches."""
     parts, values = _joined(table.column("keys"), np.uint64)
@@ -66,17 +89,29 @@ def _shared_slices(table):
     return pa.table({"g": table.column("g"), "b": table.column("b"), "bits": pa.array(bits, pa.binary())})
 
 
-def unshuffled_batches(docs: DataFrame, id_col: str, text_col: str, keep, n: int) -> DataFrame:
-    columns = [F.col(f"`{c}`") for c in keep]
-    g = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n)).cast("int").alias("__g")
-    return docs.select(g, F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), *columns)
+def dealt(docs: DataFrame, id_col: str, text_col: str, keep, batch_bytes: int) -> tuple[DataFrame, int]:
+    """(rows with their batch number ``__g``, number of batches).
+
+    Equal texts meet in one batch, where only one of them need be looked at. Texts whose
+    copies fill more than a batch, of which there are fewer than batches, are spread by id.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    weights = docs.select(F.xxhash64(text).alias("__h"), F.octet_length(text).alias("n")).groupBy("__h").agg(F.sum("n").alias("n"))
+    weights = checkpointed(weights)
+    n = max(1, -(-(weights.agg(F.sum("n")).first()[0] or 0) // batch_bytes))
+    large = weights.where(F.col("n") > batch_bytes).select("__h", F.ceil(F.col("n") / batch_bytes).cast("long").alias("__parts"))
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__h"), *[F.col(f"`{c}`") for c in keep]
+    ).join(F.broadcast(large), "__h", "left")
+    part = F.pmod(F.xxhash64("__id"), F.coalesce("__parts", F.lit(1)))
+    g = F.pmod(F.xxhash64("__h", part), F.lit(n)).cast("int").alias("__g")
+    return rows.select(g, "__id", "__text", *[F.col(f"`{c}`") for c in keep]), n
 
 
 def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=(), batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The columns of ``keep`` and what ``finder.result`` makes of each row's repeats."""
     keep = [c for c in keep]
-    n = max(1, -(-text_bytes(docs, text_col) // batch_bytes))
-    base = unshuffled_batches(docs, id_col, text_col, keep, n)
+    base, n = dealt(docs, id_col, text_col, keep, batch_bytes)
     step = (1 << 64) // n + 1  # width of a slice of the hash range
 
     def slices(keys: np.ndarray) -> np.ndarray:
@@ -112,16 +147,12 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
             np.minimum.at(low, inverse, own)
             np.maximum.at(high, inverse, own)
             shared |= low < high
-        use = np.nonzero(shared[inverse])[0] if len(keys) else np.zeros(0, np.int64)
+        copies = _local_copies(ids, data, offsets)  # go as a whole, in step 6
+        use = np.nonzero(shared[inverse] & ~copies[row])[0] if len(keys) else np.zeros(0, np.int64)
         first, count, row, anchor = found.first[use], found.count[use], row[use], found.anchor[use]
         # equal records of the batch become one, with the places where it stands
+        pick, of = _distinct_records(units, first, count, finder.window)
         width = finder.window - 1 + count
-        longest = int(width.max()) if len(use) else 0
-        body = np.zeros((len(use), longest), units.dtype)
-        body[np.repeat(np.arange(len(use)), width), ragged(np.zeros(len(use), np.int64), width)] = units[ragged(first, width)]
-        tail = np.stack([count & 255, (count >> 8) + 1], axis=1).astype(np.uint8)
-        padded = np.ascontiguousarray(np.concatenate([body.view(np.uint8).reshape(len(use), longest * units.dtype.itemsize), tail], axis=1))
-        _, pick, of = np.unique(padded.view(f"V{padded.shape[1]}").ravel(), return_index=True, return_inverse=True)
         to = finder.route(units, anchor[pick], found.key[use][pick]) if len(pick) else np.zeros(0, np.int64)
         rank = np.empty(len(pick), np.int64)
         by_route = np.argsort(to, kind="stable")
@@ -129,7 +160,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         place = np.lexsort((ids[row], rank[of])) if len(use) else np.zeros(0, np.int64)  # places by record, smallest id first
         n_places = np.bincount(rank[of], minlength=len(pick))
         place_end = np.cumsum(n_places)
-        out = {k: [] for k in ("c", "g", "count", "units", "n_places", "id", "row", "start")}
+        out = {k: [] for k in ("c", "g", "count", "units", "size", "n_places", "id", "row", "start")}
         dest, begin = np.unique(to[by_route], return_index=True)
         for c, a, z in zip(dest.tolist(), begin.tolist(), np.append(begin[1:], len(pick)).tolist()):
             chosen = pick[by_route[a:z]]
@@ -138,19 +169,22 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
             out["c"].append(c)
             out["g"].append(key[0].as_py())
             out["count"].append(count[chosen].astype(np.uint16).tobytes())
-            out["units"].append(body.tobytes())
+            out["units"].append(pa.compress(body.tobytes(), codec="zstd", asbytes=True))
+            out["size"].append(body.nbytes)
             out["n_places"].append(n_places[a:z].astype(np.uint32).tobytes())
             out["id"].append(ids[row[at]].tobytes())
             out["row"].append(row[at].astype(np.uint32).tobytes())
             out["start"].append((first[at] - bounds[row[at]]).astype(np.uint32).tobytes())
-        kinds = {"c": pa.int32(), "g": pa.int32()}
+        kinds = {"c": pa.int32(), "g": pa.int32(), "size": pa.int32()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
     def compare(table):
         """Step 5, for all records of one destination."""
         sources = table.column("g").to_pylist()
         counts, count = _joined(table.column("count"), np.uint16)
-        _, units = _joined(table.column("units"), finder.dtype)
+        raw = [pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(table.column("units").to_pylist(), table.column("size").to_pylist())]
+        units = np.frombuffer(b"".join(raw), finder.dtype)
+        del raw
         _, n_places = _joined(table.column("n_places"), np.uint32)
         _, ids = _joined(table.column("id"), np.int64)
         rows, row = _joined(table.column("row"), np.uint32)
@@ -158,15 +192,17 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         count, n_places = count.astype(np.int64), n_places.astype(np.int64)
         begin = np.cumsum(count + finder.window - 1) - (count + finder.window - 1)
         least = ids[np.cumsum(n_places) - n_places]  # smallest id of each record
-        windows = ragged(begin, count)
+        pick, of = _distinct_records(units, begin, count, finder.window)
+        lowest = np.full(len(pick), NO_ID)
+        np.minimum.at(lowest, of, least)
+        windows = ragged(begin[pick], count[pick])
         order, group = finder.group(units, windows)
         low = np.full(int(group[-1]) + 1 if len(group) else 0, NO_ID)
-        owner = np.repeat(np.arange(len(count)), count)
-        np.minimum.at(low, group, least[owner[order]])
+        np.minimum.at(low, group, np.repeat(lowest, count[pick])[order])
         window_low = np.empty(len(windows), np.int64)
         window_low[order] = low[group]
         # each place: every window of it whose group has a smaller id
-        first_window = np.cumsum(count) - count
+        first_window = (np.cumsum(count[pick]) - count[pick])[of]
         record = np.repeat(np.arange(len(count)), n_places)
         w = ragged(first_window[record], count[record])
         place = np.repeat(np.arange(len(record)), count[record])
@@ -192,7 +228,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         return pa.table({k: pa.array(v, pa.int32() if k == "g" else pa.binary()) for k, v in out.items()})
 
     def finish(key, table, spans):
-        _, data, offsets, order = _rows(table)
+        ids, data, offsets, order = _rows(table)
         units, bounds, *more = finder.units(data, offsets)
         _, row = _joined(spans.column("row"), np.uint32)
         _, a = _joined(spans.column("a"), np.uint32)
@@ -201,6 +237,8 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         np.add.at(change, bounds[row] + a, 1)
         np.add.at(change, bounds[row] + z, -1)
         removed = np.cumsum(change[:-1]) > 0
+        copies = _local_copies(ids, data, offsets)
+        removed |= np.repeat(copies & (np.diff(bounds) >= finder.window), np.diff(bounds))
         made = finder.result(data, offsets, bounds, removed, *more)
         kept = [table.column(c).take(pa.array(order)) for c in keep]
         return pa.Table.from_arrays([*kept, *made], [*keep, *[name for name, _ in finder.fields]])
@@ -209,7 +247,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
     sent = batches.applyInArrow(fingerprints, "b int, g int, keys binary")
     replies = sent.groupBy("b").applyInArrow(_shared_slices, "g int, b int, bits binary")
     found = batches.cogroup(replies.groupBy("g")).applyInArrow(
-        records, "c int, g int, count binary, units binary, n_places binary, id binary, row binary, start binary"
+        records, "c int, g int, count binary, units binary, size int, n_places binary, id binary, row binary, start binary"
     )
     spans = found.groupBy("c").applyInArrow(compare, "g int, row binary, a binary, z binary")
     ddl = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {t}" for n, t in finder.fields])

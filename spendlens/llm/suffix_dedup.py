@@ -69,9 +69,9 @@ class ByteFinder:
     """Units are bytes; see ``_repeats``."""
 
     dtype = np.dtype(np.uint8)
-    fields = (("n_bytes", "bigint"), ("spans", "array<struct<start:bigint,end:bigint>>"), ("kept", "binary"))
 
-    def __init__(self, window: int, splitters: list[bytes]):
+    def __init__(self, window: int, splitters: list[bytes], names=("n_bytes", "spans", "kept")):
+        self.fields = list(zip(names, ("bigint", "array<struct<start:bigint,end:bigint>>", "binary")))
         self.window = window
         self.lead = min(LEAD, window)
         self.splitters = splitters
@@ -101,7 +101,8 @@ class ByteFinder:
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
         tokens = np.zeros(len(data) + 1, np.uint64)
         for k in range(8):
-            tokens = (tokens << np.uint64(8)) | padded[k : k + len(tokens)].astype(np.uint64)
+            tokens <<= np.uint64(8)
+            tokens |= padded[k : k + len(tokens)]
         whole, rest = divmod(self.window, 8)
         return multikey_groups(tokens, starts, [(8 * k, 0) for k in range(whole)] + [(8 * whole, 64 - 8 * rest)] * bool(rest))
 
@@ -143,6 +144,7 @@ def remove_repeats(
     window: int = WINDOW,
     keep: tuple[str, ...] = ("doc_id",),
     batch_bytes: int = BATCH_BYTES,
+    names: tuple[str, str, str] = ("n_bytes", "spans", "kept"),
 ) -> DataFrame:
     """The columns of ``keep``, n_bytes, spans (maximal removed runs) and kept (bytes left).
 
@@ -152,6 +154,6 @@ def remove_repeats(
     against each other; repeated rows give repeated rows, extra columns are passed only
     where ``keep`` names them. Very long texts are handled in segments.
     """
-    buckets = max(1, -(-text_bytes(docs, text_col) // batch_bytes))
-    finder = ByteFinder(window, sampled_splitters(docs, text_col, window, buckets))
+    buckets = max(1, -(-3 * text_bytes(docs, text_col) // batch_bytes))
+    finder = ByteFinder(window, sampled_splitters(docs, text_col, window, buckets), names)
     return mark_repeats(docs, finder, id_col=id_col, text_col=text_col, keep=keep, batch_bytes=batch_bytes)
