@@ -10,12 +10,12 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from spendlens.llm import bpe, decontaminate, language_id, queries  # noqa: E402
+from spendlens.llm import bpe, decontaminate, language_id, ngram_join, queries, suffix_dedup  # noqa: E402
 from spendlens.session import ensure_checkpoint_dir, ship_package  # noqa: E402
 
 
@@ -28,6 +28,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return scored.where(F.col("__lang") != "und").select(*columns)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each group of near-duplicates (five words, 0.8)."""
+    groups = ngram_join.similar_groups(docs)
+    copies = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    return docs.join(copies, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the byte strings of 50 or more that a document with a smaller doc_id holds too.
+    A character that lost some of its bytes goes; n_chars counts what is left; a document
+    that lost all stays with an empty text, and a null text stays null."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    marked = suffix_dedup.remove_repeats(docs.withColumn("__null", F.col("text").isNull()), keep=(*others, "__null"), names=CUT)
+    kept = marked.withColumn("text", F.when(~F.col("__null"), whole_characters(F.col(CUT[2]))))
+    kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def whole_characters(kept) -> Column:
+    """The text of UTF-8 bytes of which some may be missing."""
+    text = F.coalesce(F.try_validate_utf8(kept), F.make_valid_utf8(kept))
+    return F.when(F.is_valid_utf8(kept), text).otherwise(F.replace(text, F.lit("\ufffd"), F.lit("")))
+
+
+CUT = ("__bytes", "__spans", "__kept")
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth or more repeats benchmark passages."""
     columns = docs.columns
@@ -44,6 +71,8 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
+    ("ngram_join", one_of_each_group),
+    ("suffix_dedup", without_repeats),
     ("decontaminate", decontaminated),
     ("bpe", tokenized),
 ]
