@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from ._bytes import binary_array, column_bytes, ragged, span_hashes
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max  # rows without id count as later than all others
 
 

@@ -154,6 +154,6 @@ def remove_repeats(
     against each other; repeated rows give repeated rows, extra columns are passed only
     where ``keep`` names them. Very long texts are handled in segments.
     """
-    buckets = max(1, -(-3 * text_bytes(docs, text_col) // batch_bytes))
+    buckets = max(1, -(-3 * text_bytes(docs, text_col) // (2 * batch_bytes)))
     finder = ByteFinder(window, sampled_splitters(docs, text_col, window, buckets), names)
     return mark_repeats(docs, finder, id_col=id_col, text_col=text_col, keep=keep, batch_bytes=batch_bytes)
