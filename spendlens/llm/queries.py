@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, ngram_join, suffix_dedup
+from . import bpe, decontaminate, language_id, ngram_join, recompression, rule_quality, suffix_dedup, toxicity
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -39,6 +39,12 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = language_id.is_held_out()
@@ -60,6 +66,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    labels = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(docs, labels, ["low_quality", "toxic"])
+    return toxicity.score(docs, chain).withColumn("toxic", toxicity.is_positive(chain, "toxic"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     return found.select(
@@ -71,12 +84,22 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _read(spark, sf_dir, "documents"), rule_quality.is_held_out()
+    model = rule_quality.fit(docs, _read(spark, sf_dir, "labels"), ~held)
+    scored = rule_quality.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
+    "op3_recompression": op3_recompression,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_rule_quality": op9_rule_quality,
 }
 
 ORACLE: dict[str, str] = {}
