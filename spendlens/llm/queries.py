@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, ngram_join, recompression, rule_quality, suffix_dedup, toxicity
+from . import (
+    bpe,
+    decontaminate,
+    language_id,
+    ngram_join,
+    recompression,
+    role_repair,
+    rule_quality,
+    suffix_dedup,
+    toxicity,
+    vector_graph,
+)
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,6 +77,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     labels = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
@@ -91,15 +106,21 @@ def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
     "op3_recompression": op3_recompression,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op6_role_repair": op6_role_repair,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_rule_quality": op9_rule_quality,
+    "op10_vector_graph": op10_vector_graph,
 }
 
 ORACLE: dict[str, str] = {}
