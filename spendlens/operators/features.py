@@ -167,12 +167,3 @@ def modeling_frame(sales: DataFrame, cutoff=DEFAULT_CUTOFF, weight: str | None =
         .withColumn(LABEL, log_target("actual_cltv"))
         .drop("_after")
     )
-
-
-def modeling_frame_from_parts(features: DataFrame, realized: DataFrame) -> DataFrame:
-    """O-41 in the source's form: inner join of the two frames."""
-    return (
-        features.join(realized, KEY, "inner")
-        .where(F.col("actual_cltv") > 0)
-        .withColumn(LABEL, log_target("actual_cltv"))
-    )

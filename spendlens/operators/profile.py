@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import pearson
 from ..session import checkpointed
 from . import quantiles as Q
 

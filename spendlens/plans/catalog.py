@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -351,7 +350,7 @@ def q_top_customers(spark, sf_dir):
 
 
 # Window helper re-exported for the flagship query.
-__all__ = ["QUERIES", "ORACLE", "W"]
+__all__ = ["QUERIES", "ORACLE"]
 
 
 # ------------------------------------------------------------------ cleaning and profiling
