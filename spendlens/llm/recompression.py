@@ -20,7 +20,7 @@ from ._repeats import BATCH_BYTES, Runs, mark_repeats, multikey_groups, owned_ru
 from .ngram_join import word_hashes
 
 WINDOW = 13
-ROUNDS = 3
+ROUNDS = 2  # a third rarely leaves a symbol that fits a window with all that determined it
 SEGMENT = 1 << 18  # windows handled at once
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -128,6 +128,10 @@ class WordFinder:
             if not open_.any():
                 break
             fits = np.nonzero((s.high - s.low <= self.window) & (s.low >= 0) & (s.high <= len(words)))[0]
+            # of these, the ones that lie in a window still without owner
+            total = np.concatenate([[0], np.cumsum(open_)])
+            first, last = np.clip(s.high[fits] - self.window, 0, n), np.clip(s.low[fits] + 1, 0, n)
+            fits = fits[total[last] > total[first]]
             low, high = s.low[fits], s.high[fits]
             inside = (prefix[high] - prefix[low]) * inverse[low]
             name = mix(inside + s.name[fits] * _K2 + mix((s.start[fits] - low).astype(np.uint64) * _K3 + np.uint64(level)))
@@ -135,7 +139,8 @@ class WordFinder:
             best = np.full(n, np.iinfo(np.uint64).max)
             for t in range(self.window):  # windows that start t words before the symbol's first word
                 use = (high - low + t <= self.window) & (low - t >= 0) & (low - t < n)
-                np.minimum.at(best, low[use] - t, rank[use])
+                at = low[use] - t  # where symbols share a first word, the last of them stands for all
+                best[at] = np.minimum(best[at], rank[use])
             got = open_ & (best < np.iinfo(np.uint64).max)
             place = (best[got] & _PLACE).astype(np.int64)
             names = np.zeros(len(s.name), np.uint64)
