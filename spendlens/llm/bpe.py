@@ -32,7 +32,7 @@ from ._bytes import (
 
 NONE = np.int32(2**31 - 1)
 CACHE_TOKENS = 400_000
-ENCODE_BYTES = 4 << 20  # distinct pre-tokens of so much text share one queue
+ENCODE_BYTES = 3 << 20  # distinct pre-tokens of so much text share one queue
 LONG = 512  # longer pre-tokens are encoded each for itself
 
 # Endings that the split pattern takes together with their apostrophe.
