@@ -70,6 +70,18 @@ def denormalize(t: Tables, payment_fanout: bool = True) -> DataFrame:
     return _ordered(df, t, payment_fanout)
 
 
+def product_sales(t: Tables) -> DataFrame:
+    """Products that occur in the fan-out frame, with ``sales_rows`` = how many of its
+    rows carry them (one translation row per category). Payments and items are counted
+    before they meet the products, with partial aggregation in every task, so a
+    best-selling product is one row per task."""
+    pay = t.payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("payment_rows"))
+    orders = _order_side(t).select("order_id").join(pay, "order_id")
+    sold = orders.join(t.items.select("order_id", "product_id"), "order_id")
+    counts = sold.groupBy("product_id").agg(F.sum("payment_rows").alias("sales_rows"))
+    return t.products.join(counts, "product_id")
+
+
 def weighted_sales(t: Tables) -> DataFrame:
     """The fan-out frame in compact form: one row per (order, item) with
     ``payment_rows`` = how many copies of that row the source's join produces.

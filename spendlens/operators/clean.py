@@ -73,16 +73,18 @@ def winsorize(
     lower_q: float = 0.25,
     upper_q: float = 0.75,
     exact: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """O-20: cap each column at its IQR limits: below low -> low, above up -> up,
-    null stays null (``least/greatest`` would turn null into a limit).
+    null stays null (``least/greatest`` would turn null into a limit). ``weight`` names a
+    column of row multiplicities that the limits count.
 
     All limits come from one aggregate (one row) that is cross-referenced as a
     scalar, so no join and no per-column pass is needed.
     """
     if not columns:
         return df
-    limits = profile.outlier_limits(df, columns, lower_q, upper_q, exact=exact, wide=True)
+    limits = profile.outlier_limits(df, columns, lower_q, upper_q, exact=exact, wide=True, weight=weight)
     # One scalar subquery (a struct of all limits), reused by every reference.
     s = limits.select(F.struct(*[F.col(c) for c in limits.columns])).scalar()
     out = []

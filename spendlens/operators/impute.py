@@ -58,8 +58,11 @@ def _offsets(spark, m: int) -> DataFrame:
     return spark.createDataFrame(rows, "_c bigint, _off array<bigint>")
 
 
-def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, salts: int = 16) -> DataFrame:
-    """``df`` with nulls in ``columns`` replaced by the k-NN estimate."""
+def knn_impute(
+    df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, salts: int = 16, weight: str | None = None
+) -> DataFrame:
+    """``df`` with nulls in ``columns`` replaced by the k-NN estimate. ``weight`` names a
+    column of row multiplicities (each copy is a donor)."""
     cols = list(columns)
     m = len(cols)
     full = 2**m - 1
@@ -67,8 +70,9 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
     pattern = sum((F.when(v[j].isNotNull(), 1 << j).otherwise(0) for j in range(m)), F.lit(0))
 
     # Distinct vectors with multiplicity: the donor table and the receiver table.
-    vecs = df.select(*[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
-    donors = checkpointed(vecs.groupBy(*[f"_v{j}" for j in range(m)]).agg(F.count(F.lit(1)).alias("mult")))
+    copies = F.sum(weight).cast("bigint") if weight else F.count(F.lit(1))
+    vecs = df.select(*([weight] if weight else []), *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
+    donors = checkpointed(vecs.groupBy(*[f"_v{j}" for j in range(m)]).agg(copies.alias("mult")))
     donors = donors.withColumn("_pat", pattern)
 
     stats = donors.agg(
@@ -125,7 +129,8 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = K_NEIGHBOURS, sal
 
     offsets = _offsets(df.sparkSession, m)
     results = []
-    pending = checkpointed(tasks)
+    # A vector without any value has no distance to a donor: it takes the column means.
+    pending = checkpointed(tasks.where(F.col("_pat") > 0))
     rnd = 0
     while True:
         h_of = {c: _class_h0(c) * GROWTH**rnd for c in masks}

@@ -63,12 +63,19 @@ def outlier_limits(
     upper_q: float = CAP_QUANTILES[1],
     exact: bool = True,
     wide: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """O-19: ``low = q1 - 1.5 IQR``, ``up = q3 + 1.5 IQR`` per column (linear
     quantiles). Long ``(column_name, q1, q3, iqr, low_limit, up_limit)``, or one wide row
-    with ``<col>__low`` / ``<col>__up`` when ``wide``."""
+    with ``<col>__low`` / ``<col>__up`` when ``wide``. ``weight`` (exact limits only) names a column of
+    row multiplicities."""
     probs = [lower_q, upper_q]
-    qs = Q.column_quantiles(df, columns, probs) if exact else Q.approx_column_quantiles(df, columns, probs)
+    if weight and not exact:
+        raise ValueError("weights need exact quantiles")
+    if exact:
+        qs = Q.column_quantiles(df, columns, probs, weight=weight)
+    else:
+        qs = Q.approx_column_quantiles(df, columns, probs)
     long = _iqr_limits(qs, lower_q, upper_q)
     if not wide:
         return long
@@ -99,6 +106,7 @@ def outlier_check(
     lower_q: float = CHECK_QUANTILES[0],
     upper_q: float = CHECK_QUANTILES[1],
     exact: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """O-18: does any value lie outside the limits (20/80 by default)?
     ``(column_name, low_limit, up_limit, n_outliers, has_outlier)``.
@@ -110,12 +118,14 @@ def outlier_check(
         return df.sparkSession.createDataFrame([], "column_name string, low_limit double, up_limit double, "
                                                "n_outliers bigint, has_outlier boolean")
     if exact:
-        vc = checkpointed(Q.value_counts(Q.to_long(df, columns), ["column_name"]))
+        long = Q.to_long(df, columns, [weight] if weight else ())
+        vc = checkpointed(Q.value_counts(long, ["column_name"], weight))
         qs = Q.quantiles(vc, [lower_q, upper_q], keys=["column_name"], weight="cnt")
         lim = _iqr_limits(qs, lower_q, upper_q).select("column_name", "low_limit", "up_limit")
         v = F.col("value")
         outside = (v > F.col("up_limit")) | (v < F.col("low_limit"))
-        counts = vc.join(lim, "column_name").groupBy("column_name").agg(
+        # One row per column: a proven bound, safe to broadcast.
+        counts = vc.join(F.broadcast(lim), "column_name").groupBy("column_name").agg(
             F.sum(F.when(outside, F.col("cnt")).otherwise(F.lit(0).cast("bigint"))).alias("n_outliers")
         )
         # Every requested column gets a row, also one without values (null limits, 0).
@@ -127,7 +137,7 @@ def outlier_check(
             F.coalesce(F.col("n_outliers"), F.lit(0).cast("bigint")).alias("n_outliers"),
         )
         return out.withColumn("has_outlier", F.col("n_outliers") > 0)
-    lim = outlier_limits(df, columns, lower_q, upper_q, exact=exact, wide=True)
+    lim = outlier_limits(df, columns, lower_q, upper_q, exact=exact, wide=True, weight=weight)
     s = lim.select(F.struct(*[F.col(c) for c in lim.columns]).alias("s")).scalar()
     counts = df.agg(
         *[
@@ -264,13 +274,21 @@ def table_profile(df: DataFrame, probs: Sequence[float] = PROFILE_QUANTILES) ->
 # ---------------------------------------------------------------- distributions
 
 
-def _column_stats(long: DataFrame) -> DataFrame:
-    return long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"),
+def _column_stats(vc: DataFrame) -> DataFrame:
+    """Count, range and sample variance per column from its ``(value, cnt)`` rows, the
+    variance around the mean in a second pass (no cancellation)."""
+    value, cnt = F.col("value"), F.col("cnt")
+    first = vc.groupBy("column_name").agg(
+        F.sum("cnt").alias("n"),
         F.min("value").alias("vmin"),
         F.max("value").alias("vmax"),
-        F.var_samp("value").alias("var"),
+        (F.sum(value * cnt) / F.sum("cnt")).alias("_mean"),
     )
+    # One row per column: a proven bound, safe to broadcast.
+    dev = vc.join(F.broadcast(first.select("column_name", "_mean")), "column_name")
+    ss = dev.groupBy("column_name").agg(F.sum(cnt * (value - F.col("_mean")) * (value - F.col("_mean"))).alias("_ss"))
+    var = F.try_divide(F.col("_ss"), (F.col("n") - 1).cast("double"))
+    return first.join(F.broadcast(ss), "column_name").select("column_name", "n", "vmin", "vmax", var.alias("var"))
 
 
 def _edges(stats: DataFrame) -> DataFrame:
@@ -281,15 +299,19 @@ def _edges(stats: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, columns: Sequence[str], bins: int = HIST_BINS) -> DataFrame:
+def histogram(
+    df: DataFrame, columns: Sequence[str], bins: int = HIST_BINS, weight: str | None = None
+) -> DataFrame:
     """O-47: equal-width bins over [min, max] per column, last bin right-closed,
     empty bins included: ``(column_name, bin, bin_start, bin_end, count)``."""
-    long = Q.to_long(df, columns)
-    edges = _edges(_column_stats(long))
+    long = Q.to_long(df, columns, [weight] if weight else ())
+    edges = _edges(long.groupBy("column_name").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax")))
     scale = F.lit(float(bins)) / (F.col("hi") - F.col("lo"))
     idx = F.least(F.floor((F.col("value") - F.col("lo")) * scale), F.lit(bins - 1)).cast("bigint")
-    counts = long.join(edges.select("column_name", "lo", "hi"), "column_name").groupBy("column_name", idx.alias("bin")).agg(
-        F.count(F.lit(1)).alias("count")
+    # One row per column: a proven bound, safe to broadcast.
+    bounds = F.broadcast(edges.select("column_name", "lo", "hi"))
+    counts = long.join(bounds, "column_name").groupBy("column_name", idx.alias("bin")).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("count")
     )
     grid = edges.select(
         "column_name", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
@@ -305,7 +327,12 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = HIST_BINS) -> D
 
 
 def kde_curve(
-    df: DataFrame, columns: Sequence[str], grid: int = KDE_GRID, bins: int = HIST_BINS, digits: int = 6
+    df: DataFrame,
+    columns: Sequence[str],
+    grid: int = KDE_GRID,
+    bins: int = HIST_BINS,
+    digits: int = 6,
+    weight: str | None = None,
 ) -> DataFrame:
     """O-48: Gaussian kernel density per column on ``grid`` points over [min, max],
     Scott bandwidth ``sd * n^(-1/5)``, scaled to the count histogram
@@ -315,16 +342,16 @@ def kde_curve(
     adds its kernel to every grid point (a fixed fan-out of ``grid``), summed with
     map-side partial aggregation, so only ``grid`` rows per column and task shuffle.
     """
-    long = Q.to_long(df, columns)
-    stats = _column_stats(long).where(F.col("n") > 1)
-    vc = Q.value_counts(long, ["column_name"])
+    long = Q.to_long(df, columns, [weight] if weight else ())
+    vc = checkpointed(Q.value_counts(long, ["column_name"], weight))
+    stats = _column_stats(vc).where(F.col("n") > 1)
     h = F.sqrt("var") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     step = (F.col("vmax") - F.col("vmin")) / F.lit(float(grid - 1))
     params = stats.select(
         "column_name", "n", "vmin", "vmax", h.alias("bw"), step.alias("step"),
         ((F.col("vmax") - F.col("vmin")) / F.lit(float(bins))).alias("binw"),
     )
-    pts = vc.join(params, "column_name").select(
+    pts = vc.join(F.broadcast(params), "column_name").select(
         "column_name", "value", "cnt", "bw", "vmin", "step",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))).alias("point"),
     )
@@ -333,7 +360,7 @@ def kde_curve(
     contrib = F.col("cnt") * F.exp(F.lit(-0.5) * z * z)
     sums = pts.groupBy("column_name", "point").agg(F.sum(contrib).alias("_k"))
     norm = F.col("bw") * F.lit(math.sqrt(2 * math.pi)) * F.col("n")
-    return sums.join(params, "column_name").select(
+    return sums.join(F.broadcast(params), "column_name").select(
         "column_name",
         "point",
         F.round(F.col("vmin") + F.col("step") * F.col("point"), digits).alias("x"),
@@ -341,7 +368,9 @@ def kde_curve(
     )
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
+def correlation_matrix(
+    df: DataFrame, columns: Sequence[str], digits: int = 6, weight: str | None = None
+) -> DataFrame:
     """O-49: Pearson correlation, pairwise-complete over nulls, long form
     ``(column_a, column_b, corr)`` for every ordered pair.
 
@@ -349,7 +378,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -
     (a fixed fan-out), rows with a null in the pair are dropped, and a group-by on
     the pair keeps three streaming moments (covariance and both variances) with
     map-side partial aggregation. A narrow aggregate per pair stays code-generated,
-    unlike one very wide aggregate over all pairs. A constant column gives null."""
+    unlike one very wide aggregate over all pairs. A constant column gives null.
+    With ``weight`` (row multiplicities) the moments are weighted sums around the means."""
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     cells = F.array(
@@ -358,10 +388,22 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    long = df.select(F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    mom = long.groupBy("pair").agg(
-        F.covar_samp("x", "y").alias("cxy"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy")
-    )
+    long = df.select(*([weight] if weight else []), F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if weight:
+        w = F.col(weight)
+        means = long.groupBy("pair").agg(
+            *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"m{c}") for c in "xy"],
+            *[(F.min(c) == F.max(c)).alias(f"const_{c}") for c in "xy"],
+        )  # one row per column pair: a proven bound, safe to broadcast
+        dx = F.when(F.col("const_x"), 0.0).otherwise(F.col("x") - F.col("mx"))
+        dy = F.when(F.col("const_y"), 0.0).otherwise(F.col("y") - F.col("my"))
+        mom = long.join(F.broadcast(means), "pair").groupBy("pair").agg(
+            F.sum(w * dx * dy).alias("cxy"), F.sum(w * dx * dx).alias("vx"), F.sum(w * dy * dy).alias("vy")
+        )
+    else:
+        mom = long.groupBy("pair").agg(
+            F.covar_samp("x", "y").alias("cxy"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy")
+        )
     r = F.try_divide(F.col("cxy"), F.sqrt(F.col("vx") * F.col("vy")))
     corr = F.round(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), digits)
     first = F.array(*[F.lit(a) for a, _ in pairs])
@@ -401,13 +443,21 @@ def boxplot_stats(df: DataFrame, value: str = "freight_value", group: str = "cus
     return box.drop("_lo", "_hi").join(stats, group)
 
 
-def summary_stats(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
+def summary_stats(
+    df: DataFrame, columns: Sequence[str], digits: int = 6, weight: str | None = None
+) -> DataFrame:
     """O-51: mean, min and max per column, one aggregate."""
     cols = list(columns)
+
+    def mean(c: Column) -> Column:
+        if not weight:
+            return F.avg(c)
+        return F.try_divide(F.sum(c * F.col(weight)), F.sum(F.when(c.isNotNull(), F.col(weight))))
+
     aggs: list[Column] = []
     for c in cols:
         aggs += [
-            F.round(F.avg(c), digits).alias(f"{c}__mean"),
+            F.round(mean(F.col(c)), digits).alias(f"{c}__mean"),
             F.min(F.col(c).cast("double")).alias(f"{c}__min"),
             F.max(F.col(c).cast("double")).alias(f"{c}__max"),
         ]

@@ -181,10 +181,15 @@ def quantiles(
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], buckets: int | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    buckets: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles of several numeric columns at once: ``(column_name, p, q)``."""
-    return quantiles(to_long(df, columns), probs, keys=["column_name"], buckets=buckets)
+    long = to_long(df, columns, [weight] if weight else ())
+    return quantiles(long, probs, keys=["column_name"], buckets=buckets, weight=weight)
 
 
 def approx_column_quantiles(

@@ -356,25 +356,17 @@ __all__ = ["QUERIES", "ORACLE"]
 # ------------------------------------------------------------------ cleaning and profiling
 
 # Product columns as the source classifies them (cat_th=10, car_th=15): every
-# numeric column (the fixture's integer product id included, as the type-based rule
-# has it); the photo count (6 values) counts as categorical.
+# numeric column; the photo count (6 values) counts as categorical, the id as cardinal.
 CAT_TH, CAR_TH = 10, 15
 
 
-_NUM_COLS: dict[int, list[str]] = {}
-
-
 def _num_cols(t) -> list[str]:
     """The source's ``num_cols`` of the products table (small metadata: one row per
-    product column), computed once per products plan."""
-    key = id(t.products.sparkSession), t.products.semanticHash()
-    if key not in _NUM_COLS:
-        _NUM_COLS[key] = profile.class_lists(profile.column_classes(t.products, CAT_TH, CAR_TH))["num_cols"]
-    return _NUM_COLS[key]
+    product column)."""
+    return profile.class_lists(profile.column_classes(t.products, CAT_TH, CAR_TH))["num_cols"]
 
 
 NUM_COLS_SQL = [
-    "product_id",
     "product_name_lenght",
     "product_description_lenght",
     "product_weight_g",
@@ -392,7 +384,7 @@ def _limits_sql(lq: float, uq: float) -> str:
     return _union(
         [
             f"""select '{c}' as column_name, {O.np_quantile(c, lq)} as q1, {O.np_quantile(c, uq)} as q3
-from sales_fanout"""
+from profiled"""
             for c in NUM_COLS_SQL
         ]
     )
@@ -403,10 +395,10 @@ select column_name, q1, q3, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as low_limit, q
 from qs"""
 
 
-@register("outlier_thresholds", O.sql(LIMITS_BODY, upto="sales_fanout", extra={"qs": _limits_sql(0.25, 0.75)}))
+@register("outlier_thresholds", O.sql(LIMITS_BODY, upto="profiled", extra={"qs": _limits_sql(0.25, 0.75)}))
 def q_outlier_thresholds(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return profile.outlier_limits(assemble.denormalize(t), _num_cols(t))
+    return profile.outlier_limits(pipeline.product_sales(t), _num_cols(t), weight="sales_rows")
 
 
 @register(
@@ -415,14 +407,14 @@ def q_outlier_thresholds(spark, sf_dir):
         """
 select l.column_name, l.low_limit, l.up_limit, n.n_outliers, n.n_outliers > 0 as has_outlier
 from lim l join counts n on l.column_name = n.column_name""",
-        upto="sales_fanout",
+        upto="profiled",
         extra={
             "qs": _limits_sql(0.2, 0.8),
             "lim": LIMITS_BODY,
             "counts": _union(
                 [
                     f"""select '{c}' as column_name, count(*) filter (where s.{c} > l.up_limit or s.{c} < l.low_limit)
-  as n_outliers from sales_fanout s, (select * from lim where column_name = '{c}') l"""
+  as n_outliers from profiled s, (select * from lim where column_name = '{c}') l"""
                     for c in NUM_COLS_SQL
                 ]
             ),
@@ -431,31 +423,87 @@ from lim l join counts n on l.column_name = n.column_name""",
 )
 def q_outlier_check(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return profile.outlier_check(assemble.denormalize(t), _num_cols(t))
+    return profile.outlier_check(pipeline.product_sales(t), _num_cols(t), weight="sales_rows")
 
 
 def _winsor_sql() -> str:
     sel = ",\n".join(
-        f"""case when s.{c} < l{i}.low_limit then l{i}.low_limit when s.{c} > l{i}.up_limit then l{i}.up_limit
+        f"""case when s.{c} < l.{c}__low then l.{c}__low when s.{c} > l.{c}__up then l.{c}__up
      else s.{c} end as {c}"""
-        for i, c in enumerate(NUM_COLS_SQL)
+        for c in NUM_COLS_SQL
     )
-    src = ", ".join(f"(select * from lim where column_name = '{c}') l{i}" for i, c in enumerate(NUM_COLS_SQL))
     return f"""
-select s.order_id, s.order_item_id, s.payment_sequential, {sel}
-from sales_fanout s, {src}"""
+select s.order_id, s.order_item_id, s.product_id, s.payment_sequential, {sel}
+from profiled s, lim_row l"""
+
+
+def _lim_row_sql() -> str:
+    """All limits as one row, so that the cap reads one small table."""
+    cols = ", ".join(
+        f"max(case when column_name = '{c}' then {v}_limit end) as {c}__{v}" for c in NUM_COLS_SQL for v in ("low", "up")
+    )
+    return f"select {cols} from lim"
 
 
 @register(
     "winsorize",
-    O.sql(_winsor_sql(), upto="sales_fanout", extra={"qs": _limits_sql(0.25, 0.75), "lim": LIMITS_BODY}),
+    O.sql(_winsor_sql(), upto="profiled", extra={"qs": _limits_sql(0.25, 0.75), "lim": LIMITS_BODY, "lim_row": _lim_row_sql()}),
 )
 def q_winsorize(spark, sf_dir):
     t = _t(spark, sf_dir)
     cols = _num_cols(t)
-    capped = clean.winsorize(assemble.denormalize(t), cols)
+    capped = pipeline.capped_products(t, cols).drop("sales_rows")
     keys = ["order_id", "order_item_id", "product_id", "payment_sequential"]
-    return capped.select(*keys, *[c for c in cols if c not in keys])
+    return pipeline.sales_with_products(t, capped).select(*keys, *cols)
+
+
+@register(
+    "outlier_check_capped",
+    O.sql(
+        """
+select l.column_name, l.low_limit, l.up_limit, n.n_outliers, n.n_outliers > 0 as has_outlier
+from lim2 l join counts n on l.column_name = n.column_name""",
+        upto="profiled",
+        extra={
+            "qs": _limits_sql(0.25, 0.75),
+            "lim": LIMITS_BODY,
+            "lim_row": _lim_row_sql(),
+            "wins": _winsor_sql(),
+            "qs2": _limits_sql(0.2, 0.8).replace("from profiled", "from wins"),
+            "lim2": LIMITS_BODY.replace("from qs", "from qs2"),
+            "counts": _union(
+                [
+                    f"""select '{c}' as column_name, count(*) filter (where s.{c} > l.up_limit or s.{c} < l.low_limit)
+  as n_outliers from wins s, (select * from lim2 where column_name = '{c}') l"""
+                    for c in NUM_COLS_SQL
+                ]
+            ),
+        },
+    ),
+)
+def q_outlier_check_capped(spark, sf_dir):
+    """The outlier check repeated on the capped columns."""
+    t = _t(spark, sf_dir)
+    cols = _num_cols(t)
+    return profile.outlier_check(pipeline.capped_products(t, cols), cols, weight="sales_rows")
+
+
+@register(
+    "semi_join_sales",
+    O.sql(
+        """
+select c.customer_unique_id, o.order_id, i.order_item_id, i.product_id, i.price
+from cv_customers c join cv_orders o on c.customer_id = o.customer_id
+join cv_items i on o.order_id = i.order_id join cv_products pr on i.product_id = pr.product_id
+left join cv_categories cat on pr.product_category_name is not distinct from cat.product_category_name
+where exists (select 1 from cv_payments p where p.order_id = o.order_id)""",
+        upto=None,
+    ),
+)
+def q_semi_join_sales(spark, sf_dir):
+    """The join without the payment fan-out."""
+    df = assemble.denormalize(_t(spark, sf_dir), payment_fanout=False)
+    return df.select(KEY, "order_id", "order_item_id", "product_id", "price")
 
 
 @register(
@@ -469,19 +517,19 @@ select order_id, order_item_id, product_id, payment_sequential,
        cast(order_delivered_customer_date is null as integer) as order_delivered_customer_date_missing,
        coalesce(strftime(order_delivered_customer_date, '%Y-%m-%d %H:%M:%S'), '0')
          as order_delivered_customer_date_filled
-from sales_fanout""",
-        upto="sales_fanout",
+from profiled""",
+        upto="profiled",
     ),
 )
 def q_fill_delivery_dates(spark, sf_dir):
-    df = clean.fill_delivery_dates(assemble.denormalize(_t(spark, sf_dir)))
+    df = clean.fill_delivery_dates(pipeline.profiled_sales(_t(spark, sf_dir)))
     keep = ["order_id", "order_item_id", "product_id", "payment_sequential"]
     dates = [c for c in df.columns if c.startswith("order_delivered_")]
     return df.select(*keep, *dates)
 
 
 PRODUCT_TYPES = [
-    ("product_id", "bigint"),
+    ("product_id", "string"),
     ("product_category_name", "string"),
     ("product_name_lenght", "double"),
     ("product_description_lenght", "double"),
@@ -535,10 +583,10 @@ def q_column_class_summary(spark, sf_dir):
 
 
 FANOUT_TYPES = [
-    ("customer_id", "bigint"),
-    ("customer_unique_id", "bigint"),
+    ("customer_id", "string"),
+    ("customer_unique_id", "string"),
     ("customer_state", "string"),
-    ("order_id", "bigint"),
+    ("order_id", "string"),
     ("order_status", "string"),
     ("order_purchase_timestamp", "timestamp_ntz"),
     ("order_approved_at", "timestamp_ntz"),
@@ -548,7 +596,7 @@ FANOUT_TYPES = [
     ("payment_installments", "int"),
     ("payment_value", "double"),
     ("order_item_id", "int"),
-    ("product_id", "bigint"),
+    ("product_id", "string"),
     ("price", "double"),
     ("freight_value", "double"),
     ("product_category_name", "string"),
@@ -567,13 +615,13 @@ PROBS = profile.PROFILE_QUANTILES
 
 def _nulls_sql() -> str:
     return _union(
-        [f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_null from sales_fanout" for c, _ in FANOUT_TYPES]
+        [f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_null from profiled" for c, _ in FANOUT_TYPES]
     )
 
 
-@register("null_counts", O.sql(_nulls_sql(), upto="sales_fanout"))
+@register("null_counts", O.sql(_nulls_sql(), upto="profiled"))
 def q_null_counts(spark, sf_dir):
-    return profile.null_counts(assemble.denormalize(_t(spark, sf_dir)))
+    return profile.null_counts(pipeline.profiled_sales(_t(spark, sf_dir)))
 
 
 def _qprofile_sql(cols) -> str:
@@ -581,15 +629,15 @@ def _qprofile_sql(cols) -> str:
         [
             f"select '{c}' as column_name, "
             + ", ".join(f"{O.np_quantile(c, p)} as {profile.prob_name(p)}" for p in PROBS)
-            + " from sales_fanout"
+            + " from profiled"
             for c in cols
         ]
     )
 
 
-@register("quantile_profile", O.sql(_qprofile_sql(FANOUT_NUMERIC), upto="sales_fanout"))
+@register("quantile_profile", O.sql(_qprofile_sql(FANOUT_NUMERIC), upto="profiled"))
 def q_quantile_profile(spark, sf_dir):
-    return profile.quantile_profile(assemble.denormalize(_t(spark, sf_dir)))
+    return profile.quantile_profile(pipeline.profiled_sales(_t(spark, sf_dir)))
 
 
 def _table_profile_sql() -> str:
@@ -598,22 +646,22 @@ def _table_profile_sql() -> str:
     )
     qcols = ", ".join(f"q.{profile.prob_name(p)}" for p in PROBS)
     return f"""
-select t.position, t.column_name, t.dtype, (select count(*) from sales_fanout) as n_rows,
+select t.position, t.column_name, t.dtype, (select count(*) from profiled) as n_rows,
        cast({len(FANOUT_TYPES)} as bigint) as n_columns, n.n_null, {qcols}
 from ({types}) t join nulls n on t.column_name = n.column_name left join qp q on t.column_name = q.column_name"""
 
 
 @register(
     "table_profile",
-    O.sql(_table_profile_sql(), upto="sales_fanout", extra={"nulls": _nulls_sql(), "qp": _qprofile_sql(FANOUT_NUMERIC)}),
+    O.sql(_table_profile_sql(), upto="profiled", extra={"nulls": _nulls_sql(), "qp": _qprofile_sql(FANOUT_NUMERIC)}),
 )
 def q_table_profile(spark, sf_dir):
-    return profile.table_profile(assemble.denormalize(_t(spark, sf_dir)))
+    return profile.table_profile(pipeline.profiled_sales(_t(spark, sf_dir)))
 
 
 def _long_sql() -> str:
     return _union(
-        [f"select '{c}' as column_name, cast({c} as double) as value from sales_fanout where {c} is not null" for c in NUM_COLS_SQL]
+        [f"select '{c}' as column_name, cast({c} as double) as value from profiled where {c} is not null" for c in NUM_COLS_SQL]
     )
 
 
@@ -636,10 +684,10 @@ select column_name, case when max(value) = min(value) then min(value) - 0.5 else
 from long group by column_name"""
 
 
-@register("histogram", O.sql(HIST_SQL, upto="sales_fanout", extra={"long": _long_sql(), "edges": EDGES_SQL}))
+@register("histogram", O.sql(HIST_SQL, upto="profiled", extra={"long": _long_sql(), "edges": EDGES_SQL}))
 def q_histogram(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return profile.histogram(assemble.denormalize(t), _num_cols(t))
+    return profile.histogram(pipeline.product_sales(t), _num_cols(t), weight="sales_rows")
 
 
 KDE_SQL = f"""
@@ -663,7 +711,7 @@ from long group by column_name having count(*) > 1"""
     "kde_curve",
     O.sql(
         KDE_SQL,
-        upto="sales_fanout",
+        upto="profiled",
         extra={
             "long": _long_sql(),
             "params": KDE_PARAMS,
@@ -673,21 +721,21 @@ from long group by column_name having count(*) > 1"""
 )
 def q_kde_curve(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return profile.kde_curve(assemble.denormalize(t), _num_cols(t))
+    return profile.kde_curve(pipeline.product_sales(t), _num_cols(t), weight="sales_rows")
 
 
 def _corr_sql() -> str:
     parts = []
     for a in NUM_COLS_SQL:
         for b in NUM_COLS_SQL:
-            parts.append(f"select '{a}' as column_a, '{b}' as column_b, round(corr({a}, {b}), 6) as corr from sales_fanout")
+            parts.append(f"select '{a}' as column_a, '{b}' as column_b, round(corr({a}, {b}), 6) as corr from profiled")
     return _union(parts)
 
 
-@register("correlation_matrix", O.sql(_corr_sql(), upto="sales_fanout"))
+@register("correlation_matrix", O.sql(_corr_sql(), upto="profiled"))
 def q_correlation_matrix(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return profile.correlation_matrix(assemble.denormalize(t), _num_cols(t))
+    return profile.correlation_matrix(pipeline.product_sales(t), _num_cols(t), weight="sales_rows")
 
 
 BOX_SQL = f"""
@@ -695,35 +743,35 @@ select b.customer_state, b.q1, b.median, b.q3, count(*) as n,
        min(case when s.freight_value between b.lo and b.hi then s.freight_value end) as whisker_low,
        max(case when s.freight_value between b.lo and b.hi then s.freight_value end) as whisker_high,
        count(*) filter (where not (s.freight_value between b.lo and b.hi)) as n_fliers
-from sales_fanout s join (
+from profiled s join (
   select customer_state, q1, median, q3, q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi
   from (select customer_state, {O.np_quantile("freight_value", 0.25)} as q1,
                {O.np_quantile("freight_value", 0.5)} as median, {O.np_quantile("freight_value", 0.75)} as q3
-        from sales_fanout where freight_value is not null group by customer_state) x) b
+        from profiled where freight_value is not null group by customer_state) x) b
 on s.customer_state = b.customer_state
 where s.freight_value is not null
 group by b.customer_state, b.q1, b.median, b.q3"""
 
 
-@register("boxplot_stats", O.sql(BOX_SQL, upto="sales_fanout"))
+@register("boxplot_stats", O.sql(BOX_SQL, upto="profiled"))
 def q_boxplot_stats(spark, sf_dir):
-    return profile.boxplot_stats(assemble.denormalize(_t(spark, sf_dir)))
+    return profile.boxplot_stats(pipeline.profiled_sales(_t(spark, sf_dir)))
 
 
 def _summary_sql() -> str:
     return _union(
         [
             f"select '{c}' as column_name, round(avg({c}), 6) as mean, cast(min({c}) as double) as min, "
-            f"cast(max({c}) as double) as max from sales_fanout"
+            f"cast(max({c}) as double) as max from profiled"
             for c in NUM_COLS_SQL
         ]
     )
 
 
-@register("summary_stats", O.sql(_summary_sql(), upto="sales_fanout"))
+@register("summary_stats", O.sql(_summary_sql(), upto="profiled"))
 def q_summary_stats(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return profile.summary_stats(assemble.denormalize(t), _num_cols(t))
+    return profile.summary_stats(pipeline.product_sales(t), _num_cols(t), weight="sales_rows")
 
 
 # ------------------------------------------------------------------ folds, top-N overlap, metrics
@@ -938,6 +986,7 @@ def _knn_sql() -> str:
     ctes = {
         "qs": _limits_sql(0.25, 0.75),
         "lim": LIMITS_BODY,
+        "lim_row": _lim_row_sql(),
         "wins": _winsor_sql(),
         "vecs": f"select {keys}, count(*) as mult from wins group by all",
         "rec": "select v0, v1, v2, v3 from vecs where v0 is null or v1 is null or v2 is null or v3 is null",
@@ -969,14 +1018,14 @@ from filled group by v0, v1, v2, v3""",
     body = f"""
 select w.order_id, w.order_item_id, w.payment_sequential, {sel}
 from wins w left join imputed i on {on}"""
-    return O.sql(body, upto="sales_fanout", extra=ctes)
+    return O.sql(body, upto="profiled", extra=ctes)
 
 
 @register("knn_impute", _knn_sql())
 def q_knn_impute(spark, sf_dir):
     t = _t(spark, sf_dir)
-    capped = clean.winsorize(assemble.denormalize(t), _num_cols(t))
-    done = impute.knn_impute(capped, KNN_COLS)
-    return done.select(
+    capped = pipeline.capped_products(t, _num_cols(t))
+    done = impute.knn_impute(capped, KNN_COLS, weight="sales_rows").drop("sales_rows")
+    return pipeline.sales_with_products(t, done).select(
         "order_id", "order_item_id", "payment_sequential", *[F.round(c, 6).alias(c) for c in KNN_COLS]
     )

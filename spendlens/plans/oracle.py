@@ -30,6 +30,8 @@ join cv_items i on o.order_id = i.order_id
 join cv_products pr on i.product_id = pr.product_id
 left join cv_categories cat on pr.product_category_name is not distinct from cat.product_category_name"""
 
+PROFILED = "select * from sales_fanout where order_purchase_timestamp is not null"
+
 CLEAN_SALES = """
 select *, price * order_item_id as total_price
 from sales_fanout
@@ -77,6 +79,7 @@ where r.actual_cltv > 0"""
 
 STAGES = {
     "sales_fanout": SALES_FANOUT,
+    "profiled": PROFILED,
     "clean_sales": CLEAN_SALES,
     "train": TRAIN,
     "test": TEST,

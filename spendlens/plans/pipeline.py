@@ -4,6 +4,9 @@ as a whole."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from ..operators import assemble, clean, features
@@ -22,6 +25,30 @@ def cleaned_sales(t: Tables, weighted: bool = True) -> DataFrame:
     return clean.with_total_price(clean.source_row_drops(base))
 
 
+def profiled_sales(t: Tables) -> DataFrame:
+    """The fan-out frame as the source profiles it: rows without a purchase time are
+    dropped before any profile, limit, cap or imputation."""
+    return clean.drop_null_rows(assemble.denormalize(t), ["order_purchase_timestamp"])
+
+
+def product_sales(t: Tables) -> DataFrame:
+    """The products of ``profiled_sales`` with ``sales_rows``, their number of rows there."""
+    dated = clean.drop_null_rows(t.orders, ["order_purchase_timestamp"])
+    return assemble.product_sales(replace(t, orders=dated))
+
+
+def capped_products(t: Tables, columns: Sequence[str]) -> DataFrame:
+    """``product_sales`` with ``columns`` capped at the limits of the sales frame.
+    Product columns depend on the product only, so limits, caps and imputation run on
+    one row per product and its count, not on every sales row."""
+    return clean.winsorize(product_sales(t), columns, weight="sales_rows")
+
+
+def sales_with_products(t: Tables, products: DataFrame) -> DataFrame:
+    """``profiled_sales`` with the product table replaced (capped, imputed)."""
+    return profiled_sales(replace(t, products=products))
+
+
 def weight_column(weighted: bool) -> str | None:
     return "payment_rows" if weighted else None
 

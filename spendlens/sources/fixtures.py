@@ -51,37 +51,37 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     c, n, o, li, p = (raw[k] for k in RAW_TABLES)
 
     customers = c.join(n, c.c_nationkey == n.n_nationkey).select(
-        F.col("c_custkey").alias("customer_id"),
-        (F.col("c_custkey") - F.col("c_custkey") % 2).cast("bigint").alias("customer_unique_id"),
+        F.col("c_custkey").cast("string").alias("customer_id"),
+        (F.col("c_custkey") - F.col("c_custkey") % 2).cast("bigint").cast("string").alias("customer_unique_id"),
         F.col("n_name").alias("customer_state"),
     )
 
     ts = F.col("o_orderdate")
     orders = o.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("o_orderstatus").alias("order_status"),
-        ts.alias("order_purchase_timestamp"),
+        F.when(F.col("o_orderkey") % 211 != 0, ts).alias("order_purchase_timestamp"),
         F.when(F.col("o_orderkey") % 50 != 0, ts).alias("order_approved_at"),
         F.when(F.col("o_orderstatus") != "P", ts).alias("order_delivered_carrier_date"),
         F.when(F.col("o_orderstatus") == "F", ts).alias("order_delivered_customer_date"),
     )
 
     # One payment row per order, a second one for every fifth order.
-    def _pay(seq: int) -> DataFrame:
-        return o.select(
-            F.col("o_orderkey").alias("order_id"),
+    def _pay(seq: int, paid: DataFrame) -> DataFrame:
+        return paid.select(
+            F.col("o_orderkey").cast("string").alias("order_id"),
             F.lit(seq).alias("payment_sequential"),
             (1 + F.col("o_orderkey") % 6).cast("int").alias("payment_installments"),
             (F.col("o_totalprice") / 2).alias("payment_value"),
         )
 
-    payments = _pay(1).unionByName(_pay(2).where(F.col("order_id") % 5 == 0))
+    payments = _pay(1, o).unionByName(_pay(2, o.where(F.col("o_orderkey") % 5 == 0)))
 
     items = li.select(
-        F.col("l_orderkey").alias("order_id"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
         F.when(F.col("l_quantity") != 50, F.col("l_extendedprice")).alias("price"),
         (F.col("l_extendedprice") * F.col("l_tax")).cast("double").alias("freight_value"),
     )
@@ -89,7 +89,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     k = F.col("p_partkey")
     text_null = k % 37 == 0
     products = p.select(
-        k.alias("product_id"),
+        k.cast("string").alias("product_id"),
         F.when(k % 31 != 0, F.col("p_name")).alias("product_category_name"),
         _keep_unless(text_null, F.length("p_name") + k % 40).cast("double").alias("product_name_lenght"),
         _keep_unless(text_null, 100 + k * 7 % 900).cast("double").alias("product_description_lenght"),
@@ -122,32 +122,33 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
 # The same derivation as SQL (DuckDB and Spark SQL), used as CTEs by the oracle.
 FIXTURE_SQL: dict[str, str] = {
     "cv_customers": """
-select c_custkey as customer_id,
-       cast(c_custkey - c_custkey % 2 as bigint) as customer_unique_id,
+select cast(c_custkey as varchar) as customer_id,
+       cast(cast(c_custkey - c_custkey % 2 as bigint) as varchar) as customer_unique_id,
        n_name as customer_state
 from customer join nation on c_nationkey = n_nationkey""",
     "cv_orders": """
-select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as order_status,
-       o_orderdate as order_purchase_timestamp,
+select cast(o_orderkey as varchar) as order_id, cast(o_custkey as varchar) as customer_id, o_orderstatus as order_status,
+       case when o_orderkey % 211 <> 0 then o_orderdate end as order_purchase_timestamp,
        case when o_orderkey % 50 <> 0 then o_orderdate end as order_approved_at,
        case when o_orderstatus <> 'P' then o_orderdate end as order_delivered_carrier_date,
        case when o_orderstatus = 'F' then o_orderdate end as order_delivered_customer_date
 from orders""",
     "cv_payments": """
-select o_orderkey as order_id, 1 as payment_sequential,
+select cast(o_orderkey as varchar) as order_id, 1 as payment_sequential,
        cast(1 + o_orderkey % 6 as int) as payment_installments, o_totalprice / 2 as payment_value
 from orders
 union all
-select o_orderkey as order_id, 2 as payment_sequential,
+select cast(o_orderkey as varchar) as order_id, 2 as payment_sequential,
        cast(1 + o_orderkey % 6 as int) as payment_installments, o_totalprice / 2 as payment_value
 from orders where o_orderkey % 5 = 0""",
     "cv_items": """
-select l_orderkey as order_id, l_linenumber as order_item_id, l_partkey as product_id,
+select cast(l_orderkey as varchar) as order_id, l_linenumber as order_item_id,
+       cast(l_partkey as varchar) as product_id,
        case when l_quantity <> 50 then l_extendedprice end as price,
        cast(l_extendedprice * l_tax as double) as freight_value
 from lineitem""",
     "cv_products": """
-select p_partkey as product_id,
+select cast(p_partkey as varchar) as product_id,
        case when p_partkey % 31 <> 0 then p_name end as product_category_name,
        cast(case when p_partkey % 37 <> 0 then length(p_name) + p_partkey % 40 end as double) as product_name_lenght,
        cast(case when p_partkey % 37 <> 0 then 100 + p_partkey * 7 % 900 end as double) as product_description_lenght,
@@ -171,5 +172,5 @@ def with_fixture_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a query with the fixture views (and further named CTEs, in order)."""
     parts = [f"{name} as ({sql}\n)" for name, sql in FIXTURE_SQL.items()]
     for name, sql in (extra or {}).items():
-        parts.append(f"{name} as ({sql}\n)")
+        parts.append(f"{name} as materialized ({sql}\n)")
     return "with " + ",\n".join(parts) + "\n" + body
