@@ -43,10 +43,10 @@ class Preset:
 # boosted 300 rounds, rate 0.05, depth 7; second boosted preset 500 rounds, rate
 # 0.05, depth 7; forest 200 trees, depth 10; ordinary least squares.
 PRESETS: dict[str, Preset] = {
-    "LightGBM": Preset("boosted", {"maxIter": 500, "stepSize": 0.05, "maxDepth": 7}),
-    "RandomForest": Preset("forest", {"numTrees": 200, "maxDepth": 10}),
-    "LinearRegression": Preset("linear", {}),
-    "XGBoost": Preset("boosted", {"maxIter": 300, "stepSize": 0.05, "maxDepth": 7}),
+    "boosted_deep": Preset("boosted", {"maxIter": 500, "stepSize": 0.05, "maxDepth": 7}),
+    "forest": Preset("forest", {"numTrees": 200, "maxDepth": 10}),
+    "linear": Preset("linear", {}),
+    "boosted": Preset("boosted", {"maxIter": 300, "stepSize": 0.05, "maxDepth": 7}),
 }
 
 # Fixed values of the source's tuning grid (2*3*2*2*2*2*2 = 192 points, 3 folds),

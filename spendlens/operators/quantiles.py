@@ -41,10 +41,6 @@ def value_counts(long: DataFrame, keys: Sequence[str], weight: str | None = None
     return long.groupBy(*keys, "value").agg(cnt.alias("cnt"))
 
 
-# Below this many buckets every bucket is sorted (see ``ranked_values``).
-PRUNE_MIN_BUCKETS = 64
-
-
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return buckets
@@ -58,18 +54,6 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-def _count_below(splits: Column, value: Column, lo: int, hi: int) -> Column:
-    """Number of ``splits`` (sorted ascending) below ``value``, as a balanced tree of
-    comparisons: log2(buckets) code-generated comparisons per row instead of a
-    lambda over the whole array."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(splits[mid] < value, _count_below(splits, value, mid + 1, hi)).otherwise(
-        _count_below(splits, value, lo, mid)
-    )
-
-
 def _targets(per_key: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(keys, p, _h, _lo, _hi)``: the 0-based ranks linear interpolation reads,
     ``floor(h)`` and ``floor(h)+1`` with ``h = (n-1)p`` (one rank when ``h`` is whole)."""
@@ -93,24 +77,20 @@ def ranked_values(
     """Distinct values per key with their rank interval ``[rank_lo, rank_hi)`` in the
     sorted multiset, and the per-key totals ``(keys, n)``.
 
-    With ``probs`` and many buckets, only the buckets holding a rank those quantiles
-    read are ranked: bucket totals locate them, so the sort covers about
-    ``2 * len(probs)`` buckets per key instead of all of them."""
+    Values are sorted by range partitioning; a range's totals and their running sum give
+    the rank its values start at. With ``probs``, only the ranges holding a rank those
+    quantiles read are ranked, about ``2 * len(probs)`` per key. ``buckets`` is the
+    number of ranges (default: the session's shuffle partitions)."""
     keys = list(keys)
-    # The only pass over the input; everything after reads these distinct values.
-    vc = checkpointed(value_counts(long, keys, weight))
+    # The only pass over the input: distinct values with counts, range-partitioned on
+    # (keys, value), each row with its range. Everything after reads this table.
     b = _bucket_count(long, buckets)
-    split_probs = [i / b for i in range(1, b)]
-    splits = vc.groupBy(*keys).agg(F.percentile_approx("value", split_probs, 10000).alias("_splits"))
-    if keys:
-        vc = vc.join(splits, keys)
-    else:
-        vc = vc.withColumn("_splits", splits.select("_splits").scalar())
-    vc = vc.withColumn("_bucket", _count_below(F.col("_splits"), F.col("value"), 0, b - 1)).drop("_splits")
+    spread = value_counts(long, keys, weight).repartitionByRange(b, *keys, "value")
+    vc = checkpointed(spread.withColumn("_bucket", F.spark_partition_id()))
 
     totals = vc.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_btotal"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    # Small frame (keys x buckets rows): a window over it is cheap.
+    # Small frame (keys + ranges rows): a window over it is cheap.
     totals = totals.select(
         *keys,
         "_bucket",
@@ -119,9 +99,7 @@ def ranked_values(
         F.sum("_btotal").over(by_key).alias("n"),
     )
     per_key = totals.select(*keys, "n").distinct()
-    # Pruning costs a few small stages; it pays once buckets are many (large inputs,
-    # many shuffle partitions) and the requested ranks touch a small share of them.
-    if probs is not None and b >= PRUNE_MIN_BUCKETS and 2 * len(probs) * 4 <= b:
+    if probs is not None:
         t, bt = _targets(per_key, keys, probs).alias("t"), totals.alias("b")
         cond = [F.col(f"t.{k}") == F.col(f"b.{k}") for k in keys] + [
             F.col("b._offset") <= F.col("t._hi"),
@@ -130,11 +108,6 @@ def ranked_values(
         needed = t.join(bt, cond).select(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("b._bucket")).distinct()
         vc = vc.join(needed, [*keys, "_bucket"], "left_semi")
     in_bucket = W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # Buckets hold about equal numbers of distinct values, so a fixed partition count
-    # on (keys, bucket) is balanced; the window reuses this partitioning, and AQE does
-    # not merge the sort-heavy window into a few tasks because its input is small.
-    parts = max(2, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    vc = vc.repartition(parts, *keys, "_bucket")
     ranked = vc.withColumn("_run", F.sum("cnt").over(in_bucket)).join(
         totals.select(*keys, "_bucket", "_offset"), [*keys, "_bucket"]
     )

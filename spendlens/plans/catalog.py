@@ -860,108 +860,97 @@ def q_regression_metrics(spark, sf_dir):
 
 from ..operators import explain, model  # noqa: E402
 
-# Parameters of the check runs only: small ensembles so every model query finishes
-# in seconds. The library defaults stay the source's settings (model.PRESETS,
-# model.TUNING_GRID).
-QUICK: dict[str, model.Preset] = {
-    "LightGBM": model.Preset("boosted", {"maxIter": 6, "stepSize": 0.05, "maxDepth": 3}),
-    "RandomForest": model.Preset("forest", {"numTrees": 10, "maxDepth": 5}),
-    "LinearRegression": model.Preset("linear", {}),
-    "XGBoost": model.Preset("boosted", {"maxIter": 5, "stepSize": 0.05, "maxDepth": 3}),
+# Boosting adds one tree after another, several Spark jobs each: about 0.8 s a round here,
+# four minutes for the 300 rounds of the preset. The three queries that must boost run
+# these small presets (README, "Model sizes"); every other query runs model.PRESETS.
+SMALL_BOOSTED = {
+    "boosted": model.Preset("boosted", {"maxIter": 5, "stepSize": 0.05, "maxDepth": 3}),
+    "boosted_deep": model.Preset("boosted", {"maxIter": 6, "stepSize": 0.05, "maxDepth": 3}),
 }
-QUICK_GRID = {"maxIter": [3, 5], "maxDepth": [2, 3]}
-
-_CACHE: dict[tuple, object] = {}
-
-
-def _cached(spark, key, build):
-    k = (spark.sparkContext.applicationId, *key)
-    if k not in _CACHE:
-        _CACHE[k] = build()
-    return _CACHE[k]
+SMALL_GRID = {"maxIter": [3, 5], "maxDepth": [2, 3]}
+FULL = {name: model.PRESETS[name] for name in ("linear", "forest")}
 
 
 def _prepared(spark, sf_dir) -> DataFrame:
-    return _cached(spark, ("prepared", sf_dir), lambda: model.prepare(_modeling(spark, sf_dir)))
-
-
-def _split(spark, sf_dir):
-    s = folds.train_test_split(_prepared(spark, sf_dir))
-    return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-
+    return model.prepare(_modeling(spark, sf_dir))
 
-def _fitted(spark, sf_dir, name: str):
-    def build():
-        train, _ = _split(spark, sf_dir)
-        return model.fit(train, QUICK[name])
 
-    return _cached(spark, ("fit", sf_dir, name), build)
+def _fitted(spark, sf_dir, preset: model.Preset):
+    """The model on the training split, and the whole modelling frame."""
+    frame = _prepared(spark, sf_dir)
+    split = folds.train_test_split(frame)
+    return model.fit(split.where(F.col("split") == "train"), preset), frame
 
 
 @register("fit_linear")
 def q_fit_linear(spark, sf_dir):
-    return model.coefficients(spark, _fitted(spark, sf_dir, "LinearRegression"))
+    return model.coefficients(spark, _fitted(spark, sf_dir, FULL["linear"])[0])
 
 
 @register("fit_forest")
 def q_fit_forest(spark, sf_dir):
-    return model.importances(spark, _fitted(spark, sf_dir, "RandomForest"))
+    return model.importances(spark, _fitted(spark, sf_dir, FULL["forest"])[0])
 
 
 @register("fit_boosted")
 def q_fit_boosted(spark, sf_dir):
-    return model.importances(spark, _fitted(spark, sf_dir, "XGBoost"))
+    return model.importances(spark, _fitted(spark, sf_dir, SMALL_BOOSTED["boosted"])[0])
 
 
 @register("fit_boosted_deep")
 def q_fit_boosted_deep(spark, sf_dir):
-    return model.importances(spark, _fitted(spark, sf_dir, "LightGBM"))
+    return model.importances(spark, _fitted(spark, sf_dir, SMALL_BOOSTED["boosted_deep"])[0])
 
 
 @register("score_customers")
 def q_score_customers(spark, sf_dir):
-    scored = model.score(_fitted(spark, sf_dir, "XGBoost"), _prepared(spark, sf_dir))
+    scored = model.score(*_fitted(spark, sf_dir, FULL["forest"]))
     return scored.select(KEY, "actual_cltv", "cltv_log", "prediction", "predicted_cltv")
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    return model.model_comparison(_prepared(spark, sf_dir), QUICK)
+    return model.model_comparison(_prepared(spark, sf_dir), FULL)
 
 
 @register("cv_rmse")
 def q_cv_rmse(spark, sf_dir):
-    return model.cv_rmse(_prepared(spark, sf_dir), QUICK["XGBoost"])
+    return model.cv_rmse(_prepared(spark, sf_dir), FULL["forest"])
 
 
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    table, _ = model.grid_search(_prepared(spark, sf_dir), QUICK["XGBoost"], QUICK_GRID)
+    table, _ = model.grid_search(_prepared(spark, sf_dir), SMALL_BOOSTED["boosted"], SMALL_GRID)
     return table
 
 
 @register("out_of_fold")
 def q_out_of_fold(spark, sf_dir):
-    return model.out_of_fold(_prepared(spark, sf_dir), QUICK["XGBoost"])
+    return model.out_of_fold(_prepared(spark, sf_dir), FULL["forest"])
 
 
-def _shap(spark, sf_dir) -> DataFrame:
-    return explain.shap_values(_prepared(spark, sf_dir), _fitted(spark, sf_dir, "XGBoost"))
+@register("out_of_fold_overlap")
+def q_out_of_fold_overlap(spark, sf_dir):
+    """Per fold, the realised top 100 against the top 100 of held-out predictions."""
+    scored = model.out_of_fold(_prepared(spark, sf_dir), FULL["forest"])
+    return rank.top_n_overlap_by_fold(scored, "actual_cltv", "pred_cltv", "fold", 100, KEY)
 
 
 @register("shap_values")
 def q_shap_values(spark, sf_dir):
-    return _shap(spark, sf_dir)
+    fitted, frame = _fitted(spark, sf_dir, FULL["forest"])
+    return explain.shap_values(frame, fitted)
 
 
 @register("shap_importance")
 def q_shap_importance(spark, sf_dir):
-    return explain.shap_importance(_shap(spark, sf_dir))
+    return explain.shap_importance(q_shap_values(spark, sf_dir))
 
 
 @register("shap_dependence")
 def q_shap_dependence(spark, sf_dir):
-    return explain.shap_dependence(_shap(spark, sf_dir), _prepared(spark, sf_dir), "recency")
+    fitted, frame = _fitted(spark, sf_dir, FULL["forest"])
+    return explain.shap_dependence(explain.shap_values(frame, fitted), frame, "recency")
 
 
 # ------------------------------------------------------------------ k-NN imputation

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
-from spendlens.operators import folds, metrics, model
+from spendlens.operators import folds, metrics, model, rank
 from spendlens.operators.features import FEATURES, KEY, LABEL
 from spendlens.plans import pipeline
 from spendlens.sources.fixtures import TEST_CUTOFF, fixture_tables
@@ -44,6 +44,8 @@ def test_out_of_fold_and_cv(spark):
     oof = model.out_of_fold(frame, QUICK, k=3)
     assert oof.count() == frame.count()
     assert oof.select(KEY).distinct().count() == frame.count()
+    per_fold = rank.top_n_overlap_by_fold(oof, "actual_cltv", "pred_cltv", "fold", 10, KEY).collect()
+    assert len(per_fold) == 3 and all(0 <= r["overlap"] <= 10 for r in per_fold)
     cv = model.cv_rmse(frame, QUICK, k=3).collect()
     assert len(cv) == 3 and abs(np.mean([r["rmse"] for r in cv]) - cv[0]["mean_rmse"]) < 1e-12
 
@@ -60,7 +62,7 @@ def test_grid_best_is_minimum(spark):
 
 def test_comparison_overlap_bounds(spark):
     frame = _frame(spark)
-    presets = {"LinearRegression": model.Preset("linear"), "XGBoost": QUICK}
+    presets = {"linear": model.Preset("linear"), "boosted": QUICK}
     rows = model.model_comparison(frame, presets, top_n=20).collect()
     assert {r["model"] for r in rows} == set(presets)
     assert all(0 <= r["top_n_overlap"] <= 20 for r in rows)
