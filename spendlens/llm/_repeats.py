@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from ._bytes import binary_array, column_bytes, ragged, span_hashes
+from ._bytes import binary_array, column_bytes, ragged, row_chunks, span_hashes
 
 BATCH_BYTES = 4 << 20
+BLOCK_RECORDS = 1 << 14  # records whose units are laid out at once
 NO_ID = np.iinfo(np.int64).max  # rows without id count as later than all others
 
 
@@ -39,13 +40,24 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 
 
 def _rows(table: pa.Table):
-    """(ids, bytes, offsets, order) of a batch in a reproducible row order."""
+    """(ids, bytes, offsets, order) of a batch in a reproducible row order: by id, rows of
+    one id by the hash of their text."""
     ids = table.column("__id").combine_chunks().cast(pa.int64()).fill_null(NO_ID).to_numpy()
     data, offsets = column_bytes(table.column("__text"))
-    order = np.lexsort((span_hashes(data, offsets[:-1], offsets[1:]), ids))
+    order = np.argsort(ids, kind="stable")
+    if (ids[order][1:] == ids[order][:-1]).any():
+        order = np.lexsort((_text_hashes(data, offsets), ids))
     lengths = np.diff(offsets)[order]
-    data = data[ragged(offsets[:-1][order], lengths)]
-    return ids[order], data, np.concatenate([[0], np.cumsum(lengths)]), order
+    texts = [data[offsets[r] : offsets[r + 1]] for r in order.tolist()]
+    return ids[order], np.concatenate([data[:0], *texts]), np.concatenate([[0], np.cumsum(lengths)]), order
+
+
+def _text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for lo, hi in row_chunks(offsets):
+        at = offsets[lo : hi + 1] - offsets[lo]
+        out[lo:hi] = span_hashes(data[offsets[lo] : offsets[hi]], at[:-1], at[1:])
+    return out
 
 
 def _blob(*arrays: np.ndarray) -> list[bytes]:
@@ -61,11 +73,15 @@ def _distinct_records(units: np.ndarray, first: np.ndarray, count: np.ndarray, w
     """(one index per distinct record, number of the distinct record of each)."""
     width = window - 1 + count
     n, longest = len(first), int(width.max()) if len(first) else 0
-    body = np.zeros((n, longest), units.dtype)
-    body[np.repeat(np.arange(n), width), ragged(np.zeros(n, np.int64), width)] = units[ragged(first, width)]
-    tail = np.stack([count & 255, (count >> 8) + 1], axis=1).astype(np.uint8)
-    rows = np.ascontiguousarray(np.concatenate([body.view(np.uint8).reshape(n, longest * units.dtype.itemsize), tail], axis=1))
-    _, pick, of = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    size = longest * units.dtype.itemsize
+    rows = np.zeros((n, size + 2), np.uint8)  # its units, then its number of windows
+    for a in range(0, n, BLOCK_RECORDS):
+        wide = width[a : a + BLOCK_RECORDS]
+        body = np.zeros((len(wide), longest), units.dtype)
+        body[np.arange(longest) < wide[:, None]] = units[ragged(first[a : a + BLOCK_RECORDS], wide)]
+        rows[a : a + BLOCK_RECORDS, :size] = body.view(np.uint8).reshape(len(wide), size)
+    rows[:, size], rows[:, size + 1] = count & 255, (count >> 8) + 1
+    _, pick, of = np.unique(rows.view(f"V{size + 2}").ravel(), return_index=True, return_inverse=True)
     return pick, of
 
 
@@ -236,7 +252,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         change = np.zeros(len(units) + 1, np.int32)
         np.add.at(change, bounds[row] + a, 1)
         np.add.at(change, bounds[row] + z, -1)
-        removed = np.cumsum(change[:-1]) > 0
+        removed = np.cumsum(change[:-1], out=change[:-1]) > 0
         copies = _local_copies(ids, data, offsets)
         removed |= np.repeat(copies & (np.diff(bounds) >= finder.window), np.diff(bounds))
         made = finder.result(data, offsets, bounds, removed, *more)
