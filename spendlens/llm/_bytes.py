@@ -7,6 +7,7 @@ the chunk (or by one text, where a single text is longer).
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -15,12 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows and bytes of an Arrow batch between Spark and its Python workers. Spark's own
+#: 10,000 rows would be tens of MB of text, held by the JVM and the worker at once.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch limits to those for texts; smaller ones stay."""
+    conf = df.sparkSession.conf
+    for key, limit in ARROW_LIMITS.items():
+        number, unit = re.match(r"(-?\d+)\s*([kmg]?)", conf.get(key).lower()).groups()
+        now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+        if now <= 0 or now > limit:
+            conf.set(key, str(limit))
+
+
 def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, int64 offsets) of a string or binary Arrow column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -166,6 +180,7 @@ def binary_array(data: np.ndarray, offsets: np.ndarray, kind=None) -> pa.Array:
 def with_text_columns(docs: DataFrame, text_col: str, keep, fields: list[tuple[str, str]], func) -> DataFrame:
     """The columns of ``keep`` and new ``fields`` (name, type) that ``func`` makes from each
     Arrow batch's text column (a list of arrays). One pass over the rows, no shuffle."""
+    bounded_batches(docs)
     keep = list(keep)
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     ddl = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` {t}" for n, t in fields])

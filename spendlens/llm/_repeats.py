@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from ._bytes import binary_array, column_bytes, ragged, row_chunks, span_hashes
+from ._bytes import binary_array, bounded_batches, column_bytes, ragged, row_chunks, span_hashes
 
 BATCH_BYTES = 4 << 20
 BLOCK_RECORDS = 1 << 14  # records whose units are laid out at once
@@ -126,6 +126,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, keep, batch_bytes: int) -
 
 def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=(), batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The columns of ``keep`` and what ``finder.result`` makes of each row's repeats."""
+    bounded_batches(docs)
     keep = [c for c in keep]
     base, n = dealt(docs, id_col, text_col, keep, batch_bytes)
     step = (1 << 64) // n + 1  # width of a slice of the hash range

@@ -22,6 +22,7 @@ from ._bytes import (
     OTHER,
     SPACE,
     binary_array,
+    bounded_batches,
     char_classes,
     code_points,
     column_bytes,
@@ -32,7 +33,7 @@ from ._bytes import (
 
 NONE = np.int32(2**31 - 1)
 CACHE_TOKENS = 400_000
-ENCODE_BYTES = 3 << 20  # distinct pre-tokens of so much text share one queue
+ENCODE_BYTES = 3 << 19  # distinct pre-tokens of so much text share one queue
 LONG = 512  # longer pre-tokens are encoded each for itself
 
 # Endings that the split pattern takes together with their apostrophe.
@@ -334,6 +335,7 @@ def encode_decode(docs: DataFrame, vocab: Vocabulary, *, text_col: str = "text",
     No special tokens. A null or empty text gives no ids and empty bytes. Repeated rows
     give repeated rows; extra columns are not read. No shuffle: each batch stands alone.
     """
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     id_type = docs.schema[id_col].dataType.simpleString()
 

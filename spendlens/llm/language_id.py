@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import code_points, column_bytes, lower_letters, row_chunks, with_text_columns
+from ._bytes import bounded_batches, code_points, column_bytes, lower_letters, row_chunks, with_text_columns
 
 BUCKETS = 1 << 15
 MAX_TRAIN_DOCS = 20_000
@@ -61,6 +61,7 @@ def fit(
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
+    bounded_batches(docs)
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )

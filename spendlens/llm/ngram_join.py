@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from ._bytes import column_bytes, mix, ragged, row_chunks, span_hashes
+from ._bytes import bounded_batches, column_bytes, mix, ragged, row_chunks, span_hashes
 from ._graph import connected_components
 
 N_GRAM = 5
@@ -97,6 +97,7 @@ def set_ids(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, n_gram: int, bands: int, rows: int) -> DataFrame:
     """(id, s1, s2, bands array<long>) of every row with an id and at least one word."""
+    bounded_batches(docs)
     frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     frame = frame.where(F.col("id").isNotNull() & (F.octet_length("text") > 0))
 
