@@ -5,7 +5,8 @@ graph: near candidates, pruned so that a kept neighbour covers those close to it
 adjacency lists of a vector from all its shards are joined. Each shard then answers for its
 members: a greedy search from the shard's medoid reaches the neighbourhood of the query,
 and expands while it finds vectors in range. Hits are verified by cosine in double
-precision, and the recall is audited against brute force on a sample.
+precision, and the recall is audited against brute force on a sample: shards overlap more
+until it is reached.
 
 Equal vectors take part once. Shards return link counts and one edge per vector to the
 smallest id it is connected to there, never pairs.
@@ -26,11 +27,11 @@ THRESHOLD = 0.95
 SHARD = 500  # vectors per cluster centre, about
 MAX_CENTRES = 1 << 14  # the centres are a sample of this bound at most, and are broadcast
 LIMIT = 4000  # a shard with more members is cut in its task into overlapping slices
-OVERLAP = (3, 6)  # centres per vector; the next is tried if the audit finds too little
+OVERLAP = (3, 6)  # centres per vector; the next is tried if the audit finds too little, then the last doubled
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 SLACK = 0.07  # the search expands vectors this much below the threshold
 BEAM, STEPS = 8, 64
-AUDIT_QUERIES, RECALL = 200, 0.9
+AUDIT_QUERIES, RECALL = 1000, 0.9  # so many of all vectors, and so many of those with links
 
 
 def usable(column):
@@ -127,11 +128,34 @@ def _slices(n: int) -> list[np.ndarray]:
     return [np.arange(a, min(n, a + LIMIT)) for a in range(0, max(1, n - LIMIT // 2), LIMIT // 2)]
 
 
-def _centres(vectors: DataFrame, n: int, size: int) -> np.ndarray:
+def _apart(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Rows of x, first come first kept, of which no two have a larger cosine."""
+    free, out = np.ones(len(x), bool), []
+    for i in range(len(x)):
+        if free[i]:
+            out.append(i)
+            free[i + 1 :] &= x[i + 1 :] @ x[i] <= cosine
+    return x[out]
+
+
+def _centres(vectors: DataFrame, n: int, size: int, threshold: float) -> np.ndarray:
+    """A sample by hash, without those within twice the threshold's angle of another: a group
+    of near copies has one centre for all, however many of it the sample holds."""
     want = max(1, min(MAX_CENTRES, -(-n // size)))
     part = vectors.where(F.pmod(F.xxhash64("rep", F.lit("centre")), F.lit(1 << 20)) < min(1 << 20, -(-(1 << 20) * 2 * want // n)))
     rows = part.orderBy(F.xxhash64("rep", F.lit("centre")), "rep").limit(want).select("v").toArrow()
-    return _unit(_matrix(rows.column("v")))
+    return _apart(_unit(_matrix(rows.column("v"))), 2 * threshold * threshold - 1)
+
+
+def _widths(overlap: tuple[int, ...], most: int):
+    """Centres per vector to try: the given ones, then the last doubled until all are taken."""
+    yield from (w for w in overlap if w < most)
+    width = max(1, *overlap) if overlap else 1
+    while width < most:
+        width = 2 * width
+        if width < most:
+            yield width
+    yield most
 
 
 def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: float) -> DataFrame:
@@ -210,23 +234,36 @@ def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
 
 
 def audit(vectors: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of a sample of vectors that were found (1.0 without any). The
-    sample is of fixed size; its vectors are held against all rows."""
-    rows = vectors.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(queries)
-    sample = rows.select("rep", "v").toArrow()
-    rep = sample.column("rep").to_numpy()
-    shared = vectors.sparkSession.sparkContext.broadcast((rep, _unit(_matrix(sample.column("v")))))
+    """Share of the true links of sampled vectors that were found, the smaller of two: of a
+    sample of all vectors, and of a sample of those that have links (1.0 for a sample without
+    any). The samples are of fixed size; their vectors are held against all rows."""
+    some = links.select(F.col("u").alias("rep")).distinct().orderBy(F.xxhash64("rep", F.lit("linked"))).limit(queries)
+    some = vectors.join(F.broadcast(some), "rep").select("rep", "v").toArrow()
+    anyone = vectors.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(queries).select("rep", "v").toArrow()
+    rep = np.concatenate([anyone.column("rep").to_numpy(), some.column("rep").to_numpy()])
+    x = np.concatenate([_unit(_matrix(t.column("v"))) for t in (anyone, some) if t.num_rows])
+    shared = vectors.sparkSession.sparkContext.broadcast((rep, x))
 
     def count(batches):
+        ids, x = shared.value
+        n = np.zeros(len(ids), np.int64)
         for batch in batches:
-            ids, x = shared.value
-            hit = _unit(_matrix(batch.column("v"))) @ x.T >= threshold
-            hit &= batch.column("rep").to_numpy()[:, None] != ids
-            yield pa.RecordBatch.from_arrays([pa.array([int((hit * batch.column("copies").to_numpy()[:, None]).sum())], pa.int64())], ["n"])
-
-    true = vectors.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    found = links.join(F.broadcast(rows.select(F.col("rep").alias("u"))), "u").agg(F.sum("n")).first()[0] or 0
-    return found / true if true else 1.0
+            mine, copies, y = batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), _unit(_matrix(batch.column("v")))
+            for a in range(0, len(mine), 1024):
+                hit = y[a : a + 1024] @ x.T >= threshold
+                hit &= mine[a : a + 1024, None] != ids
+                n += copies[a : a + 1024] @ hit
+        has = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int64()), pa.array(n[has], pa.int64())], ["k", "n"])
+
+    true = np.zeros(len(rep), np.int64)
+    for k, n in vectors.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+        true[k] = n
+    of = links.where(F.col("u").isin(np.unique(rep).tolist())).groupBy("u").agg(F.sum("n").alias("n")).collect()
+    of = {r.u: r.n for r in of}
+    found = np.array([of.get(r, 0) for r in rep.tolist()], np.int64)
+    parts = slice(0, anyone.num_rows), slice(anyone.num_rows, None)
+    return min(found[p].sum() / true[p].sum() if true[p].any() else 1.0 for p in parts)
 
 
 def near_duplicates(
@@ -243,7 +280,8 @@ def near_duplicates(
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, as
     do rows without id; each is its own component. Equal vectors link. Rows that share an id
-    count each as a row. Vectors must have one length. Other columns are not read.
+    count each as a row. Vectors must have one length. Other columns are not read. Raises if
+    the audit fails even with every vector in every shard.
     """
     column = F.col(f"`{vector_col}`")
     table = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), column.alias("v"))
@@ -251,10 +289,15 @@ def near_duplicates(
     classes = checkpointed(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v"))
     n = classes.count()
     links = None
-    for width in overlap if n else ():
-        links = _linked(classes, _centres(classes, n, shard), width, threshold)
-        if audit(classes, links, threshold, AUDIT_QUERIES) >= min_recall:
-            break
+    if n:
+        centres, recalls = _centres(classes, n, shard, threshold), {}
+        for width in _widths(overlap, len(centres)):
+            links = _linked(classes, centres, width, threshold)
+            recalls[width] = audit(classes, links, threshold, AUDIT_QUERIES)
+            if recalls[width] >= min_recall:
+                break
+        else:
+            raise RuntimeError(f"recall below {min_recall} at every overlap: {recalls}")
     of_class = classes
     if links is None:
         of_class = of_class.withColumn("n", F.lit(0).cast("long")).withColumn("component", F.col("rep"))

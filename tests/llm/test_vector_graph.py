@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spendlens.llm import queries, vector_graph
@@ -57,3 +58,30 @@ def test_odd_rows(spark):
     assert got == [(0, 0, None, True), (1, 2, 1, True), (2, 2, 1, False), *alone, (8, 2, 1, False), (9, 0, 9, True), (10, 0, 10, True)]
     empty = spark.createDataFrame([], SCHEMA)
     assert vector_graph.near_duplicates(empty).collect() == []
+
+
+def test_widens_until_the_audit_passes(spark):
+    vectors = np.random.RandomState(7).randn(600, 3).astype(np.float32)
+    n, low = brute(range(600), vectors)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
+    found = {r.vec_id: r.n_links for r in vector_graph.near_duplicates(frame, shard=20, overlap=(1,)).collect()}
+    assert all(found[i] <= n[i] for i in found) and sum(found.values()) >= 0.9 * n.sum()
+
+
+def test_raises_if_the_audit_never_passes(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(vector_graph, "audit", lambda *a: tried.append(a) or 0.0)
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0 + i % 5, float(i % 3)]) for i in range(60)], SCHEMA)
+    with pytest.raises(RuntimeError, match="recall"):
+        vector_graph.near_duplicates(frame, shard=5, overlap=(1,))
+    assert len(tried) > 1
+
+
+def test_audit_sees_links_that_few_vectors_have(spark):
+    rnd = np.random.RandomState(11)
+    vectors = rnd.randn(4000, 16)
+    vectors[:2000] /= np.sqrt((vectors[:2000] ** 2).sum(axis=1, keepdims=True))
+    vectors[1:4] = vectors[0] + 0.02 * rnd.randn(3, 16)
+    rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)], "rep long, copies long, v array<float>")
+    links = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "u long, n long, v long")
+    assert vector_graph.audit(rows, links, 0.95, 10) <= 0.4
