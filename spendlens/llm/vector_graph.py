@@ -4,8 +4,9 @@ Vectors go to their nearest few cluster centres, so shards overlap. Each shard b
 graph: near candidates, pruned so that a kept neighbour covers those close to it. The
 adjacency lists of a vector from all its shards are joined. Each shard then answers for its
 members: a greedy search from the shard's medoid reaches the neighbourhood of the query,
-and expands while it finds vectors in range. Hits are verified by cosine in double
-precision, and the recall is audited against brute force on a sample: shards overlap more
+and expands while it finds vectors in range. The vectors of a shard with a verified hit are
+then all compared with one another, by cosine in double precision; a pair counts in the first
+shard that compares both, so whatever a shard finds counts once. The recall is audited against brute force on a sample: shards overlap more
 until it is reached.
 
 Equal vectors take part once. Shards return link counts and one edge per vector to the
@@ -124,6 +125,28 @@ def search_in_range(x: np.ndarray, links: np.ndarray, threshold: float) -> np.nd
     return best >= threshold - 1e-4
 
 
+def _in_range(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows of x and y have the cosine; close to it the same for (u, v) and (v, u)."""
+    cosine = x @ y.T
+    hit = cosine >= threshold
+    a, b = np.nonzero(np.abs(cosine - threshold) < 1e-9)
+    hit[a, b] = np.einsum("id,id->i", x[a], y[b]) >= threshold
+    return hit
+
+
+def _lower_shards(table, shard: int) -> np.ndarray:
+    """(rows, shards) 1 where a row is also in a shard with a smaller number that others are in."""
+    lists = table.column("shards").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    number = lists.flatten().to_numpy()
+    row, number = row[number < shard], number[number < shard]
+    _, number, size = np.unique(number, return_inverse=True, return_counts=True)
+    row, number = row[size[number] > 1], (np.cumsum(size > 1) - 1)[number[size[number] > 1]]
+    out = np.zeros((len(lists), int((size > 1).sum())), np.float32)
+    out[row, number] = 1
+    return out
+
+
 def _slices(n: int) -> list[np.ndarray]:
     return [np.arange(a, min(n, a + LIMIT)) for a in range(0, max(1, n - LIMIT // 2), LIMIT // 2)]
 
@@ -172,7 +195,8 @@ def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], [*batch.schema.names, "shards"])
 
     kind = vectors.schema["v"].dataType.simpleString()
-    placed = checkpointed(vectors.mapInArrow(assign, f"rep long, copies long, v {kind}, shards array<int>"))
+    rows = f"rep long, copies long, v {kind}, shards array<int>"
+    placed = checkpointed(vectors.mapInArrow(assign, rows))
     members = placed.withColumn("shard", F.explode("shards"))
 
     def build(table):
@@ -190,17 +214,15 @@ def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
 
     def search(table):
         table = table.take(pa.array(np.argsort(table.column("rep").to_numpy())))
-        shard = table.column("shard")[0].as_py()
-        rep, copies, x = table.column("rep").to_numpy(), table.column("copies").to_numpy(), _unit(_matrix(table.column("v")))
-        shards = _matrix(table.column("shards")).astype(np.int64)
+        rep, x = table.column("rep").to_numpy(), _unit(_matrix(table.column("v")))
         lists = table.column("links").combine_chunks()
         owner = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
         to = lists.flatten().to_numpy()
         at = np.minimum(np.searchsorted(rep, to), len(rep) - 1)
         inside = rep[at] == to
         owner, at = owner[inside], at[inside]
-        out = [[], [], []]
-        for k, part in enumerate(_slices(len(rep))):
+        active = np.zeros(len(rep), bool)
+        for part in _slices(len(rep)):
             mine = (owner >= part[0]) & (owner <= part[-1]) & (at >= part[0]) & (at <= part[-1])
             o, t = owner[mine] - part[0], at[mine] - part[0]
             size = np.bincount(o, minlength=len(part))
@@ -208,29 +230,32 @@ def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
             links[o, np.arange(len(o)) - (np.cumsum(size) - size)[o]] = t
             hits = search_in_range(x[part], links, threshold)
             np.fill_diagonal(hits, False)
-            a, b = np.nonzero(hits | hits.T)
-            ok = np.einsum("id,id->i", x[part[a]], x[part[b]]) >= threshold
-            a, b = a[ok], b[ok]
-            # a pair counts in the first shard (and slice) that holds both
-            common = np.full(len(a), np.iinfo(np.int64).max)
-            for i in range(shards.shape[1]):
-                here = (shards[part[b]] == shards[part[a], i][:, None]).any(axis=1)
-                common = np.where(here, np.minimum(common, shards[part[a], i]), common)
-            ok = common == shard
-            if k:
-                ok &= ~((a < LIMIT // 2) & (b < LIMIT // 2))
-            a, b = a[ok], b[ok]
-            linked = np.zeros((len(part), len(part)), bool)
-            linked[a, b] = True
-            n = linked @ copies[part]
-            has = np.nonzero(n)[0]
-            out[0].append(rep[part][has])
-            out[1].append(n[has])
-            out[2].append(_smallest_reached(linked, rep[part])[has])
-        return pa.table({k: pa.array(np.concatenate(v), pa.int64()) for k, v in zip(("u", "n", "v"), out)})
-
-    searched = members.join(union, "rep").groupBy("shard").applyInArrow(search, "u long, n long, v long")
-    return checkpointed(searched)
+            a, b = np.nonzero(hits)
+            for lo in range(0, len(a), 1 << 18):
+                i, j = part[a[lo : lo + (1 << 18)]], part[b[lo : lo + (1 << 18)]]
+                ok = np.einsum("id,id->i", x[i], x[j]) >= threshold
+                active[i[ok]] = active[j[ok]] = True
+        return table.select(["rep", "shard"]).filter(pa.array(active))
+
+    active = members.drop("copies", "shards").join(union, "rep").groupBy("shard").applyInArrow(search, "rep long, shard int")
+    active = active.groupBy("rep").agg(F.collect_list("shard").alias("shards"))
+    active = checkpointed(vectors.join(active, "rep").select("rep", "copies", "v", "shards"))
+
+    def compare(table):
+        rep, copies, x = table.column("rep").to_numpy(), table.column("copies").to_numpy(), _unit(_matrix(table.column("v")))
+        lower = _lower_shards(table, table.column("shard")[0].as_py())
+        linked, n = np.zeros((len(rep), len(rep)), bool), np.zeros(len(rep), np.int64)
+        for a in range(0, len(rep), 512):
+            hit = _in_range(x[a : a + 512], x, threshold)
+            hit[np.arange(len(hit)), np.arange(a, a + len(hit))] = False
+            hit &= lower[a : a + 512] @ lower.T == 0
+            linked[a : a + 512], n[a : a + 512] = hit, hit @ copies
+        has = np.nonzero(n)[0]
+        least = _smallest_reached(linked, rep)
+        return pa.table({k: pa.array(v[has], pa.int64()) for k, v in zip(("u", "n", "v"), (rep, n, least))})
+
+    compared = active.withColumn("shard", F.explode("shards")).groupBy("shard").applyInArrow(compare, "u long, n long, v long")
+    return checkpointed(compared)
 
 
 def audit(vectors: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:

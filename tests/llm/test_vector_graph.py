@@ -85,3 +85,18 @@ def test_audit_sees_links_that_few_vectors_have(spark):
     rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)], "rep long, copies long, v array<float>")
     links = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "u long, n long, v long")
     assert vector_graph.audit(rows, links, 0.95, 10) <= 0.4
+
+
+def test_a_pair_missed_by_its_first_shard_counts(spark, monkeypatch):
+    rnd = np.random.RandomState(13)
+    vectors = np.concatenate([[[1, 0.9, 0]] + 0.02 * rnd.randn(2, 3), [[1, 0, 0.9]] + 0.1 * rnd.randn(60, 3)]).astype(np.float32)
+    n, _ = brute(range(62), vectors)
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "rep long, copies long, v array<float>")
+
+    def blind_in_the_first(x, links, threshold):
+        return (x @ x.T >= threshold) & (len(x) < 62)  # shard 0 holds all, 1 the pair, 2 the others
+
+    monkeypatch.setattr(vector_graph, "search_in_range", blind_in_the_first)
+    links = vector_graph._linked(frame, np.eye(3), 2, 0.95).groupBy("u").agg(F.sum("n").alias("n"))
+    assert {r.u: r.n for r in links.collect()} == {i: k for i, k in enumerate(n) if k}
