@@ -6,7 +6,8 @@ adjacency lists of a vector from all its shards are joined. Each shard then answ
 members: a greedy search from the shard's medoid reaches the neighbourhood of the query,
 and expands while it finds vectors in range. The vectors of a shard with a verified hit are
 then all compared with one another, by cosine in double precision; a pair counts in the first
-shard that compares both, so whatever a shard finds counts once. The recall is audited against brute force on a sample: shards overlap more
+shard that compares both, so whatever a shard finds counts once. A shard too large for one
+task is not searched: all its vectors are compared, two blocks in a task. The recall is audited against brute force on a sample: shards overlap more
 until it is reached.
 
 Equal vectors take part once. Shards return link counts and one edge per vector to the
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from ._graph import connected_components
-from .ngram_join import _smallest_reached
 
 THRESHOLD = 0.95
 SHARD = 500  # vectors per cluster centre, about
 MAX_CENTRES = 1 << 14  # the centres are a sample of this bound at most, and are broadcast
-LIMIT = 4000  # a shard with more members is cut in its task into overlapping slices
-OVERLAP = (3, 6)  # centres per vector; the next is tried if the audit finds too little, then the last doubled
+LIMIT = 4000  # a shard with more members is compared whole, in blocks
+BLOCK = 2000  # vectors of one block; two blocks meet in a task
+OVERLAP = (3, 6)  # centres per vector; the next is tried if the audit finds too little, see _widths
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 SLACK = 0.07  # the search expands vectors this much below the threshold
 BEAM, STEPS = 8, 64
@@ -147,10 +148,6 @@ def _lower_shards(table, shard: int) -> np.ndarray:
     return out
 
 
-def _slices(n: int) -> list[np.ndarray]:
-    return [np.arange(a, min(n, a + LIMIT)) for a in range(0, max(1, n - LIMIT // 2), LIMIT // 2)]
-
-
 def _apart(x: np.ndarray, cosine: float) -> np.ndarray:
     """Rows of x, first come first kept, of which no two have a larger cosine."""
     free, out = np.ones(len(x), bool), []
@@ -171,18 +168,21 @@ def _centres(vectors: DataFrame, n: int, size: int, threshold: float) -> np.ndar
 
 
 def _widths(overlap: tuple[int, ...], most: int):
-    """Centres per vector to try: the given ones, then the last doubled until all are taken."""
+    """Centres per vector to try: the given ones, then the last doubled while there are more;
+    last 0, for a comparison of all vectors."""
     yield from (w for w in overlap if w < most)
-    width = max(1, *overlap) if overlap else 1
+    width = 2 * max(1, *overlap) if overlap else 1
     while width < most:
-        width = 2 * width
-        if width < most:
-            yield width
-    yield most
+        yield width
+        width *= 2
+    if most == 1:
+        yield 1
+    yield 0
 
 
-def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: float) -> DataFrame:
-    """(u, n, v) for each vector with links: rep, linked rows, smallest rep connected to it."""
+def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: float, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """(u, n, v) for each vector with links: rep, linked rows, smallest rep connected to it.
+    Pairs that share a shard of more than ``limit`` vectors are all found."""
     spark = vectors.sparkSession
     shared, overlap = spark.sparkContext.broadcast(centres), min(overlap, len(centres))
 
@@ -198,18 +198,16 @@ def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
     rows = f"rep long, copies long, v {kind}, shards array<int>"
     placed = checkpointed(vectors.mapInArrow(assign, rows))
     members = placed.withColumn("shard", F.explode("shards"))
+    large = members.groupBy("shard").count().where(F.col("count") > limit).select("shard")
+    large = F.broadcast(checkpointed(large))
+    searched = members.join(large, "shard", "left_anti")
 
     def build(table):
         rep, x = table.column("rep").to_numpy(), _unit(_matrix(table.column("v")))
-        order = np.argsort(rep)
-        out = []
-        for part in _slices(len(rep)):
-            at = order[part]
-            links = pruned_neighbours(x[at])
-            out += [(r, rep[at[row[row >= 0]]]) for r, row in zip(rep[at], links)]
-        return pa.table({"rep": pa.array([r for r, _ in out], pa.int64()), "links": pa.array([x for _, x in out], pa.list_(pa.int64()))})
-
-    graph = members.select("shard", "rep", "v").groupBy("shard").applyInArrow(build, "rep long, links array<long>")
+        links = pruned_neighbours(x)
+        return pa.table({"rep": rep, "links": pa.array([rep[row[row >= 0]] for row in links], pa.list_(pa.int64()))})
+
+    graph = searched.select("shard", "rep", "v").groupBy("shard").applyInArrow(build, "rep long, links array<long>")
     union = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
 
     def search(table):
@@ -222,40 +220,57 @@ def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
         inside = rep[at] == to
         owner, at = owner[inside], at[inside]
         active = np.zeros(len(rep), bool)
-        for part in _slices(len(rep)):
-            mine = (owner >= part[0]) & (owner <= part[-1]) & (at >= part[0]) & (at <= part[-1])
-            o, t = owner[mine] - part[0], at[mine] - part[0]
-            size = np.bincount(o, minlength=len(part))
-            links = np.full((len(part), max(1, int(size.max()))), -1, np.int64)
-            links[o, np.arange(len(o)) - (np.cumsum(size) - size)[o]] = t
-            hits = search_in_range(x[part], links, threshold)
-            np.fill_diagonal(hits, False)
-            a, b = np.nonzero(hits)
-            for lo in range(0, len(a), 1 << 18):
-                i, j = part[a[lo : lo + (1 << 18)]], part[b[lo : lo + (1 << 18)]]
-                ok = np.einsum("id,id->i", x[i], x[j]) >= threshold
-                active[i[ok]] = active[j[ok]] = True
+        size = np.bincount(owner, minlength=len(rep))
+        links = np.full((len(rep), max(1, int(size.max()))), -1, np.int64)
+        links[owner, np.arange(len(owner)) - (np.cumsum(size) - size)[owner]] = at
+        hits = search_in_range(x, links, threshold)
+        np.fill_diagonal(hits, False)
+        a, b = np.nonzero(hits)
+        for lo in range(0, len(a), 1 << 18):
+            i, j = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
+            ok = np.einsum("id,id->i", x[i], x[j]) >= threshold
+            active[i[ok]] = active[j[ok]] = True
         return table.select(["rep", "shard"]).filter(pa.array(active))
 
-    active = members.drop("copies", "shards").join(union, "rep").groupBy("shard").applyInArrow(search, "rep long, shard int")
+    active = searched.drop("copies", "shards").join(union, "rep").groupBy("shard").applyInArrow(search, "rep long, shard int")
+    active = checkpointed(active.unionAll(members.join(large, "shard").select("rep", "shard")))
+    blocks = active.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     active = active.groupBy("rep").agg(F.collect_list("shard").alias("shards"))
-    active = checkpointed(vectors.join(active, "rep").select("rep", "copies", "v", "shards"))
+    active = vectors.join(active, "rep").select("rep", "copies", "v", "shards").withColumn("shard", F.explode("shards"))
+    active = active.join(F.broadcast(blocks), "shard").withColumn("i", F.pmod(F.xxhash64("rep", "shard"), F.col("blocks")).cast("int"))
+    met = active.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).drop("j", "blocks")
 
     def compare(table):
         rep, copies, x = table.column("rep").to_numpy(), table.column("copies").to_numpy(), _unit(_matrix(table.column("v")))
         lower = _lower_shards(table, table.column("shard")[0].as_py())
-        linked, n = np.zeros((len(rep), len(rep)), bool), np.zeros(len(rep), np.int64)
-        for a in range(0, len(rep), 512):
-            hit = _in_range(x[a : a + 512], x, threshold)
-            hit[np.arange(len(hit)), np.arange(a, a + len(hit))] = False
-            hit &= lower[a : a + 512] @ lower.T == 0
-            linked[a : a + 512], n[a : a + 512] = hit, hit @ copies
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        mine = table.column("i").to_numpy()
+        left, right = np.nonzero(mine == lo)[0], np.nonzero(mine == hi)[0]
+        n, least = np.zeros(len(rep), np.int64), rep.copy()
+        linked = np.zeros((len(left), len(right)), bool)
+        for a in range(0, len(left), 512):
+            part = left[a : a + 512]
+            hit = _in_range(x[part], x[right], threshold)
+            hit &= part[:, None] != right
+            hit &= lower[part] @ lower[right].T == 0
+            linked[a : a + 512] = hit
+            n[part] += hit @ copies[right]
+            if lo != hi:
+                n[right] += copies[part] @ hit
+        a, b = np.nonzero(linked)
+        a, b = left[a], right[b]
+        while len(a):
+            new = least.copy()
+            np.minimum.at(new, a, least[b])
+            np.minimum.at(new, b, least[a])
+            if (new == least).all():
+                break
+            least = new
         has = np.nonzero(n)[0]
-        least = _smallest_reached(linked, rep)
         return pa.table({k: pa.array(v[has], pa.int64()) for k, v in zip(("u", "n", "v"), (rep, n, least))})
 
-    compared = active.withColumn("shard", F.explode("shards")).groupBy("shard").applyInArrow(compare, "u long, n long, v long")
-    return checkpointed(compared)
+    return checkpointed(met.groupBy("shard", "lo", "hi").applyInArrow(compare, "u long, n long, v long"))
 
 
 def audit(vectors: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
@@ -300,13 +315,15 @@ def near_duplicates(
     shard: int = SHARD,
     overlap: tuple[int, ...] = OVERLAP,
     min_recall: float = RECALL,
+    limit: int = LIMIT,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, as
     do rows without id; each is its own component. Equal vectors link. Rows that share an id
     count each as a row. Vectors must have one length. Other columns are not read. Raises if
-    the audit fails even with every vector in every shard.
+    the audit fails even after all vectors were compared.
     """
     column = F.col(f"`{vector_col}`")
     table = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), column.alias("v"))
@@ -317,7 +334,7 @@ def near_duplicates(
     if n:
         centres, recalls = _centres(classes, n, shard, threshold), {}
         for width in _widths(overlap, len(centres)):
-            links = _linked(classes, centres, width, threshold)
+            links = _linked(classes, centres, width, threshold, limit, block) if width else _linked(classes, centres[:1], 1, threshold, 0, block)
             recalls[width] = audit(classes, links, threshold, AUDIT_QUERIES)
             if recalls[width] >= min_recall:
                 break

@@ -100,3 +100,21 @@ def test_a_pair_missed_by_its_first_shard_counts(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "search_in_range", blind_in_the_first)
     links = vector_graph._linked(frame, np.eye(3), 2, 0.95).groupBy("u").agg(F.sum("n").alias("n"))
     assert {r.u: r.n for r in links.collect()} == {i: k for i, k in enumerate(n) if k}
+
+
+def near_copies(size, others):
+    rnd = np.random.RandomState(5)
+    base = rnd.randn(64)
+    near = base / np.sqrt(base @ base) + 0.0238 * rnd.randn(size, 64)  # pairs at 0.965 or so
+    return np.concatenate([near, rnd.randn(others, 64)]).astype(np.float32)
+
+
+def test_pairs_of_a_large_shard_all_meet(spark):
+    vectors = near_copies(500, 100)
+    n, low = brute(range(600), vectors)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
+    got = vector_graph.near_duplicates(frame, shard=50, limit=100, block=64).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], low[i]) for i in range(600)}
+    rows = frame.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("v"))
+    links = vector_graph._linked(rows, vectors[:1].astype(float), 1, 0.95, 0, 64).groupBy("u").agg(F.sum("n").alias("n"))
+    assert {r.u: r.n for r in links.collect()} == {i: k for i, k in enumerate(n) if k}
