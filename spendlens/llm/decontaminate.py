@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ._bytes import column_bytes, row_chunks, span_hashes, with_text_columns
 
 WINDOW = 13
@@ -129,8 +130,8 @@ def chunk_matches(data: np.ndarray, offsets: np.ndarray, index: TestIndex):
 
 
 def test_blocks(benchmark: DataFrame, *, id_col="item_id", text_col="text", window=WINDOW, block_bytes=BLOCK_BYTES):
-    """The test items as indexes of about ``block_bytes`` of text each; one block at a time
-    is read to the driver, so its memory does not grow with the table."""
+    """The test items as indexes of about ``block_bytes`` of text each, and whether it is the
+    last; one block at a time is read to the driver, so its memory does not grow with the table."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     items = items.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -138,7 +139,7 @@ def test_blocks(benchmark: DataFrame, *, id_col="item_id", text_col="text", wind
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).toArrow()
         hashes, bounds = words(*column_bytes(part.column("text")))
-        yield TestIndex(part.column("id").to_numpy(), hashes, bounds, window)
+        yield TestIndex(part.column("id").to_numpy(), hashes, bounds, window), k == n - 1
 
 
 test_blocks.__test__ = False
@@ -161,13 +162,15 @@ def find_matches(
     has no words; items that are null, without words or without id match nothing; an empty
     benchmark leaves every list empty. Items with equal texts match each for itself. Rows
     repeat as in the input; extra columns are not read. Beyond ``block_bytes`` of test text
-    the documents pass several blocks in turn.
+    the documents pass several blocks in turn, and are written with their matches after each
+    but the last, so that one block is held at a time.
     """
     spark = docs.sparkSession
     frame = docs
-    blocks = list(test_blocks(benchmark, window=window, block_bytes=block_bytes))
-    for k, block in enumerate(blocks):
-        shared, last = spark.sparkContext.broadcast(block), k == len(blocks) - 1
+    k = 0
+    for block, last in test_blocks(benchmark, window=window, block_bytes=block_bytes):
+        shared = spark.sparkContext.broadcast(block)
+        del block
 
         def run(column, shared=shared):
             index = shared.value
@@ -193,8 +196,10 @@ def find_matches(
         columns = [c for c in dict.fromkeys([*keep, *([] if last else [text_col])])]
         frame = with_text_columns(frame, text_col, [*columns, *have], made, run)
         if not last:
-            frame = frame.drop("__n")
-    lists = [F.col(f"__m{k}") for k in range(len(blocks))]
+            frame = checkpointed(frame.drop("__n"))
+            shared.destroy()
+        k += 1
+    lists = [F.col(f"__m{i}") for i in range(k)]
     return frame.select(
         *[F.col(f"`{c}`") for c in keep], F.col("__n").alias(names[0]), (F.concat(*lists) if len(lists) > 1 else lists[0]).alias(names[1])
     )

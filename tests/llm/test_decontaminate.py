@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import weakref
 
 from pyspark.sql import functions as F
 
@@ -86,3 +88,21 @@ def test_query(spark):
         r = got[d.doc_id]
         assert (r.n_words, r.n_hit, r.n_items) == (n, h, len(i))
         assert r.contaminated == (h > 0 and 20 * h >= n)
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    alive, most, made = weakref.WeakSet(), [], decontaminate.TestIndex.__init__
+
+    def tracked(self, *a):
+        gc.collect()
+        most.append(len(alive))
+        made(self, *a)
+        alive.add(self)
+
+    monkeypatch.setattr(decontaminate.TestIndex, "__init__", tracked)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"a {t} b") for i, t in items] * 2, "doc_id long, text string")
+    found = decontaminate.find_matches(docs, benchmark, block_bytes=1000).collect()
+    assert len(most) > 2 and max(most) == 0
+    assert sorted((r.doc_id, [m.item_id for m in r.matches]) for r in found) == sorted((i, [i]) for i, _ in items * 2)
