@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    curriculum,
     decontaminate,
     language_id,
+    lexical_search,
     ngram_join,
+    periodic,
     recompression,
     role_repair,
     rule_quality,
@@ -110,6 +113,39 @@ def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = curriculum.assign(_read(spark, sf_dir, "documents"))
+    first = F.round(F.get("plays", F.lit(0))["position"], 9)
+    return plan.select(
+        "doc_id", "size", "source_size", "target", curriculum.words_taken().alias("taken"), first.alias("first_position")
+    ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("__h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    found = periodic.periodic_runs(docs, replay_col="__h")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        periodic.strongest_run("runs").alias("top"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        *[F.col("top")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.expr("(1000 * top.length) div top.period")).cast("long").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -121,6 +157,51 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_rule_quality": op9_rule_quality,
     "op10_vector_graph": op10_vector_graph,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_curriculum": op12_curriculum,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op11_lexical_search": f"""
+with words as (select doc_id, unnest({_TERMS}) as term from documents),
+postings as (select doc_id, term, count(*) as tf from words group by all),
+lengths as (select doc_id, sum(tf)::bigint as n from postings group by doc_id),
+totals as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w
+  from postings cross join totals group by term, docs),
+factors as (select doc_id, 100 - 90 + (90 * n * docs) // terms as m from lengths cross join totals),
+wanted as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+scores as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from wanted join weights using (term) join postings using (term) join factors using (doc_id) group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scores where score > 0)
+select item_id, r::int as rank, doc_id, score from ranked where r <= 10""",
+    "op12_curriculum": """
+with recursive sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+    md5('42|' || coalesce(doc_id::varchar, 'null')) as key from documents),
+per as (select source, sum(size)::bigint as have,
+    ((row_number() over (order by source nulls last) - 1) % 3)::int as kind from sized group by source),
+massed as (select *, case kind when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as mass, 3 * have as cap from per),
+rounds as (
+  select 0 as i, (select sum(have) from massed)::double / (select sum(mass) from massed) as level
+  union all
+  select i + 1, ((select sum(have) from massed) - coalesce((select sum(cap) from massed where mass * level > cap), 0))::double
+    / (select sum(mass) from massed where not mass * level > cap) from rounds
+  where i < (select count(*) from massed) and exists (select 1 from massed where not mass * level > cap)),
+targets as (select source, have, kind, mass, least(mass * (select max(level) from rounds), cap::double) as target from massed),
+placed as (select doc_id, size, have, kind, mass, target,
+    (sum(size) over (partition by sized.source order by key, doc_id rows unbounded preceding) - size)::bigint as x
+  from sized join targets on sized.source is not distinct from targets.source),
+taken as (select *, greatest(0, least(size, round(target)::bigint - x)) + greatest(0, least(size, round(target)::bigint - x - have))
+    + greatest(0, least(size, round(target)::bigint - x - 2 * have)) as words, x / target * mass as y from placed)
+select doc_id, size, have as source_size, target, words::bigint as taken,
+  case when words > 0 then round(least(1.0, case kind
+    when 0 then 2.0 * y / (7.0 + sqrt(49.0 + 2.0 * -4.0 * y))
+    when 1 then 2.0 * y / (1.0 + sqrt(1.0 + 2.0 * 2.0 * y))
+    else 2.0 * y / (1.0 + sqrt(1.0 + 0.0 * y)) end), 9) end as first_position
+from taken""",
+}
