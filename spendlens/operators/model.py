@@ -9,14 +9,14 @@ the same small table and metrics do not depend on upstream partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +64,20 @@ TUNING_GRID: dict[str, list] = {
 }
 
 
+#: Fits that run at a time. A boosting round is a row of short jobs, so that one fit leaves
+#: most of a cluster idle; several fits share it.
+PARALLEL_FITS = 8
+
+
+def in_parallel(work: Callable, items: Iterable, parallelism: int = PARALLEL_FITS) -> list:
+    """``work`` of every item, several at a time as Spark jobs of driver threads."""
+    items = list(items)
+    if len(items) < 2 or parallelism < 2:
+        return [work(i) for i in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items, chunksize=1)
+
+
 def estimator(preset: Preset, features_col: str = "features", label: str = LABEL):
     p = dict(preset.params)
     if preset.kind == "linear":
@@ -82,18 +96,21 @@ def assembler(features: Sequence[str] = FEATURES) -> VectorAssembler:
 def prepare(
     frame: DataFrame,
     features: Sequence[str] = FEATURES,
-    fill_missing: float = 0.0,
+    fill_missing: float | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Modelling rows with double features, laid out deterministically and
     checkpointed. A missing feature (a customer whose prices are all missing has
-    no average item price) becomes ``fill_missing``: Spark ML trees and least
-    squares take no nulls."""
+    no average item price) becomes ``fill_missing``, or the feature's mean over the rows
+    that have it (0 if none has): Spark ML trees and least squares take no nulls."""
     n = partitions or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    cols = [F.coalesce(F.col(c).cast("double"), F.lit(float(fill_missing))).alias(c) for c in features]
     rest = [c for c in frame.columns if c not in features]
-    laid = frame.select(*rest, *cols).repartition(n, KEY).sortWithinPartitions(KEY)
-    return checkpointed(laid)
+    cols = [F.col(c).cast("double").alias(c) for c in features]
+    laid = checkpointed(frame.select(*rest, *cols).repartition(n, KEY).sortWithinPartitions(KEY))
+    gaps = laid.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features], *[F.avg(c).alias(f"{c}__mean") for c in features])
+    gaps = gaps.first()  # one row
+    fill = {c: (gaps[f"{c}__mean"] or 0.0) if fill_missing is None else float(fill_missing) for c in features if gaps[c]}
+    return laid.fillna(fill) if fill else laid
 
 
 def fit(frame: DataFrame, preset: Preset, features: Sequence[str] = FEATURES) -> PipelineModel:
@@ -135,8 +152,7 @@ def model_comparison(frame: DataFrame, presets: dict[str, Preset] | None = None,
     split = FO.train_test_split(frame)
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
     out = None
-    for name, preset in presets.items():
-        model = fit(train, preset)
+    for name, model in zip(presets, in_parallel(lambda p: fit(train, p), presets.values())):
         m = holdout_metrics(model, test)
         ov = R.top_n_overlap(score(model, frame), "actual_cltv", "prediction", top_n, KEY)
         row = m.select(
@@ -146,64 +162,27 @@ def model_comparison(frame: DataFrame, presets: dict[str, Preset] | None = None,
     return out
 
 
+def _fold_models(df: DataFrame, preset: Preset, k: int, fold_col: str = "fold") -> list[PipelineModel]:
+    """For each fold the model of all other folds."""
+    return in_parallel(lambda i: fit(df.where(F.col(fold_col) != i), preset), range(k))
+
+
 def cv_rmse(frame: DataFrame, preset: Preset, k: int = FO.K_SHUFFLED) -> DataFrame:
     """O-67: shuffled k-fold RMSE per fold, with the mean over folds on every row."""
     df = FO.kfold_assign(frame, k=k)
     out = None
-    for i in range(k):
-        model = fit(df.where(F.col("fold") != i), preset)
+    for i, model in enumerate(_fold_models(df, preset, k)):
         m = holdout_metrics(model, df.where(F.col("fold") == i)).select(F.lit(i).alias("fold"), "rmse")
         out = m if out is None else out.unionByName(m)
     return out.withColumn("mean_rmse", F.avg("rmse").over(W.partitionBy(F.lit(0))))
 
 
-def grid_search(
-    frame: DataFrame,
-    preset: Preset,
-    grid: dict[str, list] | None = None,
-    k: int = FO.K_CONTIGUOUS,
-    parallelism: int = 4,
-) -> tuple[DataFrame, PipelineModel]:
-    """O-68: every grid point scored by contiguous k-fold RMSE (``CrossValidator``
-    with a fold column, fits in parallel), the best refitted on all rows.
-    Returns the table of points ``(point, <params>, mean_rmse, is_best)`` and the
-    refitted best model."""
-    grid = grid if grid is not None else TUNING_GRID
-    est = estimator(preset)
-    pipe = Pipeline(stages=[assembler(), est])
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(est.getParam(name), values)
-    maps = builder.build()
-    df = FO.kfold_contiguous(frame, k=k).withColumn("fold", F.col("fold") - 1)
-    cv = CrossValidator(
-        estimator=pipe,
-        estimatorParamMaps=maps,
-        evaluator=RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="rmse"),
-        foldCol="fold",
-        numFolds=k,
-        parallelism=parallelism,
-        seed=SEED,
-    )
-    cvm = cv.fit(df)
-    best = int(min(range(len(cvm.avgMetrics)), key=lambda i: cvm.avgMetrics[i]))
-    names = list(grid)
-    rows = []
-    for i, (pm, metric) in enumerate(zip(maps, cvm.avgMetrics)):
-        by_name = {p.name: v for p, v in pm.items()}
-        rows.append((i, *[str(by_name[n]) for n in names], float(metric), i == best))
-    schema = "point int, " + ", ".join(f"{n} string" for n in names) + ", mean_rmse double, is_best boolean"
-    table = frame.sparkSession.createDataFrame(rows, schema)
-    return table, cvm.bestModel
-
-
 def out_of_fold(frame: DataFrame, preset: Preset, k: int = FO.K_SHUFFLED) -> DataFrame:
     """O-69: per fold, fit on the other folds and predict the held-out rows; both
     the realised and predicted value back-transformed with ``expm1``."""
     df = FO.kfold_assign(frame, k=k)
     out = None
-    for i in range(k):
-        model = fit(df.where(F.col("fold") != i), preset)
+    for i, model in enumerate(_fold_models(df, preset, k)):
         part = score(model, df.where(F.col("fold") == i)).select(
             KEY, "fold", from_log_target(LABEL).alias("actual_cltv"), F.col("predicted_cltv").alias("pred_cltv")
         )

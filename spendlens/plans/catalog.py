@@ -858,17 +858,10 @@ def q_regression_metrics(spark, sf_dir):
 
 # ------------------------------------------------------------------ models and attribution (rows-only checks)
 
-from ..operators import explain, model  # noqa: E402
+from ..operators import explain, model, tuning  # noqa: E402
 
-# Boosting adds one tree after another, several Spark jobs each: about 0.8 s a round here,
-# four minutes for the 300 rounds of the preset. The three queries that must boost run
-# these small presets (README, "Model sizes"); every other query runs model.PRESETS.
-SMALL_BOOSTED = {
-    "boosted": model.Preset("boosted", {"maxIter": 5, "stepSize": 0.05, "maxDepth": 3}),
-    "boosted_deep": model.Preset("boosted", {"maxIter": 6, "stepSize": 0.05, "maxDepth": 3}),
-}
-SMALL_GRID = {"maxIter": [3, 5], "maxDepth": [2, 3]}
-FULL = {name: model.PRESETS[name] for name in ("linear", "forest")}
+PRESETS = model.PRESETS
+BOOSTED = PRESETS["boosted"]
 
 
 def _prepared(spark, sf_dir) -> DataFrame:
@@ -884,61 +877,76 @@ def _fitted(spark, sf_dir, preset: model.Preset):
 
 @register("fit_linear")
 def q_fit_linear(spark, sf_dir):
-    return model.coefficients(spark, _fitted(spark, sf_dir, FULL["linear"])[0])
+    return model.coefficients(spark, _fitted(spark, sf_dir, PRESETS["linear"])[0])
 
 
 @register("fit_forest")
 def q_fit_forest(spark, sf_dir):
-    return model.importances(spark, _fitted(spark, sf_dir, FULL["forest"])[0])
+    return model.importances(spark, _fitted(spark, sf_dir, PRESETS["forest"])[0])
 
 
 @register("fit_boosted")
 def q_fit_boosted(spark, sf_dir):
-    return model.importances(spark, _fitted(spark, sf_dir, SMALL_BOOSTED["boosted"])[0])
+    return model.importances(spark, _fitted(spark, sf_dir, BOOSTED)[0])
 
 
 @register("fit_boosted_deep")
 def q_fit_boosted_deep(spark, sf_dir):
-    return model.importances(spark, _fitted(spark, sf_dir, SMALL_BOOSTED["boosted_deep"])[0])
+    return model.importances(spark, _fitted(spark, sf_dir, PRESETS["boosted_deep"])[0])
 
 
 @register("score_customers")
 def q_score_customers(spark, sf_dir):
-    scored = model.score(*_fitted(spark, sf_dir, FULL["forest"]))
+    scored = model.score(*_fitted(spark, sf_dir, PRESETS["forest"]))
     return scored.select(KEY, "actual_cltv", "cltv_log", "prediction", "predicted_cltv")
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    return model.model_comparison(_prepared(spark, sf_dir), FULL)
+    return model.model_comparison(_prepared(spark, sf_dir))
 
 
 @register("cv_rmse")
 def q_cv_rmse(spark, sf_dir):
-    return model.cv_rmse(_prepared(spark, sf_dir), FULL["forest"])
+    return model.cv_rmse(_prepared(spark, sf_dir), BOOSTED)
 
 
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    table, _ = model.grid_search(_prepared(spark, sf_dir), SMALL_BOOSTED["boosted"], SMALL_GRID)
-    return table
+    """All 192 points; one call scores the next parameter set at full size (three fits of 500
+    rounds, two points) and finds those of earlier calls in the session's shared folder."""
+    frame = _prepared(spark, sf_dir)
+    store = tuning.default_store(frame)
+    tuning.tune(frame, BOOSTED, store, max_shapes=1)
+    return tuning.tuning_table(frame, BOOSTED, store)
+
+
+@register("tuned_top_customers")
+def q_tuned_top_customers(spark, sf_dir):
+    """The best point so far (the first is scored if none is), refitted on all rows."""
+    frame = _prepared(spark, sf_dir)
+    store = tuning.default_store(frame)
+    table = tuning.tuning_table(frame, BOOSTED, store)
+    if not table.where("is_best").count():
+        tuning.tune(frame, BOOSTED, store, max_shapes=1)
+    return tuning.top_customers(model.fit(frame, tuning.best_preset(table, BOOSTED)), frame)
 
 
 @register("out_of_fold")
 def q_out_of_fold(spark, sf_dir):
-    return model.out_of_fold(_prepared(spark, sf_dir), FULL["forest"])
+    return model.out_of_fold(_prepared(spark, sf_dir), BOOSTED)
 
 
 @register("out_of_fold_overlap")
 def q_out_of_fold_overlap(spark, sf_dir):
     """Per fold, the realised top 100 against the top 100 of held-out predictions."""
-    scored = model.out_of_fold(_prepared(spark, sf_dir), FULL["forest"])
+    scored = model.out_of_fold(_prepared(spark, sf_dir), BOOSTED)
     return rank.top_n_overlap_by_fold(scored, "actual_cltv", "pred_cltv", "fold", 100, KEY)
 
 
 @register("shap_values")
 def q_shap_values(spark, sf_dir):
-    fitted, frame = _fitted(spark, sf_dir, FULL["forest"])
+    fitted, frame = _fitted(spark, sf_dir, PRESETS["forest"])
     return explain.shap_values(frame, fitted)
 
 
@@ -949,8 +957,8 @@ def q_shap_importance(spark, sf_dir):
 
 @register("shap_dependence")
 def q_shap_dependence(spark, sf_dir):
-    fitted, frame = _fitted(spark, sf_dir, FULL["forest"])
-    return explain.shap_dependence(explain.shap_values(frame, fitted), frame, "recency")
+    fitted, frame = _fitted(spark, sf_dir, PRESETS["forest"])
+    return explain.shap_dependence(explain.shap_interactions(frame, fitted, "recency"), "recency")
 
 
 # ------------------------------------------------------------------ k-NN imputation

@@ -1,10 +1,11 @@
 """Invariants of the model operators (their outputs have no SQL oracle)."""
 
 import numpy as np
+import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
-from spendlens.operators import folds, metrics, model, rank
+from spendlens.operators import folds, metrics, model, rank, tuning
 from spendlens.operators.features import FEATURES, KEY, LABEL
 from spendlens.plans import pipeline
 from spendlens.sources.fixtures import TEST_CUTOFF, fixture_tables
@@ -50,14 +51,86 @@ def test_out_of_fold_and_cv(spark):
     assert len(cv) == 3 and abs(np.mean([r["rmse"] for r in cv]) - cv[0]["mean_rmse"]) < 1e-12
 
 
-def test_grid_best_is_minimum(spark):
+GRID = {"maxIter": [2, 4], "maxDepth": [1, 2], "subsamplingRate": [0.7, 1.0]}
+
+
+def test_rounds_are_read_off_one_curve(spark):
+    """A fit of fewer rounds has the error that the longer fit has after so many rounds."""
+    frame = _frame(spark)
+    df = folds.kfold_contiguous(frame, k=2)
+    train, held = df.where("fold <> 1"), df.where("fold = 1")
+    for rate in (0.7, 1.0):
+        long = model.Preset("boosted", {"maxIter": 6, "maxDepth": 3, "subsamplingRate": rate})
+        curve = tuning.held_out_curve(model.fit(train, long), long, held)
+        assert len(curve) == 6
+        for rounds in (1, 3, 6):
+            short = model.Preset("boosted", {**long.params, "maxIter": rounds})
+            alone = model.holdout_metrics(model.fit(train, short), held).first()["rmse"]
+            assert abs(alone - curve[rounds - 1]) < 1e-9
+
+
+def test_grid_is_carried_on(spark, tmp_path, monkeypatch):
+    frame, store = _frame(spark), str(tmp_path / "fits")
+    fits = []
+    real = tuning.fit
+
+    def counted(df, preset, *rest):
+        fits.append(preset.params)
+        if len(fits) == 4:
+            raise RuntimeError("driver lost")
+        return real(df, preset, *rest)
+
+    monkeypatch.setattr(tuning, "fit", counted)
+    with pytest.raises(RuntimeError):
+        tuning.tune(frame, QUICK, store, GRID, k=3, parallelism=1)
+    kept = tuning.finished(spark, store).count()
+    assert kept == 3  # one parameter set with its three folds
+    table = tuning.tuning_table(frame, QUICK, store, GRID, k=3)
+    assert table.count() == 8 and table.where("mean_rmse is not null").count() == 2
+    del fits[:]
+    monkeypatch.setattr(tuning, "fit", lambda df, preset, *rest: fits.append(preset.params) or real(df, preset, *rest))
+    assert tuning.tune(frame, QUICK, store, GRID, k=3, max_shapes=1) == 6
+    assert tuning.tune(frame, QUICK, store, GRID, k=3) == 0
+    assert len(fits) == 9 and all(p["maxIter"] == 4 for p in fits)  # 4 sets x 3 folds, 3 were kept
+    rows = tuning.tuning_table(frame, QUICK, store, GRID, k=3).collect()
+    assert [r["folds_done"] for r in rows] == [3] * 8
+    best = [r for r in rows if r["is_best"]]
+    assert len(best) == 1 and best[0]["mean_rmse"] == min(r["mean_rmse"] for r in rows)
+    df = folds.kfold_contiguous(frame, k=3)
+    for r in rows[:3]:
+        params = {**QUICK.params, "maxIter": int(r["maxIter"]), "maxDepth": int(r["maxDepth"]), "subsamplingRate": float(r["subsamplingRate"])}
+        each = [model.holdout_metrics(real(df.where(F.col("fold") != i), model.Preset("boosted", params)), df.where(F.col("fold") == i)).first()["rmse"] for i in (1, 2, 3)]
+        assert abs(np.mean(each) - r["mean_rmse"]) < 1e-9
+    other = frame.limit(50)
+    assert tuning.tuning_table(other, QUICK, store, GRID, k=3).where("folds_done > 0").count() == 0
+
+
+def test_best_point_is_refitted(spark, tmp_path):
     frame = _frame(spark)
-    table, best = model.grid_search(frame, QUICK, {"maxIter": [2, 3], "maxDepth": [1, 2]}, k=3, parallelism=2)
-    rows = table.collect()
-    assert len(rows) == 4
-    best_row = [r for r in rows if r["is_best"]]
-    assert len(best_row) == 1 and best_row[0]["mean_rmse"] == min(r["mean_rmse"] for r in rows)
-    assert best.transform(frame).count() == frame.count()
+    grid = {"maxIter": [2, 3], "maxDepth": [1, 2]}
+    table, best = tuning.grid_search(frame, QUICK, grid, k=3, store=str(tmp_path / "fits"))
+    point = table.where("is_best").first()
+    assert len(model.final_model(best).trees) == int(point["maxIter"])
+    top = tuning.top_customers(best, frame, 20).orderBy("rank").collect()
+    scored = sorted(model.score(best, frame).collect(), key=lambda r: (-r["predicted_cltv"], r[KEY]))[:20]
+    real = {r[KEY] for r in sorted(frame.collect(), key=lambda r: (-r["actual_cltv"], r[KEY]))[:20]}
+    assert [(r["rank"], r[KEY], r["in_realised_top"]) for r in top] == [(i + 1, r[KEY], r[KEY] in real) for i, r in enumerate(scored)]
+    forest = model.Preset("forest", {"numTrees": 2})
+    table, _ = tuning.grid_search(frame, forest, {"maxDepth": [1, 3]}, k=2, store=str(tmp_path / "forest"))
+    assert table.where("mean_rmse is not null").count() == 2
+
+
+def test_presets_run_whole(spark):
+    """300 rounds of depth 7, on the fewest rows that fill such trees."""
+    assert [model.PRESETS[n].params["maxIter"] for n in ("boosted", "boosted_deep")] == [300, 500]
+    assert len(tuning.fit_shapes(model.PRESETS["boosted"], model.TUNING_GRID)) == 96
+    assert len(tuning.grid_points(model.TUNING_GRID)) == 192
+    rng = np.random.default_rng(0)
+    rows = [(str(i), *map(float, v), float(np.sin(9 * v[0]) + v[1] * v[2])) for i, v in enumerate(rng.random((300, len(FEATURES))))]
+    names = ", ".join(f"{f} double" for f in FEATURES)
+    frame = spark.createDataFrame(rows, f"{KEY} string, {names}, {LABEL} double").coalesce(1).checkpoint()
+    trees = model.final_model(model.fit(frame, model.PRESETS["boosted"])).trees
+    assert len(trees) == 300 and max(t.depth for t in trees) == 7
 
 
 def test_comparison_overlap_bounds(spark):
