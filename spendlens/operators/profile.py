@@ -120,7 +120,7 @@ def outlier_check(
     if exact:
         long = Q.to_long(df, columns, [weight] if weight else ())
         vc = checkpointed(Q.value_counts(long, ["column_name"], weight))
-        qs = Q.quantiles(vc, [lower_q, upper_q], keys=["column_name"], weight="cnt")
+        qs = Q.quantiles(vc, [lower_q, upper_q], keys=["column_name"], weight="cnt", written=True)
         lim = _iqr_limits(qs, lower_q, upper_q).select("column_name", "low_limit", "up_limit")
         v = F.col("value")
         outside = (v > F.col("up_limit")) | (v < F.col("low_limit"))
@@ -248,27 +248,26 @@ def prob_name(p: float) -> str:
 
 
 def table_profile(df: DataFrame, probs: Sequence[float] = PROFILE_QUANTILES) -> DataFrame:
-    """O-25, O-26, O-28: shape, type, null count and quantiles per column."""
-    n_rows = df.select(F.count(F.lit(1))).scalar()
+    """O-25, O-26, O-28: shape, type, null count and quantiles per column. The frame is read
+    once: its numeric columns and whether the others are null are written, one aggregate over
+    them gives rows and nulls, and the quantiles read them."""
+    numeric = numeric_columns(df)
+    fields = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    others = [(i, name) for i, name, _ in fields if name not in numeric]
+    spool = Q.spooled(df, numeric, extra=[F.col(f"`{name}`").isNull().alias(f"n{i}") for i, name in others])
+    counts = spool.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(f"c{j}").isNull()).alias(f"c{j}") for j in range(len(numeric))],
+        *[F.count_if(f"n{i}").alias(f"n{i}") for i, _ in others],
+    ).first()  # one row
+    nulls = {c: counts[f"c{j}"] for j, c in enumerate(numeric)} | {name: counts[f"n{i}"] for i, name in others}
     types = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
-        "position int, column_name string, dtype string",
-    )
-    nulls = null_counts(df)
-    qp = quantile_profile(df, numeric_columns(df), probs)
-    return (
-        types.join(nulls, "column_name")
-        .join(qp, "column_name", "left")
-        .select(
-            "position",
-            "column_name",
-            "dtype",
-            n_rows.alias("n_rows"),
-            F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-            "n_null",
-            *[prob_name(p) for p in probs],
-        )
+        [(i, name, kind, counts["n"], len(fields), nulls[name]) for i, name, kind in fields],
+        "position int, column_name string, dtype string, n_rows bigint, n_columns bigint, n_null bigint",
     )
+    qs = Q.spooled_quantiles(spool, numeric, probs, [counts["n"] - nulls[c] for c in numeric])
+    qp = Q.pivot_probs(qs, ["column_name"], {p: prob_name(p) for p in probs})
+    return types.join(qp, "column_name", "left").select(*types.columns, *[prob_name(p) for p in probs])
 
 
 # ---------------------------------------------------------------- distributions
@@ -424,23 +423,26 @@ def correlation_matrix(
 def boxplot_stats(df: DataFrame, value: str = "freight_value", group: str = "customer_state") -> DataFrame:
     """O-50: per group median, quartiles, whiskers (most extreme values within
     1.5 IQR of the quartiles) and the count of values beyond them."""
-    long = df.select(F.col(group), F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull())
-    # One pass over the input: distinct (group, value) with counts, materialised; the
-    # quantiles and the whisker/flier statistics both read this small table.
-    vc = checkpointed(Q.value_counts(long, [group]))
-    qs = Q.quantiles(vc, [0.25, 0.5, 0.75], keys=[group], weight="cnt")
+    # The values are written where they are and read by every pass; none is exchanged.
+    long = checkpointed(df.select(F.col(group), F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull()))
+    qs = Q.quantiles(long, [0.25, 0.5, 0.75], keys=[group], written=True)
     box = Q.pivot_probs(qs, [group], {0.25: "q1", 0.5: "median", 0.75: "q3"})
     iqr = F.col("q3") - F.col("q1")
     box = box.withColumn("_lo", F.col("q1") - IQR_FACTOR * iqr).withColumn("_hi", F.col("q3") + IQR_FACTOR * iqr)
+    box = checkpointed(box)
+    limits = box.select(F.col(group).alias("_g"), "_lo", "_hi")
+    if box.count() <= Q.MAX_TARGETS:  # else Spark chooses the join
+        limits = F.broadcast(limits)
     v = F.col("value")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    stats = vc.join(box.select(group, "_lo", "_hi"), group).groupBy(group).agg(
-        F.sum("cnt").alias("n"),
+    stats = long.join(limits, F.col(group).eqNullSafe(F.col("_g"))).groupBy(F.col(group).alias("_g")).agg(
+        F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0).cast("bigint"))).alias("n_fliers"),
+        F.count_if(~inside).alias("n_fliers"),
     )
-    return box.drop("_lo", "_hi").join(stats, group)
+    joined = box.drop("_lo", "_hi").join(stats, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.drop("_g")
 
 
 def summary_stats(

@@ -92,11 +92,11 @@ def test_quantiles_match_numpy_with_hot_values(spark, seed):
     a = np.concatenate([rng.normal(size=300), np.full(400, 0.25), rng.integers(0, 5, 50).astype(float)])
     df = spark.createDataFrame([(float(v), "k" if i % 3 else "j") for i, v in enumerate(a)], "x double, g string")
     probs = [0.0, 0.05, 0.2, 0.25, 0.5, 0.75, 0.8, 0.95, 0.99, 1.0]
-    got = {r["p"]: r["q"] for r in quantiles.column_quantiles(df, ["x"], probs, buckets=4).collect()}
+    got = {r["p"]: r["q"] for r in quantiles.column_quantiles(df, ["x"], probs).collect()}
     for p in probs:
         assert got[p] == np.quantile(a, p)  # bit-identical linear interpolation
     long = df.select("g", F.col("x").alias("value"))
-    per = {(r["g"], r["p"]): r["q"] for r in quantiles.quantiles(long, [0.5], keys=["g"], buckets=3).collect()}
+    per = {(r["g"], r["p"]): r["q"] for r in quantiles.quantiles(long, [0.5], keys=["g"]).collect()}
     for g in ("j", "k"):
         sub = np.array([v for i, v in enumerate(a) if (i % 3 == 0) == (g == "j")])
         assert per[(g, 0.5)] == np.quantile(sub, 0.5)
@@ -207,14 +207,63 @@ def test_knn_fewer_donors_than_k(spark):
     assert sorted(got) == [1.0, 3.0, 5.0]  # mean of the two donors
 
 
-def test_quantiles_pruned_buckets_match_numpy(spark):
-    # Enough buckets that only those holding the requested ranks are sorted.
+@pytest.mark.parametrize("max_targets", [quantiles.MAX_TARGETS, 0])
+def test_quantiles_per_key_match_numpy(spark, max_targets):
+    """Radix selection, and range sorting when the wanted ranks are too many to send."""
     rng = np.random.default_rng(7)
     a = np.concatenate([rng.normal(size=2000).round(2), np.full(1500, 1.5), rng.integers(0, 20, 500).astype(float)])
-    df = spark.createDataFrame([(float(v), "k" if i % 3 else "j") for i, v in enumerate(a)], "value double, g string")
-    probs = [0.25, 0.75]
-    got = {(r["g"], r["p"]): r["q"] for r in quantiles.quantiles(df, probs, keys=["g"], buckets=128).collect()}
-    for g in ("j", "k"):
-        sub = np.array([v for i, v in enumerate(a) if (i % 3 == 0) == (g == "j")])
-        for p in probs:
-            assert got[(g, p)] == np.quantile(sub, p)
+    rows = [(float(v), "k" if i % 3 else "j", i % 2) for i, v in enumerate(a)]
+    df = spark.createDataFrame(rows, "value double, g string, h int").repartition(5)
+    probs = [0.0, 0.25, 0.6, 0.75, 1.0]
+    found = quantiles.quantiles(df, probs, keys=["g", "h"], max_targets=max_targets).collect()
+    got = {(r["g"], r["h"], r["p"]): r["q"] for r in found}
+    assert len(got) == 20
+    for g, h, p in got:
+        assert got[g, h, p] == np.quantile([v for v, x, y in rows if (x, y) == (g, h)], p)
+
+
+def test_order_bits():
+    a = np.array([-np.inf, -1e300, -2.5, -2.5 + 1e-15, -5e-324, 0.0, 5e-324, 1e-300, 1.0, np.nextafter(1, 2), 1e308, np.inf])
+    bits = quantiles.order_bits(a)
+    assert (bits[1:] > bits[:-1]).all()
+    assert (quantiles.from_order_bits(bits) == a).all()
+    assert quantiles.order_bits(np.array([-0.0])) == quantiles.order_bits(np.array([0.0]))
+    assert quantiles.order_bits(np.array([np.nan])) > bits[-1] and np.isnan(quantiles.from_order_bits(quantiles.order_bits(np.array([-np.nan])))[0])
+
+
+def test_quantiles_of_odd_values(spark):
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, -0.0, 5e-324, -5e-324] * 3, np.full(300, -7.25)])
+    rows = [(None if i % 17 == 0 else float(v), None if i % 4 == 0 else i % 4, i % 5) for i, v in enumerate(a)]
+    df = spark.createDataFrame(rows, "value double, g int, w long").repartition(4)
+    probs = [0.01, 0.3, 0.5, 0.99]
+    got = {(r["g"], r["p"]): r["q"] for r in quantiles.quantiles(df, probs, keys=["g"], weight="w").collect()}
+    assert {g for g, _ in got} == {None, 1, 2, 3}  # a null key is a key
+    for (g, p), q in got.items():
+        assert q == np.quantile(np.repeat(*zip(*[(v, w) for v, x, w in rows if x == g and v is not None])), p)
+    assert quantiles.quantiles(df.where("value is null"), probs, keys=["g"]).collect() == []
+    none = quantiles.column_quantiles(df.where("value is null"), ["value", "g"], [0.5]).collect()
+    assert [(r["column_name"], r["q"]) for r in none] == [("g", 2.0)]
+    whole = quantiles.quantiles(df, [0.5], weight="w").collect()
+    assert whole[0]["q"] == np.quantile(np.repeat(*zip(*[(v, w) for v, _, w in rows if v is not None])), 0.5)
+
+
+def test_boxplot_moves_no_value(spark):
+    """A hot group: what is exchanged is counts and per-group sums, never the values."""
+    rng = np.random.default_rng(1)
+    a = np.concatenate([rng.normal(size=3000), rng.normal(size=60) * 50]).round(3)
+    rows = [("hot" if i % 10 else ["x", None][i // 10 % 2], float(v)) for i, v in enumerate(a)]
+    df = spark.createDataFrame(rows, "customer_state string, freight_value double").repartition(6)
+    box = profile.boxplot_stats(df)
+    got = {r["customer_state"]: r for r in box.collect()}
+    for g in ("hot", "x", None):
+        v = np.array([x for s, x in rows if s == g])
+        q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+        inside = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
+        r = got[g]
+        assert (r["q1"], r["median"], r["q3"]) == (q1, q2, q3)
+        assert (r["whisker_low"], r["whisker_high"], r["n"], r["n_fliers"]) == (inside.min(), inside.max(), len(v), len(v) - len(inside))
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():  # the join side of the values is not exchanged before its aggregate
+        if "Exchange hashpartitioning" in line:
+            assert "freight_value" not in line and "value#" not in line.split("hashpartitioning")[1]
