@@ -54,19 +54,21 @@ def _ordered(df: DataFrame, t: Tables, payment_cols: bool) -> DataFrame:
     return df.select(*order)
 
 
-def denormalize(t: Tables, payment_fanout: bool = True) -> DataFrame:
+def denormalize(t: Tables, payment_fanout: bool = True, facts: dict[str, DataFrame] | None = None) -> DataFrame:
     """O-13..16: customers ⋈ orders ⋈ payments ⋈ items ⋈ products ⟕ categories.
 
     ``payment_fanout=True`` reproduces the source: an order with p payment rows and
     i items yields p·i rows. ``False`` keeps orders that have a payment (semi-join)
-    without multiplying rows and without payment columns.
+    without multiplying rows and without payment columns. ``facts`` may give orders (with
+    their customers), payments and items as stored in buckets of the order id.
     """
-    base = _order_side(t)
+    facts = facts or {"orders": _order_side(t), "payments": t.payments, "items": t.items}
+    base, payments = facts["orders"], facts["payments"]
     if payment_fanout:
-        base = base.join(t.payments, "order_id")
+        base = base.join(payments, "order_id")
     else:
-        base = base.join(t.payments.select("order_id"), "order_id", "left_semi")
-    df = base.join(t.items, "order_id").join(_products(t), "product_id")
+        base = base.join(payments.select("order_id"), "order_id", "left_semi")
+    df = base.join(facts["items"], "order_id").join(_products(t), "product_id")
     return _ordered(df, t, payment_fanout)
 
 

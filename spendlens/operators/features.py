@@ -14,6 +14,7 @@ runs on the literal payment fan-out frame (weight 1) and on ``weighted_sales``
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,48 +61,66 @@ def _when(cond: Column | None, value: Column) -> Column:
     return value if cond is None else F.when(cond, value)
 
 
-def _aggregates(weight: str | None, cond: Column | None = None) -> list[Column]:
-    """Per-customer aggregates over the rows where ``cond`` holds (all rows if None)."""
+#: Aggregates behind each feature; the ones of ``frequency`` are always needed.
+_NEEDS = {
+    "recency": ("_last",),
+    "frequency": ("frequency",),
+    "monetary": ("_monetary",),
+    "avg_order_value": ("_monetary",),
+    "total_items": ("total_items",),
+    "avg_item_price": ("_price_sum", "_price_n"),
+    "category_count": ("category_count",),
+    "tenure_days": ("_first", "_last"),
+    "purchase_interval": ("_first", "_last", "_rows"),
+    "is_repeat_customer": ("frequency",),
+}
+
+
+def _aggregates(weight: str | None, cond: Column | None = None, wanted: Sequence[str] = FEATURES) -> list[Column]:
+    """Per-customer aggregates behind the wanted features, over the rows where ``cond``
+    holds (all rows if None)."""
     w = _w(weight)
     ts = F.col(TS)
     has_price = F.col("price").isNotNull()
-    return [
-        F.max(_when(cond, ts)).alias("_last"),
-        F.min(_when(cond, ts)).alias("_first"),
-        F.count_distinct(_when(cond, ts)).alias("frequency"),
-        F.sum(_when(cond, money_sum("total_price", w))).alias("_monetary"),
-        F.sum(_when(cond, F.when(F.col("order_item_id").isNotNull(), w))).alias("total_items"),
-        F.sum(_when(cond, money_sum("price", w))).alias("_price_sum"),
-        F.sum(_when(cond, F.when(has_price, w))).alias("_price_n"),
-        F.count_distinct(_when(cond, F.col("product_category_name_english"))).alias("category_count"),
-        F.sum(_when(cond, w)).alias("_rows"),
-    ]
-
-
-def _finish(agg: DataFrame, reference_date: Column, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Derive the ten features from the raw aggregates (narrow, per row). The null
+    every = {
+        "_last": F.max(_when(cond, ts)),
+        "_first": F.min(_when(cond, ts)),
+        "frequency": F.count_distinct(_when(cond, ts)),
+        "_monetary": F.sum(_when(cond, money_sum("total_price", w))),
+        "total_items": F.sum(_when(cond, F.when(F.col("order_item_id").isNotNull(), w))),
+        "_price_sum": F.sum(_when(cond, money_sum("price", w))),
+        "_price_n": F.sum(_when(cond, F.when(has_price, w))),
+        "category_count": F.count_distinct(_when(cond, F.col("product_category_name_english"))),
+        "_rows": F.sum(_when(cond, w)),
+    }
+    needed = {"frequency", *(a for f in wanted for a in _NEEDS[f])}
+    return [c.alias(name) for name, c in every.items() if name in needed]
+
+
+def _finish(
+    agg: DataFrame, reference_date: Column | None, extra: tuple[str, ...] = (), wanted: Sequence[str] = FEATURES
+) -> DataFrame:
+    """Derive the wanted features from the raw aggregates (narrow, per row). The null
     key group is dropped here, after it took part in the reference date."""
     monetary = F.coalesce(F.col("_monetary"), F.lit(0)).cast("double")
     tenure = elapsed_days("_first", "_last")
     rows = F.col("_rows")
-    return agg.where(F.col(KEY).isNotNull() & (F.col("frequency") > 0)).select(
-        KEY,
-        elapsed_days(F.col("_last"), reference_date).alias("recency"),
-        F.col("frequency"),
-        monetary.alias("monetary"),
-        (monetary / F.col("frequency")).alias("avg_order_value"),
-        F.coalesce(F.col("total_items"), F.lit(0)).cast("bigint").alias("total_items"),
-        F.when(F.col("_price_n") > 0, F.col("_price_sum").cast("double") / F.col("_price_n").cast("double")).alias(
-            "avg_item_price"
+    every = {
+        "recency": lambda: elapsed_days(F.col("_last"), reference_date),
+        "frequency": lambda: F.col("frequency"),
+        "monetary": lambda: monetary,
+        "avg_order_value": lambda: monetary / F.col("frequency"),
+        "total_items": lambda: F.coalesce(F.col("total_items"), F.lit(0)).cast("bigint"),
+        "avg_item_price": lambda: F.when(
+            F.col("_price_n") > 0, F.col("_price_sum").cast("double") / F.col("_price_n").cast("double")
         ),
-        F.col("category_count"),
-        tenure.alias("tenure_days"),
-        F.when(rows > 1, tenure.cast("double") / (rows - 1).cast("double")).otherwise(F.lit(0.0)).alias(
-            "purchase_interval"
-        ),
-        flag(F.col("frequency") > 1).alias("is_repeat_customer"),
-        *extra,
-    )
+        "category_count": lambda: F.col("category_count"),
+        "tenure_days": lambda: tenure,
+        "purchase_interval": lambda: F.when(rows > 1, tenure.cast("double") / (rows - 1).cast("double")).otherwise(F.lit(0.0)),
+        "is_repeat_customer": lambda: flag(F.col("frequency") > 1),
+    }
+    kept = agg.where(F.col(KEY).isNotNull() & (F.col("frequency") > 0))
+    return kept.select(KEY, *[every[f]().alias(f) for f in wanted], *extra)
 
 
 def reference_date(train: DataFrame, ts: str = TS) -> Column:
@@ -110,25 +129,29 @@ def reference_date(train: DataFrame, ts: str = TS) -> Column:
     return train.select(F.max(ts)).scalar()
 
 
-def customer_features(train: DataFrame, weight: str | None = None) -> DataFrame:
-    """O-32..39, O-42, O-43: one row per customer with the ten model features.
+def customer_features(train: DataFrame, weight: str | None = None, wanted: Sequence[str] = FEATURES) -> DataFrame:
+    """O-32..39, O-42, O-43: one row per customer with the ten model features, or those
+    ``wanted``: only their aggregates are computed, and only their columns read.
 
     ``train`` is the cleaned sales frame before the cutoff with ``total_price``.
     Null customer keys are dropped (a pandas group-by drops them) but their rows
     still count for the reference date, which is the maximum over all train rows:
     it is taken from the aggregate itself (max of per-customer maxima). The
-    aggregate (one row per customer) is checkpointed, so the sales rows are read
+    aggregate (one row per customer) is then checkpointed, so the sales rows are read
     once and the reference date is a scan of the small table (a scalar subquery
-    over the un-materialised plan would be re-planned and re-join the facts).
+    over the un-materialised plan would be re-planned and re-join the facts). Without
+    recency there is no reference date and nothing to checkpoint.
     """
-    agg = checkpointed(train.groupBy(KEY).agg(*_aggregates(weight)))
-    ref = agg.select(F.max("_last")).scalar()
-    return _finish(agg, ref)
+    agg = train.groupBy(KEY).agg(*_aggregates(weight, wanted=wanted))
+    if "recency" not in wanted:
+        return _finish(agg, None, wanted=wanted)
+    agg = checkpointed(agg)
+    return _finish(agg, agg.select(F.max("_last")).scalar(), wanted=wanted)
 
 
 def rfm(train: DataFrame, weight: str | None = None) -> DataFrame:
     """O-36: recency, frequency, monetary and average order value."""
-    return customer_features(train, weight).select(KEY, "recency", "frequency", "monetary", "avg_order_value")
+    return customer_features(train, weight, ("recency", "frequency", "monetary", "avg_order_value"))
 
 
 def realized_value(test: DataFrame, weight: str | None = None) -> DataFrame:

@@ -101,6 +101,15 @@ def sql(body: str, upto: str | None = "modeling", extra: dict[str, str] | None =
     return with_fixture_ctes(body, ctes)
 
 
+def list_quantile(v: str, p: float) -> str:
+    """``np_quantile`` of a sorted list without nulls."""
+    h = f"((cast(len({v}) as double) - 1) * {float(p)!r})"
+    lo = f"cast(floor({h}) as bigint)"
+    a, b = f"{v}[{lo} + 1]", f"{v}[least({lo} + 2, len({v}))]"
+    t = f"({h} - floor({h}))"
+    return f"(case when {t} >= 0.5 then {b} - ({b} - {a}) * (1 - {t}) else {a} + ({b} - {a}) * {t} end)"
+
+
 def np_quantile(x: str, p: float) -> str:
     """Aggregate SQL for a linear quantile computed as NumPy does (order statistics
     from the sorted list, then ``a + (b-a)t`` or ``b - (b-a)(1-t)``)."""

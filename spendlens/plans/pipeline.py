@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import assemble, clean, features
+from ..operators import assemble, clean, explain, features, folds, model, rank
+from ..session import checkpointed
 from ..sources.tables import Tables
 
 
@@ -53,11 +55,36 @@ def weight_column(weighted: bool) -> str | None:
     return "payment_rows" if weighted else None
 
 
-def train_features(t: Tables, cutoff=features.DEFAULT_CUTOFF, weighted: bool = True) -> DataFrame:
+def train_features(
+    t: Tables, cutoff=features.DEFAULT_CUTOFF, weighted: bool = True, wanted: Sequence[str] = features.FEATURES
+) -> DataFrame:
     sales = cleaned_sales(t, weighted)
     train, _ = features.cutoff_split(sales, cutoff)
-    return features.customer_features(train, weight_column(weighted))
+    return features.customer_features(train, weight_column(weighted), wanted)
 
 
 def modeling_frame(t: Tables, cutoff=features.DEFAULT_CUTOFF, weighted: bool = True) -> DataFrame:
     return features.modeling_frame(cleaned_sales(t, weighted), cutoff, weight_column(weighted))
+
+
+def minimal_study(frame: DataFrame, preset: model.Preset, k: int = 5, top_n: int = rank.TOP_N) -> dict[str, DataFrame]:
+    """The source's minimal pipeline after its features, in one call: RMSE of ``k`` shuffled
+    folds (``cv``), the top-n overlap (``overlap``), attributions of every row
+    (``shap_values``), their means (``importance``) and ten rows by key (``sample``). The
+    folds' models and the one of all rows are fitted at the same time."""
+    df = folds.kfold_assign(frame, k=k)
+    parts = [df.where(F.col("fold") != i) for i in range(k)] + [frame]
+    *fold_models, final = model.in_parallel(lambda rows: model.fit(rows, preset), parts)
+    cv = None
+    for i, m in enumerate(fold_models):
+        row = model.holdout_metrics(m, df.where(F.col("fold") == i)).select(F.lit(i).alias("fold"), "rmse")
+        cv = row if cv is None else cv.unionByName(row)
+    scored = model.score(final, frame)
+    shap = checkpointed(explain.shap_values(frame, final))
+    return {
+        "cv": cv,
+        "overlap": rank.top_n_overlap(scored, "actual_cltv", "prediction", top_n, features.KEY),
+        "shap_values": shap,
+        "importance": explain.shap_importance(shap),
+        "sample": scored.orderBy(features.KEY).limit(10),
+    }

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STR, DBL, INT, TS = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampNTZType()
@@ -108,6 +109,66 @@ def read_tables(
     return Tables(**out)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_with_quarantine(
+    spark: SparkSession, base_dir: str, files: dict[str, str] | None = None, header: bool = True
+) -> tuple[Tables, DataFrame, DataFrame]:
+    """O-01 for files that may be damaged: the six CSV tables without their bad rows, the bad
+    rows ``(table_name, file_name, record, reason)``, and rows per file
+    ``(table_name, file_name, n_rows, n_good, n_bad)``.
+
+    A row is bad if it has too few or too many fields or a field that is no value of its
+    column's type. The reason names the first such column, or the number of fields. Every
+    column is parsed whatever is selected, so a row is good or bad for all readers alike.
+    """
+    base = base_dir.rstrip("/")
+    good, bad, counts = {}, None, None
+    for name in TABLE_NAMES:
+        schema = SCHEMAS[name]
+        raw = (
+            spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, STR)]))
+            .option("header", header)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+            .csv(f"{base}/{(files or CSV_FILES)[name]}")
+        )
+        raw = raw.select("*", F.col("_metadata.file_name").alias("_file"))
+        # A column that nobody selects is not parsed and can't be bad: the test reads them all.
+        every = F.hash(*[F.col(f.name) for f in schema.fields]).bitwiseAND(F.lit(0)) == 0
+        wrong = F.col(CORRUPT).isNotNull() & every
+        good[name] = raw.where(F.col(CORRUPT).isNull() & every).drop(CORRUPT, "_file")
+        rows = raw.where(wrong).select(
+            F.lit(name).alias("table_name"), F.col("_file").alias("file_name"), F.col(CORRUPT).alias("record"), _reason(schema).alias("reason")
+        )
+        per_file = raw.groupBy(F.lit(name).alias("table_name"), F.col("_file").alias("file_name")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(CORRUPT).isNull() & every).alias("n_good"), F.count_if(wrong).alias("n_bad")
+        )
+        bad = rows if bad is None else bad.unionAll(rows)
+        counts = per_file if counts is None else counts.unionAll(per_file)
+    return Tables(**good), bad, counts
+
+
+def _reason(schema: T.StructType) -> Column:
+    """Why the text of a record does not fit the schema."""
+    n = len(schema.fields)
+    names = [f"f{i}" for i in range(n + 1)]
+    fields = F.from_csv(F.col(CORRUPT), ", ".join(f"{x} string" for x in names), {"mode": "PERMISSIVE"})
+    n_fields = sum((fields[x].isNotNull().cast("int") for x in names), F.lit(0))
+    found = None
+    for x, f in zip(names, schema.fields):
+        if isinstance(f.dataType, T.StringType):
+            continue
+        fits = fields[x].isNull() | fields[x].try_cast(f.dataType).isNotNull()
+        text = F.lit(f"{f.name} is no {f.dataType.simpleString()}")
+        found = F.when(~fits, text) if found is None else found.when(~fits, text)
+    shape = F.when(fields[names[n]].isNotNull(), F.lit(f"more than {n} fields"))
+    shape = shape.when(n_fields < n, F.lit(f"fewer than {n} fields")).otherwise(F.lit("unreadable"))
+    return F.coalesce(F.when(fields[names[n]].isNotNull(), shape), found, shape) if found is not None else shape
+
+
 def spread(df: DataFrame, keys: list[str] | tuple[str, ...] = (), min_partitions: int | None = None) -> DataFrame:
     """Give a scan at least ``min_partitions`` (default: the cluster's parallelism).
 
