@@ -31,7 +31,7 @@ from ._words import IS_SPACE, word_spans
 #: Schedules of the sources in code-point order, repeating: their integrals are 5, 2 and 1.
 SCHEDULES = (((0.0, 7.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
 MAX_EPOCHS = 3
-SLICE_ROWS = 100_000
+SLICE_ROWS = 8_192
 SEED = 42
 
 Schedule = Sequence[tuple[float, float]]

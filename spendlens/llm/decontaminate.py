@@ -20,7 +20,7 @@ from ._bytes import column_bytes, row_chunks, span_hashes, with_text_columns
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
 
-MATCHES = "array<struct<item_id:bigint,doc_word:int,item_word:int,n_words:int>>"
+MATCHES = "array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
 
 _code = np.arange(256)
 _is_upper = (_code >= 65) & (_code <= 90)
@@ -51,7 +51,7 @@ class TestIndex:
 
     __test__ = False
 
-    def __init__(self, item_ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, window: int):
+    def __init__(self, item_ids: pa.Array, hashes: np.ndarray, bounds: np.ndarray, window: int):
         self.window, self.item_ids = window, item_ids
         self.vocab = np.unique(hashes)
         number = (np.searchsorted(self.vocab, hashes) + 1).astype(np.uint32)  # 0: not a test word
@@ -132,14 +132,15 @@ def chunk_matches(data: np.ndarray, offsets: np.ndarray, index: TestIndex):
 def test_blocks(benchmark: DataFrame, *, id_col="item_id", text_col="text", window=WINDOW, block_bytes=BLOCK_BYTES):
     """The test items as indexes of about ``block_bytes`` of text each, and whether it is the
     last; one block at a time is read to the driver, so its memory does not grow with the table."""
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     items = items.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).toArrow()
         hashes, bounds = words(*column_bytes(part.column("text")))
-        yield TestIndex(part.column("id").to_numpy(), hashes, bounds, window), k == n - 1
+        ids = part.column("id").combine_chunks()
+        yield TestIndex(ids if isinstance(ids, pa.Array) else pa.array([], pa.string()), hashes, bounds, window), k == n - 1
 
 
 test_blocks.__test__ = False
@@ -182,10 +183,10 @@ def find_matches(
                 )
                 counts.append(n_words)
                 rows_of.append(np.bincount(row, minlength=hi - lo))
-                lists.append(np.stack([index.item_ids[item], doc_word, item_word, size]) if len(row) else np.zeros((4, 0), np.int64))
+                lists.append(np.stack([item, doc_word, item_word, size]) if len(row) else np.zeros((4, 0), np.int64))
             flat = np.concatenate(lists, axis=1) if lists else np.zeros((4, 0), np.int64)
             struct = pa.StructArray.from_arrays(
-                [pa.array(flat[0], pa.int64())] + [pa.array(flat[i].astype(np.int32), pa.int32()) for i in (1, 2, 3)],
+                [index.item_ids.take(pa.array(flat[0])).cast(pa.string())] + [pa.array(flat[i].astype(np.int32), pa.int32()) for i in (1, 2, 3)],
                 ["item_id", "doc_word", "item_word", "n_words"],
             )
             ends = np.concatenate([[0], np.cumsum(np.concatenate(rows_of))])

@@ -96,9 +96,11 @@ def set_ids(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, n_gram: int, bands: int, rows: int) -> DataFrame:
-    """(id, s1, s2, bands array<long>) of every row with an id and at least one word."""
+    """(id, h, s1, s2, bands array<long>) of every row with an id and at least one word; h is
+    a hash of the text, which tells rows that share an id apart."""
     bounded_batches(docs)
-    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     frame = frame.where(F.col("id").isNotNull() & (F.octet_length("text") > 0))
 
     def run(batches):
@@ -118,16 +120,17 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, n_gram: int, bands:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
+                        batch.column(2).slice(lo, hi - lo).take(pa.array(full)),
                         pa.array(s1),
                         pa.array(s2),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64))
                         ),
                     ],
-                    ["id", "s1", "s2", "bands"],
+                    ["id", "h", "s1", "s2", "bands"],
                 )
 
-    return frame.mapInArrow(run, "id long, s1 long, s2 long, bands array<long>")
+    return frame.mapInArrow(run, "id long, h long, s1 long, s2 long, bands array<long>")
 
 
 def least_matches(count: int, step: int, threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -217,35 +220,41 @@ def similar_groups(
     rows: int = ROWS,
     tolerance: float = TOLERANCE,
     block: int = BLOCK,
+    with_text_hash: bool = False,
 ) -> DataFrame:
-    """(id, class_id, n_links, component_id, kept) of every row.
+    """(id, class_id, n_links, component_id, kept) of every row, one row for each.
 
     class_id: smallest id with the same n-gram set. n_links: other rows whose similarity
     reaches the threshold, copies included. component_id: smallest id reached over links.
-    kept: the row is the smallest of its component. Words are lower-cased (A-Z) runs of
+    kept: the row has the smallest id of its component (and, where that id has several texts
+    there, the text of the smallest hash). Words are lower-cased (A-Z) runs of
     non-space. Null, empty and blank texts, and rows without id, link with nothing and stay
-    (their ids are their own class and component). Rows that share an id are taken as one
-    document. Extra columns are not read.
+    (their ids are their own class and component). Rows that share an id count each for
+    itself, by its own text: a row may be kept where another of the same id is not. Sets are
+    told apart by a 64-bit hash. Extra columns are not read. ``with_text_hash`` adds
+    ``text_hash``, by which such rows can be found again.
     """
     count = bands * rows
     found = checkpointed(sketches(docs, id_col=id_col, text_col=text_col, n_gram=n_gram, bands=bands, rows=rows))
     classes = checkpointed(
-        found.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands"))
-    )
-    # texts that share a band value: an edge to the smallest of them
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    edges = keys.join(firsts, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+        found.groupBy("s1", "s2").agg(
+            F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")
+        )
+    ).withColumn("rep", F.col("first.id"))
+    # A class is known by s1 from here on. Texts that share a band value: an edge to the least.
+    keys = classes.select("s1", F.explode("bands").alias("key"))
+    firsts = keys.groupBy("key").agg(F.min("s1").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    edges = keys.join(firsts, "key").where("s1 <> v").select(F.col("s1").alias("u"), "v").distinct()
     candidate = connected_components(edges)
-    members = candidate.select(F.col("u").alias("rep"), F.col("v").alias("c")).unionAll(
-        candidate.select(F.col("v").alias("rep"), F.col("v").alias("c")).distinct()
+    members = candidate.select(F.col("u").alias("s1"), F.col("v").alias("c")).unionAll(
+        candidate.select(F.col("v").alias("s1"), F.col("v").alias("c")).distinct()
     )
     sizes = candidate.groupBy(F.col("v").alias("c")).agg((F.count("*") + 1).alias("m"))
     blocks = (
         members.join(sizes, "c")
         .withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-        .join(classes.select("rep", "s1", "copies"), "rep")
+        .withColumn("own", F.pmod(F.xxhash64("s1"), F.col("nb")).cast("int"))
+        .join(classes.select("rep", "s1", "copies"), "s1")
     )
     blocks = checkpointed(blocks.select("rep", "s1", "copies", "c", "nb", "own"))
     total = blocks.agg(F.sum("nb")).first()[0] or 0
@@ -257,27 +266,27 @@ def similar_groups(
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
         .withColumn("t", F.pmod(F.xxhash64("c", "lo", "hi"), F.lit(tasks)).cast("int"))
-        .select("t", "c", "lo", "hi", "own", "rep", "s1", "copies", "text")
+        .select("t", "c", "lo", "hi", "own", "s1", "copies", "text")
     )
     rules = least_matches(count, STEP, float(threshold), tolerance)
 
     def verify(table):
         data, offsets = column_bytes(table.column("text"))
         sets, bounds = shingles(data, offsets, n_gram)
-        c, lo, hi, own, rep, s1, copies = (table.column(x).to_numpy() for x in ("c", "lo", "hi", "own", "rep", "s1", "copies"))
+        c, lo, hi, own, s1, copies = (table.column(x).to_numpy() for x in ("c", "lo", "hi", "own", "s1", "copies"))
         full = np.nonzero(np.diff(bounds) > 0)[0]  # none is empty, unless rows share an id
         bounds = np.append(bounds[full], len(sets))
         good = set_ids(sets, bounds)[0] == s1[full] if len(full) else np.zeros(0, bool)
         signs = min_hashes(sets, bounds, count) if len(full) else np.zeros((0, count), np.uint32)
-        c, lo, hi, own, rep, copies = (x[full] for x in (c, lo, hi, own, rep, copies))
-        order = np.lexsort((rep, hi, lo, c))
+        c, lo, hi, own, s1, copies = (x[full] for x in (c, lo, hi, own, s1, copies))
+        order = np.lexsort((s1, hi, lo, c))
         order = order[good[order]]
         key = np.stack([c, lo, hi])[:, order]
         cut = np.append(0, np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1) if len(order) else np.zeros(0, int)
         out = [[], [], []]
         for a, z in zip(cut, np.append(cut[1:], len(order))):
             rows_ = order[a:z]
-            once = np.append(True, rep[rows_[1:]] != rep[rows_[:-1]])  # a repeated row stands for itself once
+            once = np.append(True, s1[rows_[1:]] != s1[rows_[:-1]])  # a repeated row stands for its class once
             rows_ = rows_[once]
             if lo[rows_[0]] == hi[rows_[0]]:
                 linked = block_links(sets, bounds, signs, rows_, rows_, rules, threshold)
@@ -292,37 +301,39 @@ def similar_groups(
                 linked |= linked.T
             n = linked @ copies[rows_]
             has = np.nonzero(n)[0]
-            out[0].append(rep[rows_][has])
+            out[0].append(s1[rows_][has])
             out[1].append(n[has])
-            out[2].append(_smallest_reached(linked, rep[rows_])[has])
+            out[2].append(_smallest_reached(linked, s1[rows_])[has])
         none = [np.zeros(0, np.int64)]
         return pa.table({k: pa.array(np.concatenate(v or none), pa.int64()) for k, v in zip(("u", "n", "v"), out)})
 
     links = checkpointed(met.groupBy("t").applyInArrow(verify, "u long, n long, v long"))
     joined = connected_components(links.select("u", "v"))
-    counts = links.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    per_class = (
-        classes.select("s1", "s2", "rep", "copies")
-        .join(counts, "rep", "left")
-        .join(joined.select(F.col("u").alias("rep"), F.col("v").alias("component")), "rep", "left")
-    )
+    counts = links.groupBy(F.col("u").alias("s1")).agg(F.sum("n").alias("n"))
     per_class = checkpointed(
-        per_class.select(
+        classes.select("s1", "s2", "first", "copies")
+        .join(counts, "s1", "left")
+        .join(joined.select(F.col("u").alias("s1"), F.col("v").alias("c")), "s1", "left")
+        .select(
             "s1",
             "s2",
-            F.col("rep").alias("class_id"),
+            "first",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("c", "s1").alias("c"),
         )
     )
-    of_rows = found.select("id", "s1", "s2").join(per_class, ["s1", "s2"]).drop("s1", "s2").distinct()
-    ids = docs.select(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").cast("long").alias("id"))
-    out = ids.join(of_rows, "id", "left")
-    component = F.coalesce("component_id", "id")
+    least = per_class.groupBy("c").agg(F.min("first").alias("least"))
+    per_class = per_class.join(least, "c").select("s1", "s2", F.col("first.id").alias("class_id"), "n_links", "least")
+    of_rows = found.select("id", "h", "s1", "s2").distinct().join(per_class, ["s1", "s2"]).drop("s1", "s2")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows_in = docs.select(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    out = rows_in.join(of_rows, ["id", "h"], "left")
+    chosen = F.struct("id", "h") == F.col("least")
     return out.select(
         F.col(f"`{id_col}`"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        F.coalesce("least.id", "id").alias("component_id"),
+        F.coalesce(chosen, F.lit(True)).alias("kept"),
+        *([F.col("h").alias("text_hash")] if with_text_hash else []),
     )

@@ -153,8 +153,9 @@ def score_column(model: dict) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, use: Column, columns: list[str], id_col: str, max_docs: int) -> DataFrame:
     """The documents of at most about ``max_docs`` labelled rows that ``use`` allows, with the
-    label ``columns``. The sampled labels are few, so they are broadcast."""
-    some = labels.where(use & F.col(id_col).isNotNull()).select(id_col, *columns).dropDuplicates([id_col])
+    label ``columns``. The sampled labels are few, so they are broadcast. Of several labels for
+    one id the greatest counts, column by column."""
+    some = labels.where(use & F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.max(c).alias(c) for c in columns])
     for c in columns:
         some = some.where(F.col(c).isNotNull())
     total = some.count()

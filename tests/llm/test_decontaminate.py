@@ -40,7 +40,7 @@ def compute(spark, docs, items, **more):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_matches(docs, bench, **more)
     rows = found.select("doc_id", "n_words", decontaminate.hit_words("matches").alias("h"), decontaminate.item_list("matches").alias("i"))
-    return {r.doc_id: (r.n_words, r.h, list(r.i)) for r in rows.collect()}
+    return {r.doc_id: (r.n_words, r.h, sorted(map(int, r.i))) for r in rows.collect()}
 
 
 def cases():
@@ -71,7 +71,7 @@ def test_longest_match_and_location(spark):
     item = " ".join(f"t{k}" for k in range(20))
     docs = docs_frame(spark, ["x y " + " ".join(f"t{k}" for k in range(2, 19)) + " z"])
     found = decontaminate.find_matches(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).first()
-    assert [tuple(m) for m in found.matches] == [(7, 2, 2, 17)]
+    assert [tuple(m) for m in found.matches] == [("7", 2, 2, 17)]
 
 
 def test_empty_tables(spark):
@@ -105,4 +105,12 @@ def test_one_block_is_held_at_a_time(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a {t} b") for i, t in items] * 2, "doc_id long, text string")
     found = decontaminate.find_matches(docs, benchmark, block_bytes=1000).collect()
     assert len(most) > 2 and max(most) == 0
-    assert sorted((r.doc_id, [m.item_id for m in r.matches]) for r in found) == sorted((i, [i]) for i, _ in items * 2)
+    assert sorted((r.doc_id, [m.item_id for m in r.matches]) for r in found) == sorted((i, [str(i)]) for i, _ in items * 2)
+
+
+def test_ids_of_any_kind(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = docs_frame(spark, [words, "none of it"])
+    benchmark = spark.createDataFrame([("q-1", words), ("q-10", words[:-4]), (None, words)], "item_id string, text string")
+    found = {r.doc_id: r for r in decontaminate.find_matches(docs, benchmark).collect()}
+    assert sorted({m.item_id for m in found[0].matches}) == ["q-1", "q-10"] and found[1].matches == []

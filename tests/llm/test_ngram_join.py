@@ -76,6 +76,33 @@ def test_rows_without_id_and_empty_table(spark):
     assert ngram_join.similar_groups(docs_frame(spark, [])).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    """Every row by its own text: as many rows out as in, no link lost or doubled."""
+    t = texts()
+    rnd = random.Random(8)
+    ids = [rnd.randrange(len(t) // 2) for _ in t]
+    ids[:4] = [1, 1, 1, 1]
+    rows = list(zip(ids, t)) + [(ids[3], t[3])]  # and one row twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.similar_groups(docs, with_text_hash=True).collect()
+    assert len(got) == len(rows)
+    want = brute([x for _, x in rows])
+    members = {}
+    for i, (_, _, c) in enumerate(want):
+        members.setdefault(c, []).append(i)
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) as h").distinct().collect()}
+    expected = []
+    for i, (cls, n, comp) in enumerate(want):
+        same = [j for j, w in enumerate(want) if w[0] == cls]
+        words = (rows[i][1] or "").split()
+        group = members[comp] if words else [i]
+        first = min((rows[j][0], hashed[rows[j][1]]) for j in group)
+        class_id = min(rows[j][0] for j in same) if words else rows[i][0]
+        me = (rows[i][0], hashed[rows[i][1]])
+        expected.append((me[0], me[1], class_id, n, first[0], me == first))
+    assert sorted((r.doc_id, r.text_hash, r.class_id, r.n_links, r.component_id, r.kept) for r in got) == sorted(expected)
+
+
 def test_posterior_rule():
     rules = dict(ngram_join.least_matches(160, 16, 0.8, 1e-6))
     assert rules[16] < 0.8 * 16 and rules[160] < 0.8 * 160

@@ -10,7 +10,7 @@ from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_ngram_join import brute as brute_groups
 from tests.llm.test_suffix_dedup import brute as brute_cuts
 from tests.llm.test_suffix_dedup import texts
-from tests.llm.util import ODD_TEXTS, docs_frame
+from tests.llm.util import DOCS, ODD_TEXTS, docs_frame
 
 
 def rows(df):
@@ -53,5 +53,13 @@ def test_equals_brute_force(spark):
     assert all(got[i] == hashlib.sha256(left[i].encode()).hexdigest() for i in want)
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    copy, own = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, copy), (2, copy), (2, own), (2, own), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in pipeline.one_of_each_group(spark, docs, SF_SMALL).collect()), key=str)
+    assert kept == sorted([(1, copy), (2, own), (2, own), (3, None), (3, "")], key=str)
+
+
 def test_odd_texts_survive_the_last_stage(spark):
     assert pipeline.tokenized(spark, docs_frame(spark, ODD_TEXTS), SF_SMALL).count() == len(ODD_TEXTS)
