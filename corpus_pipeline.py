@@ -29,10 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates (five words, 0.8)."""
-    groups = ngram_join.similar_groups(docs)
-    copies = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    return docs.join(copies, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+    """Keep the smallest doc_id of each group of near-duplicates (five words, 0.8). Rows that
+    share an id are judged each by its own text; rows equal in id and text stay or go together."""
+    groups = ngram_join.similar_groups(docs, with_text_hash=True)
+    copies = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    return docs.join(copies, same, "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
