@@ -201,6 +201,58 @@ def test_knn_matches_brute_force(spark, seed):
     assert np.allclose(got, want, atol=1e-9)
 
 
+@pytest.mark.parametrize("leaf", [1, 7, 64])
+def test_knn_search_visits_few_leaves_and_is_exact(spark, leaf, monkeypatch):
+    """Small leaves, sliced leaves, ties and weights, against all distances."""
+    monkeypatch.setattr(impute, "SLICE", 20)
+    rng = np.random.default_rng(leaf)
+    a = np.round(np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(60, 3)) * 0.01, np.zeros((5, 3))]), 2)
+    a[rng.random(a.shape) < 0.15] = np.nan
+    weight = rng.integers(1, 4, len(a))
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], int(w)) for i, (r, w) in enumerate(zip(a, weight))]
+    df = spark.createDataFrame(rows, "rid int, a double, b double, c double, w long").repartition(3)
+    got = impute.knn_impute(df, ["a", "b", "c"], weight="w", leaf=leaf).orderBy("rid").toPandas()[["a", "b", "c"]].to_numpy()
+    for i, r in enumerate(a):
+        for j in np.flatnonzero(np.isnan(r)):
+            both = ~np.isnan(a) & ~np.isnan(r)
+            n = both.sum(axis=1)
+            dist = np.sqrt(3.0 / np.maximum(n, 1) * np.where(both, (a - r) ** 2, 0.0).sum(axis=1))
+            ok = np.flatnonzero((n > 0) & ~np.isnan(a[:, j]))
+            if not len(ok):
+                want = np.average(a[~np.isnan(a[:, j]), j], weights=weight[~np.isnan(a[:, j])])
+            else:
+                ties = np.where(np.isnan(a), -np.inf, a)
+                ok = ok[np.lexsort((ties[ok, 2], ties[ok, 1], ties[ok, 0], dist[ok]))]
+                want = np.repeat(a[ok, j], weight[ok])[:5].mean()
+            assert abs(got[i, j] - want) < 1e-9, (i, j)
+
+
+def test_median_tree_balances_and_bounds_hold():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(900, 2)), np.full((100, 2), 3.0)])
+    splits = impute.median_tree(x, 4)
+    at = impute.tree_leaves(x, splits, 4)
+    assert at.min() >= 0 and at.max() < 16 and np.bincount(at).max() <= 200
+    rows = []
+    for n in np.unique(at):
+        part = x[at == n]
+        rows.append({"leaf": n, "_pat": 3, "weight": len(part), **{f"lo{j}": part[:, j].min() for j in (0, 1)}, **{f"hi{j}": part[:, j].max() for j in (0, 1)}})
+    leaves = impute._Leaves(rows, 2, 5)
+    q = rng.normal(size=(50, 2)) * 2
+    q[::5, 1] = np.nan
+    least, most = leaves.bounds(q, 0)
+    within, visited = leaves.limit(most), 0
+    for i, r in enumerate(q):
+        both = ~np.isnan(r)
+        dist = np.sqrt(2 / both.sum() * ((x[:, both] - r[both]) ** 2).sum(axis=1))
+        for n, row in enumerate(rows):
+            d = dist[at == row["leaf"]]
+            assert least[i, n] - 1e-12 <= d.min() and d.max() <= most[i, n] + 1e-12
+        assert np.sort(dist)[4] <= within[i] + 1e-12
+        visited += (least[i] <= np.sort(dist)[4]).sum()
+    assert visited / 50 < 5
+
+
 def test_knn_fewer_donors_than_k(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (3.0, 5.0)], "a double, b double")
     got = [r["b"] for r in impute.knn_impute(df, ["a", "b"]).collect()]
