@@ -2,16 +2,20 @@
 
 Vectors go to their nearest few cluster centres, so shards overlap. Each shard builds a
 graph: near candidates, pruned so that a kept neighbour covers those close to it. The
-adjacency lists of a vector from all its shards are joined. Each shard then answers for its
-members: a greedy search from the shard's medoid reaches the neighbourhood of the query,
-and expands while it finds vectors in range. The vectors of a shard with a verified hit are
-then all compared with one another, by cosine in double precision; a pair counts in the first
-shard that compares both, so whatever a shard finds counts once. A shard too large for one
-task is not searched: all its vectors are compared, two blocks in a task. The recall is audited against brute force on a sample: shards overlap more
-until it is reached.
-
-Equal vectors take part once. Shards return link counts and one edge per vector to the
-smallest id it is connected to there, never pairs.
+adjacency lists of a vector from all its shards are united. The search for a vector runs in
+the shard of its nearest centre, on the united lists: over the shard's members and over
+those neighbours of its vectors that lie in other shards. It goes greedily from the medoid
+of every connected part towards the vector, then outwards from all vectors within the
+threshold less a slack until none is new. What it has found is verified by cosine in double
+precision and is the result; nothing else is compared. Similar vectors search together: a
+vector that one of a block reaches is held against all of the block.
+
+A shard with many members is dealt into parts by hash, each with a graph of its own; its
+vectors search all parts, a part and some of the vectors in a task. The recall is audited
+against brute force on a sample: shards overlap more until it is reached.
+
+Equal vectors take part once. Searches return each vector's number of links and the smallest
+id that its links connect it to there, never pairs.
 """
 
 from __future__ import annotations
@@ -22,17 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from ._bytes import ragged
 from ._graph import connected_components
 
 THRESHOLD = 0.95
 SHARD = 500  # vectors per cluster centre, about
 MAX_CENTRES = 1 << 14  # the centres are a sample of this bound at most, and are broadcast
-LIMIT = 4000  # a shard with more members is compared whole, in blocks
-BLOCK = 2000  # vectors of one block; two blocks meet in a task
+PART = 2500  # vectors of a part of a shard, and vectors that search it in one task, about
 OVERLAP = (3, 6)  # centres per vector; the next is tried if the audit finds too little, see _widths
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 SLACK = 0.07  # the search expands vectors this much below the threshold
-BEAM, STEPS = 8, 64
+BEAM = 8  # nearest vectors of each searching one that the greedy search goes on from
+TOGETHER = 64  # vectors that search together
 AUDIT_QUERIES, RECALL = 1000, 0.9  # so many of all vectors, and so many of those with links
 
 
@@ -82,70 +87,101 @@ def pruned_neighbours(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_in_range(x: np.ndarray, links: np.ndarray, threshold: float) -> np.ndarray:
-    """(n, n) hits of every vector as a query: greedy from the medoid, then outwards through
-    all vectors found within the threshold less SLACK."""
+def _undirected(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, neighbours) of the graph of (n, degree) neighbour numbers (-1: none), in both
+    directions."""
+    n = len(links)
+    a, k = np.nonzero(links >= 0)
+    b = links[a, k]
+    pairs = np.unique(np.concatenate([a * np.int64(n) + b, b * np.int64(n) + a]))
+    a, b = np.divmod(pairs, np.int64(max(1, n)))
+    return np.searchsorted(a, np.arange(n + 1)), b
+
+
+def medoids(x: np.ndarray, bounds: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """The vector nearest to the mean of each connected part of the graph."""
     n = len(x)
-    seen, near, best = np.zeros((n, n), bool), np.zeros((n, n), bool), np.full((n, n), -2.0, np.float32)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    query = np.arange(n)
-
-    def look(q, node):
-        ok = node >= 0
-        q, node = q[ok], node[ok]
-        fresh = ~seen[q, node]
-        q, node = q[fresh], node[fresh]
-        if len(q):
-            flat = np.unique(q.astype(np.int64) * n + node)
-            q, node = flat // n, flat % n
-            seen[q, node] = True
-            best[q, node] = np.einsum("id,id->i", x[q], x[node])
-        return q, node
-
-    look(query, np.full(n, medoid))
-    open_ = best.copy()
-    for _ in range(STEPS):
-        top = np.argpartition(-open_, min(BEAM, n) - 1, axis=1)[:, : min(BEAM, n)]
-        value = np.take_along_axis(open_, top, 1)
-        floor = np.sort(np.partition(-best, min(BEAM, n) - 1, axis=1)[:, : min(BEAM, n)], axis=1)[:, -1]
-        use = (value > -2) & (-value <= floor[:, None])
-        if not use.any():
+    part = np.arange(n)
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    while len(owner):
+        new = part.copy()
+        np.minimum.at(new, owner, part[neighbours])
+        new = new[new]
+        if (new == part).all():
             break
-        q, node = np.nonzero(use)[0], top[use]
-        open_[q, node] = -2
-        q, node = look(np.repeat(q, links.shape[1]), links[node].ravel())
-        open_[q, node] = best[q, node]
-    done = np.zeros((n, n), bool)
+        part = new
+    _, part = np.unique(part, return_inverse=True)
+    mean = np.zeros((int(part.max()) + 1, x.shape[1]))
+    np.add.at(mean, part, x)
+    near = np.einsum("id,id->i", x, mean[part])
+    order = np.lexsort((-near, part))
+    return order[np.searchsorted(part[order], np.arange(len(mean)))]
+
+
+def search_in_range(x, bounds, neighbours, starts, queries, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes seen, (queries, nodes) cosines): greedy from ``starts`` towards each query, then
+    outwards through all nodes within the threshold less SLACK of a query."""
+    seen, expanded = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    nodes, cosines = np.zeros(0, np.int64), np.zeros((len(queries), 0))
+
+    def look(new):
+        nonlocal nodes, cosines
+        new = np.unique(new[~seen[new]])
+        seen[new] = True
+        nodes = np.concatenate([nodes, new])
+        cosines = np.concatenate([cosines, queries @ x[new].T], axis=1)
+
+    def expand(some):
+        expanded[some] = True
+        look(neighbours[ragged(bounds[some], bounds[some + 1] - bounds[some])])
+
+    look(starts)
     while True:
-        near = (best >= threshold - SLACK) & ~done
-        q, node = np.nonzero(near)
-        if not len(q):
+        k = min(BEAM, len(nodes))
+        best = np.unique(nodes[np.argpartition(-cosines, k - 1, axis=1)[:, :k]])
+        best = best[~expanded[best]]
+        if not len(best):
             break
-        done[q, node] = True
-        look(np.repeat(q, links.shape[1]), links[node].ravel())
-    return best >= threshold - 1e-4
-
-
-def _in_range(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether rows of x and y have the cosine; close to it the same for (u, v) and (v, u)."""
-    cosine = x @ y.T
-    hit = cosine >= threshold
-    a, b = np.nonzero(np.abs(cosine - threshold) < 1e-9)
-    hit[a, b] = np.einsum("id,id->i", x[a], y[b]) >= threshold
+        expand(best)
+    while True:
+        near = nodes[(cosines >= threshold - SLACK).any(axis=0)]
+        near = near[~expanded[near]]
+        if not len(near):
+            return nodes, cosines
+        expand(near)
+
+
+def _verified(cosines, queries, x, nodes, threshold: float) -> np.ndarray:
+    """Whether each cosine reaches the threshold; close to it the same for (u, v) and (v, u)."""
+    hit = cosines >= threshold
+    a, b = np.nonzero(np.abs(cosines - threshold) < 1e-9)
+    hit[a, b] = np.einsum("id,id->i", queries[a], x[nodes[b]]) >= threshold
     return hit
 
 
-def _lower_shards(table, shard: int) -> np.ndarray:
-    """(rows, shards) 1 where a row is also in a shard with a smaller number that others are in."""
-    lists = table.column("shards").combine_chunks()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    number = lists.flatten().to_numpy()
-    row, number = row[number < shard], number[number < shard]
-    _, number, size = np.unique(number, return_inverse=True, return_counts=True)
-    row, number = row[size[number] > 1], (np.cumsum(size > 1) - 1)[number[size[number] > 1]]
-    out = np.zeros((len(lists), int((size > 1).sum())), np.float32)
-    out[row, number] = 1
-    return out
+def found_links(x, copies, rep, links, queries, query_rep, threshold: float):
+    """(linked rows of each query, smallest rep that the links connect each node to, the same
+    for each query); ``links`` are neighbour numbers of the nodes."""
+    bounds, neighbours = _undirected(links)
+    starts = medoids(x, bounds, neighbours)
+    n = np.zeros(len(queries), np.int64)
+    label = rep.copy()
+    own = query_rep.copy()
+    pivots = queries[:: max(1, len(queries) // TOGETHER)]
+    order = np.lexsort((query_rep, (queries @ pivots.T).argmax(axis=1)))  # similar ones together
+    for a in range(0, len(order), TOGETHER):
+        some = order[a : a + TOGETHER]
+        nodes, cosines = search_in_range(x, bounds, neighbours, starts, queries[some], threshold)
+        hit = _verified(cosines, queries[some], x, nodes, threshold)
+        hit &= query_rep[some][:, None] != rep[nodes]
+        n[some] = hit @ copies[nodes]
+        for i in np.flatnonzero(hit.any(axis=1)):
+            mine = nodes[hit[i]]
+            groups = np.unique(np.append(label[mine], own[some[i]]))
+            if len(groups) > 1:  # the groups that this query's links join
+                label[np.isin(label, groups)] = groups[0]
+                own[np.isin(own, groups)] = groups[0]
+    return n, label, own
 
 
 def _apart(x: np.ndarray, cosine: float) -> np.ndarray:
@@ -159,118 +195,95 @@ def _apart(x: np.ndarray, cosine: float) -> np.ndarray:
 
 
 def _centres(vectors: DataFrame, n: int, size: int, threshold: float) -> np.ndarray:
-    """A sample by hash, without those within twice the threshold's angle of another: a group
-    of near copies has one centre for all, however many of it the sample holds."""
+    """A sample by hash, without those that another links with: a group of near copies has few
+    centres, however many of it the sample holds, and a narrow cone of others keeps its own."""
     want = max(1, min(MAX_CENTRES, -(-n // size)))
     part = vectors.where(F.pmod(F.xxhash64("rep", F.lit("centre")), F.lit(1 << 20)) < min(1 << 20, -(-(1 << 20) * 2 * want // n)))
     rows = part.orderBy(F.xxhash64("rep", F.lit("centre")), "rep").limit(want).select("v").toArrow()
-    return _apart(_unit(_matrix(rows.column("v"))), 2 * threshold * threshold - 1)
+    return _apart(_unit(_matrix(rows.column("v"))), threshold)
 
 
 def _widths(overlap: tuple[int, ...], most: int):
-    """Centres per vector to try: the given ones, then the last doubled while there are more;
-    last 0, for a comparison of all vectors."""
+    """Centres per vector to try: the given ones, then the last doubled, and at last all."""
     yield from (w for w in overlap if w < most)
     width = 2 * max(1, *overlap) if overlap else 1
     while width < most:
         yield width
         width *= 2
-    if most == 1:
-        yield 1
-    yield 0
+    yield most
+
+
+def _numbers(lists: pa.Array, rep: np.ndarray) -> np.ndarray:
+    """(rows, degree) places in the ascending ``rep`` of the ids listed, -1 where not in it."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    to = lists.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(rep, to), len(rep) - 1)
+    inside = rep[at] == to
+    owner, at = owner[inside], at[inside]
+    size = np.bincount(owner, minlength=len(lists))
+    out = np.full((len(lists), max(1, int(size.max(initial=0)))), -1, np.int64)
+    out[owner, np.arange(len(owner)) - (np.cumsum(size) - size)[owner]] = at
+    return out
 
 
-def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: float, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """(u, n, v) for each vector with links: rep, linked rows, smallest rep connected to it.
-    Pairs that share a shard of more than ``limit`` vectors are all found."""
-    spark = vectors.sparkSession
-    shared, overlap = spark.sparkContext.broadcast(centres), min(overlap, len(centres))
+def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: float, part: int = PART) -> DataFrame:
+    """(u, n, v) of each vector with links: rep, linked rows, smallest rep connected to it; also
+    (u, 0, v) for what others link with. The n of a rep add up."""
+    shared, overlap = vectors.sparkSession.sparkContext.broadcast(centres), min(overlap, len(centres))
 
     def assign(batches):
         for batch in batches:
             sim = _unit(_matrix(batch.column("v"))) @ shared.value.T
             near = np.argpartition(-sim, overlap - 1, axis=1)[:, :overlap] if len(sim) else np.zeros((0, overlap), int)
-            near = np.sort(near, axis=1).astype(np.int32)
+            home = sim.argmax(axis=1).astype(np.int32) if len(sim) else np.zeros(0, np.int32)
             ends = pa.array(np.arange(len(near) + 1) * overlap, pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], [*batch.schema.names, "shards"])
+            shards = pa.ListArray.from_arrays(ends, pa.array(near.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), shards], [*batch.schema.names, "home", "shards"])
 
     kind = vectors.schema["v"].dataType.simpleString()
-    rows = f"rep long, copies long, v {kind}, shards array<int>"
-    placed = checkpointed(vectors.mapInArrow(assign, rows))
-    members = placed.withColumn("shard", F.explode("shards"))
-    large = members.groupBy("shard").count().where(F.col("count") > limit).select("shard")
-    large = F.broadcast(checkpointed(large))
-    searched = members.join(large, "shard", "left_anti")
+    placed = checkpointed(vectors.mapInArrow(assign, f"rep long, copies long, v {kind}, home int, shards array<int>"))
+    members = placed.select("rep", "copies", "v", F.explode("shards").alias("shard"))
+    parts = members.groupBy("shard").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    slices = placed.groupBy(F.col("home").alias("shard")).agg(F.ceil(F.count("*") / part).cast("int").alias("slices"))
+    layout = F.broadcast(checkpointed(parts.join(slices, "shard")))  # a row per centre at most
+    members = members.join(layout, "shard", "left").withColumn("part", F.pmod(F.xxhash64("rep", "shard"), F.coalesce("parts", F.lit(1))).cast("int"))
 
     def build(table):
         rep, x = table.column("rep").to_numpy(), _unit(_matrix(table.column("v")))
         links = pruned_neighbours(x)
         return pa.table({"rep": rep, "links": pa.array([rep[row[row >= 0]] for row in links], pa.list_(pa.int64()))})
 
-    graph = searched.select("shard", "rep", "v").groupBy("shard").applyInArrow(build, "rep long, links array<long>")
-    union = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-
-    def search(table):
+    graph = members.select("shard", "part", "rep", "v").groupBy("shard", "part").applyInArrow(build, "rep long, links array<long>")
+    union = checkpointed(graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")))
+
+    # What searches: every vector, in all parts of its home shard. What is searched: the part's
+    # members, and with the first part the neighbours from elsewhere.
+    known = placed.join(union, "rep", "left")
+    queries = known.select("rep", "v", "links", F.col("home").alias("shard")).join(layout, "shard")
+    queries = queries.withColumn("slice", F.pmod(F.xxhash64("rep", F.lit("slice")), F.col("slices")).cast("int"))
+    outside = queries.select("shard", "slice", F.explode("links").alias("rep")).distinct()
+    outside = outside.join(known, "rep").where(~F.array_contains("shards", F.col("shard")))
+    columns = ["shard", "part", "slice", "rep", "copies", "v", "links"]
+    nodes = members.where(F.col("slices").isNotNull()).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    nodes = nodes.join(union, "rep", "left").select(*columns)
+    nodes = nodes.unionAll(outside.withColumn("part", F.lit(0)).select(*columns))
+    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    queries = queries.select(*[F.col(c).alias(c) for c in ("shard", "part", "slice", "rep", "v")])  # apart from the nodes' columns
+
+    def search(table, asked):
+        if not table.num_rows or not asked.num_rows:
+            return pa.table({k: pa.array([], pa.int64()) for k in "unv"})
         table = table.take(pa.array(np.argsort(table.column("rep").to_numpy())))
-        rep, x = table.column("rep").to_numpy(), _unit(_matrix(table.column("v")))
-        lists = table.column("links").combine_chunks()
-        owner = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
-        to = lists.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(rep, to), len(rep) - 1)
-        inside = rep[at] == to
-        owner, at = owner[inside], at[inside]
-        active = np.zeros(len(rep), bool)
-        size = np.bincount(owner, minlength=len(rep))
-        links = np.full((len(rep), max(1, int(size.max()))), -1, np.int64)
-        links[owner, np.arange(len(owner)) - (np.cumsum(size) - size)[owner]] = at
-        hits = search_in_range(x, links, threshold)
-        np.fill_diagonal(hits, False)
-        a, b = np.nonzero(hits)
-        for lo in range(0, len(a), 1 << 18):
-            i, j = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
-            ok = np.einsum("id,id->i", x[i], x[j]) >= threshold
-            active[i[ok]] = active[j[ok]] = True
-        return table.select(["rep", "shard"]).filter(pa.array(active))
-
-    active = searched.drop("copies", "shards").join(union, "rep").groupBy("shard").applyInArrow(search, "rep long, shard int")
-    active = checkpointed(active.unionAll(members.join(large, "shard").select("rep", "shard")))
-    blocks = active.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    active = active.groupBy("rep").agg(F.collect_list("shard").alias("shards"))
-    active = vectors.join(active, "rep").select("rep", "copies", "v", "shards").withColumn("shard", F.explode("shards"))
-    active = active.join(F.broadcast(blocks), "shard").withColumn("i", F.pmod(F.xxhash64("rep", "shard"), F.col("blocks")).cast("int"))
-    met = active.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).drop("j", "blocks")
-
-    def compare(table):
         rep, copies, x = table.column("rep").to_numpy(), table.column("copies").to_numpy(), _unit(_matrix(table.column("v")))
-        lower = _lower_shards(table, table.column("shard")[0].as_py())
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        mine = table.column("i").to_numpy()
-        left, right = np.nonzero(mine == lo)[0], np.nonzero(mine == hi)[0]
-        n, least = np.zeros(len(rep), np.int64), rep.copy()
-        linked = np.zeros((len(left), len(right)), bool)
-        for a in range(0, len(left), 512):
-            part = left[a : a + 512]
-            hit = _in_range(x[part], x[right], threshold)
-            hit &= part[:, None] != right
-            hit &= lower[part] @ lower[right].T == 0
-            linked[a : a + 512] = hit
-            n[part] += hit @ copies[right]
-            if lo != hi:
-                n[right] += copies[part] @ hit
-        a, b = np.nonzero(linked)
-        a, b = left[a], right[b]
-        while len(a):
-            new = least.copy()
-            np.minimum.at(new, a, least[b])
-            np.minimum.at(new, b, least[a])
-            if (new == least).all():
-                break
-            least = new
-        has = np.nonzero(n)[0]
-        return pa.table({k: pa.array(v[has], pa.int64()) for k, v in zip(("u", "n", "v"), (rep, n, least))})
+        lists = table.column("links").combine_chunks()
+        query_rep, q = asked.column("rep").to_numpy(), _unit(_matrix(asked.column("v")))
+        n, label, own = found_links(x, copies, rep, _numbers(lists, rep), q, query_rep, threshold)
+        has, joined = np.flatnonzero((n > 0) | (own < query_rep)), np.flatnonzero(label < rep)
+        u = np.concatenate([query_rep[has], rep[joined]])
+        return pa.table({"u": u, "n": np.concatenate([n[has], np.zeros(len(joined), np.int64)]), "v": np.concatenate([own[has], label[joined]])})
 
-    return checkpointed(met.groupBy("shard", "lo", "hi").applyInArrow(compare, "u long, n long, v long"))
+    keys = ["shard", "part", "slice"]
+    return checkpointed(nodes.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "u long, n long, v long"))
 
 
 def audit(vectors: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
@@ -315,26 +328,29 @@ def near_duplicates(
     shard: int = SHARD,
     overlap: tuple[int, ...] = OVERLAP,
     min_recall: float = RECALL,
-    limit: int = LIMIT,
-    block: int = BLOCK,
+    part: int = PART,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, as
-    do rows without id; each is its own component. Equal vectors link. Rows that share an id
-    count each as a row. Vectors must have one length. Other columns are not read. Raises if
-    the audit fails even after all vectors were compared.
+    n_links counts the links that the vector's own search found. Vectors that are null, zero,
+    or hold null or non-finite components link with nothing, as do rows without id and vectors
+    of another length than most have (of equally frequent lengths: than the smallest); each is
+    its own component. Equal vectors link. Rows that share an id count each as a row. Other
+    columns are not read. Raises if the audit fails even where every shard holds all vectors.
     """
     column = F.col(f"`{vector_col}`")
     table = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), column.alias("v"))
     good = table.where(F.col("id").isNotNull() & usable(F.col("v")))
+    lengths = good.groupBy(F.size("v").alias("length")).count().orderBy(F.col("count").desc(), "length").first()
+    length = lengths["length"] if lengths else 0
+    good = good.where(F.size("v") == length)
     classes = checkpointed(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v"))
     n = classes.count()
     links = None
     if n:
         centres, recalls = _centres(classes, n, shard, threshold), {}
         for width in _widths(overlap, len(centres)):
-            links = _linked(classes, centres, width, threshold, limit, block) if width else _linked(classes, centres[:1], 1, threshold, 0, block)
+            links = _linked(classes, centres, width, threshold, part)
             recalls[width] = audit(classes, links, threshold, AUDIT_QUERIES)
             if recalls[width] >= min_recall:
                 break
@@ -353,7 +369,7 @@ def near_duplicates(
         F.coalesce("component", "rep").alias("component_id"),
     )
     of_rows = good.join(of_class, "v").select("id", "n_links", "component_id").distinct()
-    out = rows.select(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").cast("long").alias("id"), usable(column).alias("ok")).join(of_rows, "id", "left")
+    out = rows.select(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(usable(column) & (F.size(column) == length), F.lit(False)).alias("ok")).join(of_rows, "id", "left")
     n_links = F.when(F.col("ok"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
     component = F.when(F.col("ok"), F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(

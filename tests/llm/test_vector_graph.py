@@ -24,15 +24,67 @@ def brute(ids, vectors, threshold=0.95):
         low = new
 
 
-def test_recall_on_the_table(spark):
+def check_recall(got, ids, vectors, share=0.9):
+    n, low = brute(ids, vectors)
+    assert n.sum() > 0
+    found = np.array([got[i].n_links for i in ids])
+    assert (found <= n).all() and found.sum() >= share * n.sum()
+    assert all(got[i].component_id >= c for i, c in zip(ids, low))
+    assert all(r.kept == (r.component_id == r.vec_id) for r in got.values())
+    return n, low
+
+
+def test_query_on_the_table(spark):
+    """The table's own vectors hold no link (their largest cosine is below the threshold)."""
     rows = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").orderBy("vec_id").collect()
     n, low = brute([r.vec_id for r in rows], [r.embedding for r in rows])
     got = {r.vec_id: r for r in queries.op10_vector_graph(spark, SF_CHECK).collect()}
-    assert len(got) == len(rows)
-    found = np.array([got[r.vec_id].n_links for r in rows])
-    assert (found <= n).all() and found.sum() >= 0.9 * n.sum()
-    assert all(got[r.vec_id].component_id >= c for r, c in zip(rows, low))
-    assert all(r.kept == (r.component_id == r.vec_id) for r in got.values())
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {r.vec_id: (k, c) for r, k, c in zip(rows, n, low)}
+
+
+def test_recall_on_the_table_with_near_copies(spark, tmp_path):
+    """Every fourth vector of the table comes again with noise, some several times."""
+    rows = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").orderBy("vec_id").collect()
+    rnd = np.random.RandomState(2)
+    x = np.array([r.embedding for r in rows])
+    scale = np.sqrt((x * x).sum(axis=1, keepdims=True) / x.shape[1])
+    more = [x[i] + scale[i] * rnd.uniform(0.1, 0.4) * rnd.randn(x.shape[1]) for i in range(0, len(x), 4) for _ in range(1 + i % 3)]
+    vectors = np.concatenate([x, more]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in queries.op10_vector_graph(spark, str(tmp_path)).collect()}
+    check_recall(got, list(range(len(vectors))), vectors, 0.97)
+
+
+def test_narrow_cone(spark):
+    """Vectors of a mean cosine of 0.85: no two link but the planted ones, and the cone keeps
+    its centres."""
+    rnd = np.random.RandomState(6)
+    d = 48
+    axis = np.zeros(d)
+    axis[0] = np.sqrt(0.85 / 0.15)
+    x = axis + rnd.randn(3000, d) / np.sqrt(d)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    assert abs((unit[:500] @ unit[:500].T).mean() - 0.85) < 0.02
+    x = np.concatenate([x, x[:200] + 0.05 * rnd.randn(200, d)]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    classes = frame.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("v"))
+    assert len(vector_graph._centres(classes, len(x), 100, 0.95)) > 20
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(frame, shard=100).collect()}
+    check_recall(got, list(range(len(x))), x)
+
+
+def test_links_are_found_across_shards(spark):
+    """A vector whose neighbour is in none of the parts of its home shard finds it through the
+    united lists."""
+    rnd = np.random.RandomState(13)
+    vectors = np.concatenate([[[1, 0.9, 0]] + 0.02 * rnd.randn(4, 3), [[1, 0, 0.9]] + 0.1 * rnd.randn(60, 3)]).astype(np.float32)
+    n, _ = brute(range(64), vectors)
+    frame = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)], "rep long, copies long, v array<float>")
+    for part in (10, 1000):
+        links = vector_graph._linked(frame, np.eye(3), 2, 0.95, part).groupBy("u").agg(F.sum("n").alias("n")).where("n > 0")
+        found = {r.u: r.n for r in links.collect()}
+        assert all(found[i] <= n[i] for i in found) and sum(found.values()) >= 0.95 * n.sum()
 
 
 def test_dense_groups_and_slices(spark, monkeypatch):
@@ -87,19 +139,10 @@ def test_audit_sees_links_that_few_vectors_have(spark):
     assert vector_graph.audit(rows, links, 0.95, 10) <= 0.4
 
 
-def test_a_pair_missed_by_its_first_shard_counts(spark, monkeypatch):
-    rnd = np.random.RandomState(13)
-    vectors = np.concatenate([[[1, 0.9, 0]] + 0.02 * rnd.randn(2, 3), [[1, 0, 0.9]] + 0.1 * rnd.randn(60, 3)]).astype(np.float32)
-    n, _ = brute(range(62), vectors)
-    rows = [(i, 1, v.tolist()) for i, v in enumerate(vectors)]
-    frame = spark.createDataFrame(rows, "rep long, copies long, v array<float>")
-
-    def blind_in_the_first(x, links, threshold):
-        return (x @ x.T >= threshold) & (len(x) < 62)  # shard 0 holds all, 1 the pair, 2 the others
-
-    monkeypatch.setattr(vector_graph, "search_in_range", blind_in_the_first)
-    links = vector_graph._linked(frame, np.eye(3), 2, 0.95).groupBy("u").agg(F.sum("n").alias("n"))
-    assert {r.u: r.n for r in links.collect()} == {i: k for i, k in enumerate(n) if k}
+def test_lengths_that_differ(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0]), (4, [1.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_graph.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
 
 
 def near_copies(size, others):
@@ -109,12 +152,23 @@ def near_copies(size, others):
     return np.concatenate([near, rnd.randn(others, 64)]).astype(np.float32)
 
 
-def test_pairs_of_a_large_shard_all_meet(spark):
+def test_parts_of_a_large_shard_are_all_searched(spark):
     vectors = near_copies(500, 100)
-    n, low = brute(range(600), vectors)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
-    got = vector_graph.near_duplicates(frame, shard=50, limit=100, block=64).collect()
-    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], low[i]) for i in range(600)}
-    rows = frame.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("v"))
-    links = vector_graph._linked(rows, vectors[:1].astype(float), 1, 0.95, 0, 64).groupBy("u").agg(F.sum("n").alias("n"))
-    assert {r.u: r.n for r in links.collect()} == {i: k for i, k in enumerate(n) if k}
+    for part in (64, 2500):
+        got = {r.vec_id: r for r in vector_graph.near_duplicates(frame, shard=50, part=part).collect()}
+        check_recall(got, list(range(600)), vectors, 0.97)
+
+
+def test_search_scores_few_of_many():
+    """Over scattered groups, a search sees a small share of the graph."""
+    rnd = np.random.RandomState(4)
+    centres = rnd.randn(200, 24)
+    x = np.concatenate([c + 0.1 * rnd.randn(15, 24) for c in centres])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    bounds, neighbours = vector_graph._undirected(vector_graph.pruned_neighbours(x))
+    starts = vector_graph.medoids(x, bounds, neighbours)
+    true = x[:15] @ x.T >= 0.95
+    nodes, cosines = vector_graph.search_in_range(x, bounds, neighbours, starts, x[:15], 0.95)
+    assert (cosines >= 0.95).sum() >= 0.95 * true.sum()
+    assert len(nodes) < 0.6 * len(x)
