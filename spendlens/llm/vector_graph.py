@@ -4,7 +4,7 @@ Vectors go to their nearest few cluster centres, so shards overlap. Each shard b
 graph: near candidates, pruned so that a kept neighbour covers those close to it. The
 adjacency lists of a vector from all its shards are united. The search for a vector runs in
 the shard of its nearest centre, on the united lists: over the shard's members and over
-those neighbours of its vectors that lie in other shards. It goes greedily from the medoid
+those near neighbours of its vectors that lie in other shards. It goes greedily from the medoid
 of every connected part towards the vector, then outwards from all vectors within the
 threshold less a slack until none is new. What it has found is verified by cosine in double
 precision and is the result; nothing else is compared. Similar vectors search together: a
@@ -251,17 +251,25 @@ def _linked(vectors: DataFrame, centres: np.ndarray, overlap: int, threshold: fl
     def build(table):
         rep, x = table.column("rep").to_numpy(), _unit(_matrix(table.column("v")))
         links = pruned_neighbours(x)
-        return pa.table({"rep": rep, "links": pa.array([rep[row[row >= 0]] for row in links], pa.list_(pa.int64()))})
-
-    graph = members.select("shard", "part", "rep", "v").groupBy("shard", "part").applyInArrow(build, "rep long, links array<long>")
-    union = checkpointed(graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")))
+        near = np.full(links.shape, -1, links.dtype)  # those that a range search goes on from
+        a, k = np.nonzero(links >= 0)
+        within = np.einsum("id,id->i", x[a], x[links[a, k]]) >= threshold - SLACK
+        near[a[within], k[within]] = links[a[within], k[within]]
+        lists = {n: pa.array([rep[row[row >= 0]] for row in m], pa.list_(pa.int64())) for n, m in (("links", links), ("near", near))}
+        return pa.table({"rep": rep, **lists})
+
+    graph = members.select("shard", "part", "rep", "v").groupBy("shard", "part")
+    graph = graph.applyInArrow(build, "rep long, links array<long>, near array<long>")
+    both = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("links", "near")]
+    union = checkpointed(graph.groupBy("rep").agg(*both))
 
     # What searches: every vector, in all parts of its home shard. What is searched: the part's
-    # members, and with the first part the neighbours from elsewhere.
+    # members, and with the first part those neighbours from elsewhere that are within range
+    # less the slack of a vector that searches (a search does not go on from others).
     known = placed.join(union, "rep", "left")
-    queries = known.select("rep", "v", "links", F.col("home").alias("shard")).join(layout, "shard")
+    queries = known.select("rep", "v", "near", F.col("home").alias("shard")).join(layout, "shard")
     queries = queries.withColumn("slice", F.pmod(F.xxhash64("rep", F.lit("slice")), F.col("slices")).cast("int"))
-    outside = queries.select("shard", "slice", F.explode("links").alias("rep")).distinct()
+    outside = queries.select("shard", "slice", F.explode("near").alias("rep")).distinct()
     outside = outside.join(known, "rep").where(~F.array_contains("shards", F.col("shard")))
     columns = ["shard", "part", "slice", "rep", "copies", "v", "links"]
     nodes = members.where(F.col("slices").isNotNull()).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
