@@ -140,3 +140,15 @@ def test_comparison_overlap_bounds(spark):
     assert all(0 <= r["top_n_overlap"] <= 20 for r in rows)
     split = folds.train_test_split(frame)
     assert split.where(F.col("split") == "test").count() + split.where(F.col("split") == "train").count() == frame.count()
+
+
+def test_minimal_study(spark):
+    frame = _frame(spark)
+    study = pipeline.minimal_study(frame, QUICK, k=3, top_n=20)
+    cv = {r["fold"]: r["rmse"] for r in study["cv"].collect()}
+    want = {r["fold"]: r["rmse"] for r in model.cv_rmse(frame, QUICK, k=3).collect()}
+    assert cv.keys() == want.keys() and all(abs(cv[i] / want[i] - 1) < 0.01 for i in cv)
+    assert 0 <= study["overlap"].first()["overlap"] <= 20
+    assert study["shap_values"].count() == frame.count() * len(FEATURES)
+    assert study["importance"].count() == len(FEATURES)
+    assert [r[KEY] for r in study["sample"].collect()] == sorted(r[KEY] for r in frame.select(KEY).collect())[:10]

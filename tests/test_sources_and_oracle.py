@@ -81,5 +81,5 @@ def test_every_query_has_a_check():
     assert set(catalog.QUERIES) - set(catalog.ORACLE) <= {
         "fit_linear", "fit_forest", "fit_boosted", "fit_boosted_deep", "score_customers", "model_comparison",
         "cv_rmse", "grid_search", "out_of_fold", "out_of_fold_overlap", "shap_values", "shap_importance",
-        "shap_dependence",
+        "shap_dependence", "tuned_top_customers", "minimal_pipeline",
     }
