@@ -928,6 +928,7 @@ def q_tuned_top_customers(spark, sf_dir):
     table = tuning.tuning_table(frame, BOOSTED, store)
     if not table.where("is_best").count():
         tuning.tune(frame, BOOSTED, store, max_shapes=1)
+        table = tuning.tuning_table(frame, BOOSTED, store)  # a table lists the files it was made with
     return tuning.top_customers(model.fit(frame, tuning.best_preset(table, BOOSTED)), frame)
 
 
