@@ -907,7 +907,7 @@ def q_model_comparison(spark, sf_dir):
 
 @register("cv_rmse")
 def q_cv_rmse(spark, sf_dir):
-    return model.cv_rmse(_prepared(spark, sf_dir), BOOSTED)
+    return model.cv_rmse(_prepared(spark, sf_dir), PRESETS["forest"])
 
 
 @register("grid_search")
@@ -940,7 +940,7 @@ def q_out_of_fold(spark, sf_dir):
 @register("out_of_fold_overlap")
 def q_out_of_fold_overlap(spark, sf_dir):
     """Per fold, the realised top 100 against the top 100 of held-out predictions."""
-    scored = model.out_of_fold(_prepared(spark, sf_dir), BOOSTED)
+    scored = model.out_of_fold(_prepared(spark, sf_dir), PRESETS["forest"])
     return rank.top_n_overlap_by_fold(scored, "actual_cltv", "pred_cltv", "fold", 100, KEY)
 
 

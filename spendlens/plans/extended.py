@@ -251,8 +251,8 @@ def q_grid_rows(spark, sf_dir):
 
 @register("minimal_pipeline")
 def q_minimal_pipeline(spark, sf_dir):
-    """The minimal pipeline's results as rows (section, name, value)."""
-    study = pipeline.minimal_study(C._prepared(spark, sf_dir), C.BOOSTED)
+    """The minimal pipeline's results as rows (section, name, value), for the forest."""
+    study = pipeline.minimal_study(C._prepared(spark, sf_dir), C.PRESETS["forest"])
     parts = [
         study["cv"].select(F.lit("cv_rmse").alias("section"), F.col("fold").cast("string").alias("name"), F.col("rmse").alias("value")),
         study["overlap"].select(F.lit("top_100_overlap"), F.lit("all"), F.col("overlap").cast("double")),
