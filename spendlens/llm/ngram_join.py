@@ -6,8 +6,9 @@ reaches the threshold, given the matches so far (uniform prior), falls below a t
 What is left is verified exactly on the n-gram sets.
 
 Texts with equal n-gram sets form a class that takes part once. Pairs are never emitted:
-candidates meet in blocks of bounded size, which return link counts and, for the groups,
-one edge per text to the smallest text it is connected to there.
+candidates meet in blocks of bounded size, where the pairs that share a band are compared;
+a pair of blocks returns link counts and, for the groups, one edge per text to the smallest
+text it is connected to there.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 STEP = 16  # MinHash values compared at a time
 TOLERANCE = 1e-6
 BLOCK = 256  # texts of one block; two blocks meet in a task
-GROUP = 512  # texts that a task takes at once, about
+BLOCK_BYTES = 8 << 20  # and bytes of one block, about
+TASK_BYTES = 2 << 20  # bytes of text that a task takes at once, about; one pair of blocks at least
 
 _code = np.arange(256)
 _is_space = (_code == 32) | ((_code >= 9) & (_code <= 13))
@@ -88,6 +90,15 @@ def min_hashes(sets: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def band_keys(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(texts, bands) uint64 values; those of different bands differ."""
+    values = signs.astype(np.uint64).reshape(len(signs), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), values.shape[:2])
+    for k in range(rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
+    return key
+
+
 def set_ids(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two order-free 64-bit names of each row's set."""
     a = np.add.reduceat(mix(sets + np.uint64(1)), bounds[:-1])
@@ -96,11 +107,11 @@ def set_ids(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, n_gram: int, bands: int, rows: int) -> DataFrame:
-    """(id, h, s1, s2, bands array<long>) of every row with an id and at least one word; h is
-    a hash of the text, which tells rows that share an id apart."""
+    """(id, h, size, s1, s2, bands array<long>) of every row with an id and at least one word;
+    h is a hash of the text, which tells rows that share an id apart, size its bytes."""
     bounded_batches(docs)
     text = F.col(f"`{text_col}`").cast("string")
-    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"))
     frame = frame.where(F.col("id").isNotNull() & (F.octet_length("text") > 0))
 
     def run(batches):
@@ -112,25 +123,23 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, n_gram: int, bands:
                 if not len(full):
                     continue
                 bounds = np.append(bounds[full], len(sets))
-                values = min_hashes(sets, bounds, bands * rows).astype(np.uint64).reshape(len(full), bands, rows)
-                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), values.shape[:2])
-                for k in range(rows):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
+                key = band_keys(min_hashes(sets, bounds, bands * rows), bands, rows)
                 s1, s2 = set_ids(sets, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
                         batch.column(2).slice(lo, hi - lo).take(pa.array(full)),
+                        batch.column(3).slice(lo, hi - lo).take(pa.array(full)),
                         pa.array(s1),
                         pa.array(s2),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64))
                         ),
                     ],
-                    ["id", "h", "s1", "s2", "bands"],
+                    ["id", "h", "size", "s1", "s2", "bands"],
                 )
 
-    return frame.mapInArrow(run, "id long, h long, s1 long, s2 long, bands array<long>")
+    return frame.mapInArrow(run, "id long, h long, size int, s1 long, s2 long, bands array<long>")
 
 
 def least_matches(count: int, step: int, threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -151,11 +160,17 @@ def least_matches(count: int, step: int, threshold: float, tolerance: float) ->
     return out
 
 
-def block_links(sets, bounds, signs, left, right, rules, threshold: Fraction) -> np.ndarray:
-    """(left, right) boolean matrix of the pairs that reach the threshold."""
-    i, j = np.divmod(np.arange(len(left) * len(right)), len(right))
-    if left is right:
-        i, j = i[i < j], j[i < j]
+def band_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs left[i], right[j] that share a band value; i < j within one block."""
+    share = np.zeros((len(left), len(right)), bool)
+    for band in keys.T:
+        share |= band[left][:, None] == band[right]
+    return np.nonzero(np.triu(share, 1) if left is right else share)
+
+
+def block_links(sets, bounds, signs, keys, left, right, rules, threshold: Fraction) -> np.ndarray:
+    """(left, right) boolean matrix of the pairs that share a band and reach the threshold."""
+    i, j = band_pairs(keys, left, right)
     matches, done = np.zeros(len(i), np.int32), 0
     for n, least in rules:
         matches += (signs[left[i], done:n] == signs[right[j], done:n]).sum(axis=1, dtype=np.int32)
@@ -209,6 +224,31 @@ def _smallest_reached(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return low
 
 
+def candidate_blocks(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Where texts meet that share a band value: (s1, rep, copies, size, block) of every text
+    that shares one, and the pairs of blocks (lo, hi), lo <= hi, that hold such texts.
+
+    A text's block is the most frequent of its band values; a value that more than ``block``
+    texts (or ``BLOCK_BYTES``) have as theirs is split by hash. Two blocks meet only where a
+    text of the one shares a value with a text of the other, so a chain of texts, each like
+    the next, meets link by link. Every text has one block: a pair meets once.
+    """
+    keys = classes.select("s1", F.explode("bands").alias("key"))
+    often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpointed(keys.join(often, "key"))
+    homes = shared.groupBy("s1").agg(F.max(F.struct("n", "key"))["key"].alias("home"))
+    homes = homes.join(classes.select("s1", "rep", "copies", "size"), "s1")
+    parts = homes.groupBy("home").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
+    parts = parts.select("home", F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / BLOCK_BYTES)).cast("long").alias("nb"))
+    part = F.pmod(F.xxhash64("s1"), F.greatest("nb", F.lit(1)))
+    members = homes.join(parts, "home").select("s1", "rep", "copies", "size", F.xxhash64("home", part).alias("block"))
+    members = checkpointed(members)
+    stand = checkpointed(shared.join(members.select("s1", "block"), "s1").select("key", "block").distinct())
+    across = stand.select("key", F.col("block").alias("lo")).join(stand.select("key", F.col("block").alias("hi")), "key").where("lo < hi")
+    within = members.groupBy("block").agg(F.count("*").alias("m")).where("m > 1").select(F.col("block").alias("lo"), F.col("block").alias("hi"))
+    return members, checkpointed(across.select("lo", "hi").distinct().unionAll(within))
+
+
 def similar_groups(
     docs: DataFrame,
     *,
@@ -238,50 +278,38 @@ def similar_groups(
     found = checkpointed(sketches(docs, id_col=id_col, text_col=text_col, n_gram=n_gram, bands=bands, rows=rows))
     classes = checkpointed(
         found.groupBy("s1", "s2").agg(
-            F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")
+            F.min(F.struct("id", "h")).alias("first"),
+            F.count("*").alias("copies"),
+            F.max("size").cast("long").alias("size"),
+            F.min_by("bands", "id").alias("bands"),
         )
     ).withColumn("rep", F.col("first.id"))
-    # A class is known by s1 from here on. Texts that share a band value: an edge to the least.
-    keys = classes.select("s1", F.explode("bands").alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("s1").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    edges = keys.join(firsts, "key").where("s1 <> v").select(F.col("s1").alias("u"), "v").distinct()
-    candidate = connected_components(edges)
-    members = candidate.select(F.col("u").alias("s1"), F.col("v").alias("c")).unionAll(
-        candidate.select(F.col("v").alias("s1"), F.col("v").alias("c")).distinct()
-    )
-    sizes = candidate.groupBy(F.col("v").alias("c")).agg((F.count("*") + 1).alias("m"))
-    blocks = (
-        members.join(sizes, "c")
-        .withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("s1"), F.col("nb")).cast("int"))
-        .join(classes.select("rep", "s1", "copies"), "s1")
-    )
-    blocks = checkpointed(blocks.select("rep", "s1", "copies", "c", "nb", "own"))
-    total = blocks.agg(F.sum("nb")).first()[0] or 0
-    tasks = max(1, -(-total // GROUP))
+    # A class is known by s1 from here on.
+    members, pairs = candidate_blocks(classes, block)
+    total = members.join(pairs.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block")), "block").agg(F.sum("size")).first()[0]
+    tasks = max(1, -(-(total or 0) // TASK_BYTES))
+    sent = members.join(pairs.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi")))), "block")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text"))
     met = (
-        blocks.join(texts, "rep")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
-        .withColumn("t", F.pmod(F.xxhash64("c", "lo", "hi"), F.lit(tasks)).cast("int"))
-        .select("t", "c", "lo", "hi", "own", "s1", "copies", "text")
+        sent.join(texts, "rep")
+        .withColumn("t", F.pmod(F.xxhash64("lo", "hi"), F.lit(tasks)).cast("int"))
+        .select("t", "lo", "hi", "block", "s1", "copies", "text")
     )
     rules = least_matches(count, STEP, float(threshold), tolerance)
 
     def verify(table):
         data, offsets = column_bytes(table.column("text"))
         sets, bounds = shingles(data, offsets, n_gram)
-        c, lo, hi, own, s1, copies = (table.column(x).to_numpy() for x in ("c", "lo", "hi", "own", "s1", "copies"))
+        lo, hi, own, s1, copies = (table.column(x).to_numpy() for x in ("lo", "hi", "block", "s1", "copies"))
         full = np.nonzero(np.diff(bounds) > 0)[0]  # none is empty, unless rows share an id
         bounds = np.append(bounds[full], len(sets))
         good = set_ids(sets, bounds)[0] == s1[full] if len(full) else np.zeros(0, bool)
         signs = min_hashes(sets, bounds, count) if len(full) else np.zeros((0, count), np.uint32)
-        c, lo, hi, own, s1, copies = (x[full] for x in (c, lo, hi, own, s1, copies))
-        order = np.lexsort((s1, hi, lo, c))
+        keys = band_keys(signs, bands, rows)
+        lo, hi, own, s1, copies = (x[full] for x in (lo, hi, own, s1, copies))
+        order = np.lexsort((s1, hi, lo))
         order = order[good[order]]
-        key = np.stack([c, lo, hi])[:, order]
+        key = np.stack([lo, hi])[:, order]
         cut = np.append(0, np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1) if len(order) else np.zeros(0, int)
         out = [[], [], []]
         for a, z in zip(cut, np.append(cut[1:], len(order))):
@@ -289,12 +317,12 @@ def similar_groups(
             once = np.append(True, s1[rows_[1:]] != s1[rows_[:-1]])  # a repeated row stands for its class once
             rows_ = rows_[once]
             if lo[rows_[0]] == hi[rows_[0]]:
-                linked = block_links(sets, bounds, signs, rows_, rows_, rules, threshold)
+                linked = block_links(sets, bounds, signs, keys, rows_, rows_, rules, threshold)
                 linked |= linked.T
             else:
                 first = own[rows_] == lo[rows_]
                 left, right = rows_[first], rows_[~first]
-                part = block_links(sets, bounds, signs, left, right, rules, threshold)
+                part = block_links(sets, bounds, signs, keys, left, right, rules, threshold)
                 rows_ = np.concatenate([left, right])
                 linked = np.zeros((len(rows_), len(rows_)), bool)
                 linked[: len(left), len(left) :] = part

@@ -130,3 +130,35 @@ def test_query(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").collect()
     assert [d.doc_id for d in docs] == list(range(len(docs)))
     check(queries.op1_ngram_join(spark, SF_SMALL).collect(), brute([d.text for d in docs]))
+
+
+def test_a_chain_meets_link_by_link(spark):
+    """Texts each like the next make one component, yet few of its pairs meet, each pair that
+    shares a band meets once, and only those are compared."""
+    rnd = random.Random(6)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(24_000)]
+    chain = [" ".join(words[k : k + 200]) for k in range(0, 23_800, 12)]
+    found = ngram_join.sketches(docs_frame(spark, chain), id_col="doc_id", text_col="text", n_gram=5, bands=32, rows=5).cache()
+    classes = found.select("s1", F.col("id").alias("rep"), F.lit(1).alias("copies"), "size", "bands")
+    members, pairs = (x.collect() for x in ngram_join.candidate_blocks(classes, 256))
+    bands = {r.s1: set(r.bands) for r in found.collect()}
+    holds = {}
+    for r in members:
+        holds.setdefault(r.block, []).append(r.s1)
+    meet = [tuple(sorted((a, b))) for p in pairs for a in holds[p.lo] for b in holds[p.hi] if (p.lo < p.hi) or a < b]
+    share = {(a, b) for a in bands for b in bands if a < b and bands[a] & bands[b]}
+    assert len(meet) == len(set(meet)) and share <= set(meet)
+    assert len(meet) < 4 * len(share) < len(chain) ** 2 / 20
+    got = ngram_join.similar_groups(docs_frame(spark, chain)).collect()
+    check(got, brute(chain))
+    assert len({r.component_id for r in got}) < 20
+
+
+def test_pairs_that_share_a_band():
+    import numpy as np
+
+    keys = np.random.default_rng(0).integers(0, 6, (40, 2)).astype(np.uint64)
+    left, right = np.arange(25), np.arange(25, 40)
+    for a, b in ((left, right), (left, left)):
+        want = {(i, j) for i in range(len(a)) for j in range(len(b)) if (keys[a[i]] == keys[b[j]]).any() and (a is not b or i < j)}
+        assert set(zip(*(x.tolist() for x in ngram_join.band_pairs(keys, a, b)))) == want
