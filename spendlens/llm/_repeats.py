@@ -15,7 +15,7 @@ anchor owns each window, where a record is sent and how windows are grouped by c
    group decides which places are repeats.
 6. Each batch merges the repeat spans into its texts.
 
-Nothing but row counts and (for one finder) splitters reaches the driver.
+Nothing but row counts and (for one finder) a bounded number of splitters reaches the driver.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from ._bytes import binary_array, bounded_batches, column_bytes, ragged, row_chu
 
 BATCH_BYTES = 4 << 20
 BLOCK_RECORDS = 1 << 14  # records whose units are laid out at once
+SLICE_BATCHES = 64  # batches whose fingerprints one slice holds, at most
+BROADCAST_ROWS = 1_000_000  # of two longs each
 NO_ID = np.iinfo(np.int64).max  # rows without id count as later than all others
 
 
@@ -105,6 +107,20 @@ def _shared_slices(table):
     return pa.table({"g": table.column("g"), "b": table.column("b"), "bits": pa.array(bits, pa.binary())})
 
 
+def slice_count(batches: int, partitions: int) -> int:
+    """Slices of the hash range: as many as shuffle partitions, so that the messages of the
+    batches grow with their number and not its square; more only where a slice would hold the
+    fingerprints of over ``SLICE_BATCHES`` batches."""
+    return max(1, min(batches, max(partitions, -(-batches // SLICE_BATCHES))))
+
+
+def slice_bounds(count: int) -> np.ndarray:
+    """First hash of each slice but the first."""
+    if count < 2:
+        return np.zeros(0, np.uint64)
+    return np.arange(1, count, dtype=np.uint64) * np.uint64((1 << 64) // count + 1)
+
+
 def dealt(docs: DataFrame, id_col: str, text_col: str, keep, batch_bytes: int) -> tuple[DataFrame, int]:
     """(rows with their batch number ``__g``, number of batches).
 
@@ -116,9 +132,11 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, keep, batch_bytes: int) -
     weights = checkpointed(weights)
     n = max(1, -(-(weights.agg(F.sum("n")).first()[0] or 0) // batch_bytes))
     large = weights.where(F.col("n") > batch_bytes).select("__h", F.ceil(F.col("n") / batch_bytes).cast("long").alias("__parts"))
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
     rows = docs.select(
         F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__h"), *[F.col(f"`{c}`") for c in keep]
-    ).join(F.broadcast(large), "__h", "left")
+    ).join(large, "__h", "left")
     part = F.pmod(F.xxhash64("__id"), F.coalesce("__parts", F.lit(1)))
     g = F.pmod(F.xxhash64("__h", part), F.lit(n)).cast("int").alias("__g")
     return rows.select(g, "__id", "__text", *[F.col(f"`{c}`") for c in keep]), n
@@ -129,10 +147,10 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
     bounded_batches(docs)
     keep = [c for c in keep]
     base, n = dealt(docs, id_col, text_col, keep, batch_bytes)
-    step = (1 << 64) // n + 1  # width of a slice of the hash range
+    n_slices = slice_count(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def slices(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(keys, (np.arange(1, n, dtype=object) * step).astype(np.uint64)) if n > 1 else np.zeros(0, np.int64)
+        return np.searchsorted(keys, slice_bounds(n_slices))
 
     def fingerprints(key, table):
         _, data, offsets, _ = _rows(table)

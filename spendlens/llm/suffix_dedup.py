@@ -2,9 +2,10 @@
 
 Suffixes are taken at content-determined anchors (in every 50-byte window the 24-byte
 string with the smallest hash), range-partitioned by sampled splitters of their leading
-tokens, and sorted within their bucket by multikey quicksort. A splitter never divides
-suffixes with equal leading tokens, so what is equal across a boundary is nothing; equal
-windows are neighbours in one bucket, where the smallest id decides which ones go.
+tokens, and sorted within their bucket by multikey quicksort. The splitters are bounded in
+number; past that, a range is dealt by a hash of the anchor into several buckets. Neither
+divides suffixes with equal leading tokens, so what is equal across a boundary is nothing;
+equal windows are neighbours in one bucket, where the smallest id decides which ones go.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WINDOW = 50
 LEAD = 24  # bytes of an anchor's leading tokens
 SEGMENT = 1 << 18  # windows handled at once
 SAMPLES_PER_BUCKET = 16
+MAX_RANGES = 4096  # of leading tokens; beyond, a range is dealt by anchor into several buckets
+SAMPLE_BYTES = 64 << 20  # text that splitters are drawn from, about, and 1/64 of it at most
 
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -70,11 +73,11 @@ class ByteFinder:
 
     dtype = np.dtype(np.uint8)
 
-    def __init__(self, window: int, splitters: list[bytes], names=("n_bytes", "spans", "kept")):
+    def __init__(self, window: int, splitters: list[bytes], names=("n_bytes", "spans", "kept"), parts: int = 1):
         self.fields = list(zip(names, ("bigint", "array<struct<start:bigint,end:bigint>>", "binary")))
         self.window = window
         self.lead = min(LEAD, window)
-        self.splitters = splitters
+        self.splitters, self.parts = splitters, parts
 
     def units(self, data, offsets):
         return data, offsets
@@ -95,7 +98,8 @@ class ByteFinder:
 
     def route(self, data, anchor, key):
         lead = data[anchor[:, None] + np.arange(self.lead)]
-        return np.searchsorted(np.array(self.splitters, f"S{self.lead}"), np.ascontiguousarray(lead).view(f"S{self.lead}").ravel(), "right")
+        at = np.searchsorted(np.array(self.splitters, f"S{self.lead}"), np.ascontiguousarray(lead).view(f"S{self.lead}").ravel(), "right")
+        return at * self.parts + (mix(key) % np.uint64(self.parts)).astype(np.int64)
 
     def group(self, data, starts):
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -110,14 +114,14 @@ class ByteFinder:
         return [pa.array(np.diff(offsets), pa.int64()), span_column(bounds, removed), kept_column(data, bounds, removed)]
 
 
-def sampled_splitters(docs: DataFrame, text_col: str, window: int, buckets: int) -> list[bytes]:
+def sampled_splitters(docs: DataFrame, text_col: str, window: int, buckets: int, total: int) -> list[bytes]:
     """Leading tokens that part the anchors into about ``buckets`` even ranges, from a sample
-    of at most a few anchors per bucket."""
+    of at most a few anchors per bucket; ``total``: bytes of all texts."""
     if buckets < 2:
         return []
     finder, want = ByteFinder(window, []), buckets * SAMPLES_PER_BUCKET
     some = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where(F.octet_length("text") >= window)
-    part = some.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0)
+    part = some.where(F.pmod(F.xxhash64("text"), F.lit(max(64, total // SAMPLE_BYTES))) == 0)
 
     def leads(batches):
         for batch in batches:
@@ -154,6 +158,8 @@ def remove_repeats(
     against each other; repeated rows give repeated rows, extra columns are passed only
     where ``keep`` names them. Very long texts are handled in segments.
     """
-    buckets = max(1, -(-3 * text_bytes(docs, text_col) // (2 * batch_bytes)))
-    finder = ByteFinder(window, sampled_splitters(docs, text_col, window, buckets), names)
+    total = text_bytes(docs, text_col)
+    buckets = max(1, -(-3 * total // (2 * batch_bytes)))
+    ranges = min(buckets, MAX_RANGES)
+    finder = ByteFinder(window, sampled_splitters(docs, text_col, window, ranges, total), names, -(-buckets // ranges))
     return mark_repeats(docs, finder, id_col=id_col, text_col=text_col, keep=keep, batch_bytes=batch_bytes)

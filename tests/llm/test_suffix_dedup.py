@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spendlens.llm import queries, suffix_dedup
+from spendlens.llm import _repeats, queries, suffix_dedup
 from tests.conftest import SF_SMALL
 from tests.llm.util import ODD_TEXTS, docs_frame
 
@@ -80,3 +81,24 @@ def test_query(spark):
         r = got[d.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (n, removed, spans)
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_messages_grow_with_the_batches():
+    counts = {n: _repeats.slice_count(n, 200) for n in (1, 50, 200, 7_500, 25_000_000)}
+    assert counts == {1: 1, 50: 50, 200: 200, 7_500: 200, 25_000_000: 390_625}
+    for n in (1, 2, 3, 200, 390_625):
+        bounds = _repeats.slice_bounds(n)
+        assert len(bounds) == n - 1 and (np.diff(bounds.astype(object)) > 0).all()
+        if n > 1:
+            width = (1 << 64) // n + 1
+            assert int(bounds[0]) == width and 0 < (1 << 64) - int(bounds[-1]) <= width
+
+
+def test_more_batches_and_buckets_than_slices_and_ranges(spark, monkeypatch):
+    """Slices fewer than batches, ranges dealt by anchor, and the join without broadcast."""
+    t = texts()
+    docs = docs_frame(spark, t).repartition(3)
+    monkeypatch.setattr(suffix_dedup, "MAX_RANGES", 3)
+    monkeypatch.setattr(_repeats, "BROADCAST_ROWS", -1)
+    assert sum(len(x or "") for x in t) / 1500 > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    check(suffix_dedup.remove_repeats(docs, batch_bytes=1500).collect(), brute(t), range(len(t)))
