@@ -20,7 +20,7 @@ from .rule_quality import labelled_sample
 BUCKETS = 1 << 16
 FOLDS = 3
 MAX_TRAIN_DOCS = 12_000
-MIN_DOCS, MIN_SHARE = 3, 0.005  # words of fewer training texts count for nothing
+MIN_DOCS = 2  # words of fewer training texts count for nothing, whatever the number of texts
 STEPS, RATE, PENALTY = 300, 0.03, 1e-3
 
 
@@ -34,8 +34,9 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[n
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sum of each row's values, in their order: the same wherever the row stands in a batch."""
+    n = len(bounds) - 1
+    return np.bincount(np.repeat(np.arange(n), np.diff(bounds)), values, n)
 
 
 def probability(model: dict, bag: np.ndarray, bounds: np.ndarray, earlier: np.ndarray) -> np.ndarray:
@@ -78,10 +79,12 @@ def fit(
     max_docs: int = MAX_TRAIN_DOCS,
     folds: int = FOLDS,
     buckets: int = BUCKETS,
+    min_docs: int = MIN_DOCS,
 ) -> dict:
     """Learn the chain over 0/1 columns ``categories`` of ``labels``, in their order, from at
     most about ``max_docs`` labelled documents. Labels with a null are left out; a category
-    with one value gets that value."""
+    with one value gets that value. A word has a weight if ``min_docs`` of these documents hold
+    it, a fixed number; the penalty keeps the weights of rare words small."""
     rows = labelled_sample(docs.select(id_col, text_col), labels, F.lit(True), categories, id_col, max_docs)
     fold = F.pmod(F.crc32(F.concat(F.lit("fold "), F.col(id_col).cast("string")).cast("binary")), F.lit(folds)).cast("int")
     rows = rows.select(text_col, fold.alias("__fold"), *[F.col(c).cast("double") for c in categories])
@@ -98,7 +101,7 @@ def fit(
     bags = table.column("__bag").combine_chunks()
     bag, sizes = bags.flatten().to_numpy(), bags.value_lengths().to_numpy()
     row = np.repeat(np.arange(len(sizes)), sizes)
-    often = np.bincount(bag, minlength=buckets)[bag] >= max(MIN_DOCS, MIN_SHARE * len(sizes))
+    often = np.bincount(bag, minlength=buckets)[bag] >= min_docs
     bag, row = bag[often], row[often]
     which = table.column("__fold").to_numpy()
     earlier, models = np.zeros((len(sizes), 0)), []

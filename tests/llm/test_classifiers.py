@@ -57,3 +57,65 @@ def test_odd_rows(spark):
     none = labels.limit(0)
     assert rule_quality.score(docs, rule_quality.fit(docs, none, F.lit(True))).first().score == 0.5
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none, ["toxic"])).collect() == []
+
+
+def test_chain_forward_pass_by_hand(spark):
+    """Every probability again in plain Python: the text's words, then the categories before."""
+    import math
+
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{SF_CHECK}/{t}.parquet") for t in ("documents", "labels"))
+    named = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(docs, named, ["low_quality", "toxic"])
+    assert any(chain["models"][1]["earlier"] != 0)
+    for r in toxicity.score(docs, chain, keep=("doc_id", "text")).limit(60).collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        bag, _ = toxicity.hashed_words(data, np.array([0, len(data)]), chain["buckets"])
+        p = []
+        for m in chain["models"]:
+            z = m["bias"] + sum(m["words"][b] for b in bag) + sum(w * x for w, x in zip(m["earlier"], p))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert abs(r.p_low_quality - p[0]) < 1e-9 and abs(r.p_toxic - p[1]) < 1e-9
+
+
+def test_one_fit_lowers_the_penalised_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, buckets = 400, 50
+    bags = [np.unique(rng.integers(0, buckets, 12)).astype(np.int32) for _ in range(n)]
+    bounds, bag = np.append(0, np.cumsum([len(b) for b in bags])), np.concatenate(bags)
+    y = np.array([float(3 in b) for b in bags])
+    earlier = rng.random((n, 1))
+    model = toxicity._fit_one(bag, bounds, earlier, y, buckets)
+
+    def loss(words, w, bias):
+        p = toxicity.probability({"words": words, "earlier": w, "bias": bias}, bag, bounds, earlier)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + toxicity.PENALTY / 2 * ((words**2).sum() + (w**2).sum() + bias**2)
+
+    best = loss(model["words"], model["earlier"], model["bias"])
+    assert best < 0.25 * loss(np.zeros(buckets), np.zeros(1), 0.0) and model["words"].argmax() == 3
+    said = toxicity.probability(model, bag, bounds, earlier) > 0.5  # the steps end before the optimum, but past this
+    assert (said == (y > 0)).all()
+
+
+def test_rare_toxic_words_have_weight(spark):
+    """A word of 8 toxic texts in 3,000: a share of the texts below any floor that grows with them."""
+    import random
+
+    rnd = random.Random(9)
+    texts, toxic = [], []
+    for i in range(3000):
+        w = [f"w{rnd.randrange(300)}" for _ in range(20)]
+        bad = "oftenbad" if i % 20 == 0 else "rarebad" if i < 160 and i % 20 == 10 else None
+        texts.append(" ".join(w + [bad] * bool(bad)))
+        toxic.append(int(bad is not None))
+    docs = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs, labels, ["toxic"])
+    new = docs_frame(spark, ["w1 w2 w3 rarebad w4", "w1 w2 w3 w4 w5"])
+    rare, clean = (r.p_toxic for r in toxicity.score(new, chain).orderBy("doc_id").collect())
+    assert rare > 3 * clean
+    repeated = toxicity.score(docs.limit(5).unionAll(docs.limit(5)), chain).collect()
+    assert len(repeated) == 10 and len({(r.doc_id, r.p_toxic) for r in repeated}) == 5
