@@ -31,6 +31,7 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 STEP = 16  # MinHash values compared at a time
 TOLERANCE = 1e-6
 BLOCK = 256  # texts of one block; two blocks meet in a task
+HOME_ROUNDS = 2
 BLOCK_BYTES = 8 << 20  # and bytes of one block, about
 TASK_BYTES = 2 << 20  # bytes of text that a task takes at once, about; one pair of blocks at least
 
@@ -228,16 +229,22 @@ def candidate_blocks(classes: DataFrame, block: int) -> tuple[DataFrame, DataFra
     """Where texts meet that share a band value: (s1, rep, copies, size, block) of every text
     that shares one, and the pairs of blocks (lo, hi), lo <= hi, that hold such texts.
 
-    A text's block is the most frequent of its band values; a value that more than ``block``
-    texts (or ``BLOCK_BYTES``) have as theirs is split by hash. Two blocks meet only where a
-    text of the one shares a value with a text of the other, so a chain of texts, each like
-    the next, meets link by link. Every text has one block: a pair meets once.
+    A text's home is the most frequent of its band values, then, ``HOME_ROUNDS`` times, the
+    greatest home among the texts it shares a value with: a group of near copies gets one home,
+    a long chain many. A home of more than ``block`` texts (or ``BLOCK_BYTES``) is split by
+    hash. Two blocks meet only where a text of the one shares a value with a text of the other,
+    so a chain of texts, each like the next, meets link by link. Every text has one block: a
+    pair meets once.
     """
     keys = classes.select("s1", F.explode("bands").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = checkpointed(keys.join(often, "key"))
-    homes = shared.groupBy("s1").agg(F.max(F.struct("n", "key"))["key"].alias("home"))
-    homes = homes.join(classes.select("s1", "rep", "copies", "size"), "s1")
+    homes = shared.groupBy("s1").agg(F.max(F.struct("n", "key")).alias("home"))
+    for _ in range(HOME_ROUNDS):
+        known = shared.select("s1", "key").join(homes, "s1")
+        best = known.groupBy("key").agg(F.max("home").alias("home"))
+        homes = checkpointed(shared.select("s1", "key").join(best, "key").groupBy("s1").agg(F.max("home").alias("home")))
+    homes = homes.select("s1", F.col("home.key").alias("home")).join(classes.select("s1", "rep", "copies", "size"), "s1")
     parts = homes.groupBy("home").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
     parts = parts.select("home", F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / BLOCK_BYTES)).cast("long").alias("nb"))
     part = F.pmod(F.xxhash64("s1"), F.greatest("nb", F.lit(1)))
