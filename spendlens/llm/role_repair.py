@@ -5,8 +5,9 @@ turn. Dynamic programming over the automaton of legal turns finds the cheapest r
 each conversation (merging a turn into the one before, relabelling it, inserting an empty
 turn), and the repaired sequence is rendered.
 
-Conversations are cut into parts of a fixed range of turn numbers, so none has to fit a
-task: each part first gives the cost between every entry and exit state, the parts of a
+Conversations are cut into parts of a fixed range of turn numbers, and a part of too many
+turns or bytes (equal turn numbers, long texts) is cut again by number, role and a hash of
+the text, so none has to fit a task: each part first gives the cost between every entry and exit state, the parts of a
 conversation are then joined by (min, +) products of these small tables, and each part is
 repaired for the states it got.
 """
@@ -17,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 PART_TURNS = 4096
-GROUP_ROWS = 20_000
+PART_BYTES = 4 << 20
+GROUP_ROWS, GROUP_BYTES = 20_000, 16 << 20  # of the turns that a task takes at once, about
+BROADCAST_ROWS = 100_000  # of four numbers each
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
@@ -134,6 +139,8 @@ def _render(texts: list[str], plan, first: bool, tail: tuple) -> tuple[str, int]
     return "".join(out), n
 
 
+KEY = ("part", "cut_turn", "cut_role", "piece")
+KEYS = "part int, cut_turn long, cut_role string, piece int"
 OUT = "part int, n_turns long, n_out long, cost long, n_merged long, n_relabelled long, n_inserted long, rendered string"
 
 
@@ -146,11 +153,13 @@ def format_chats(
     text_col: str = "text",
     part_turns: int = PART_TURNS,
 ) -> DataFrame:
-    """One row per conversation and part (part 0 only, unless turn numbers reach
-    ``part_turns``): conv_id, part, n_turns in, n_out, the repair's cost and counts, rendered.
+    """One row per conversation and part, however long the conversation: conv_id, part (from
+    0), n_turns in, n_out, the repair's cost and counts, rendered.
 
-    Turns are taken by number, then role, then text (nulls first); a null turn number counts
-    as the lowest. Role names ignore case and outer space; a null or unknown role may become
+    A part holds the turns of ``part_turns`` consecutive numbers; one of more than
+    ``part_turns`` turns or ``PART_BYTES`` has parts of its own for each turn number, role and
+    range of text hashes. Turns are taken by number, then role (nulls first), then a hash of
+    the text; a null turn number counts as the lowest. Role names ignore case and outer space; a null or unknown role may become
     any role at cost 1. A null text is empty. Repeated rows are turns like others. A turn
     without conv_id is a conversation of its own. The parts of a conversation, joined in
     order, are its rendering. Other columns are not read.
@@ -163,36 +172,59 @@ def format_chats(
     ).withColumn("part", F.greatest(F.lit(0), F.floor(F.coalesce("turn", F.lit(0)) / part_turns)).cast("int"))
     lone = rows.where(F.col("conv_id").isNull())
     rows = rows.where(F.col("conv_id").isNotNull())
-    groups = max(1, rows.count() // GROUP_ROWS)
-    dealt = rows.withColumn("t", F.pmod(F.xxhash64("conv_id", "part"), F.lit(groups)).cast("int"))
+    cells = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    cells = checkpointed(cells)
+    n_rows, n_bytes = cells.agg(F.sum("n"), F.sum("bytes")).first()
+    groups = max(1, (n_rows or 0) // GROUP_ROWS, (n_bytes or 0) // GROUP_BYTES)
+    slices = F.ceil(F.greatest(F.col("n") / part_turns, F.col("bytes") / PART_BYTES))
+    full = cells.select("conv_id", "part", slices.cast("int").alias("slices")).where("slices > 1")
+    if full.count() <= BROADCAST_ROWS:
+        full = F.broadcast(full)
+    # a part that is cut has its turn, role and slice in its key, others have none
+    cut = [F.when(F.col("slices").isNotNull(), F.col(c)).alias(f"cut_{c}") for c in ("turn", "role")]
+    share = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
+    piece = F.least(F.floor(share * F.col("slices")).cast("int"), F.col("slices") - 1).alias("piece")
+    dealt = rows.join(full, ["conv_id", "part"], "left").select("conv_id", *KEY[:1], *cut, piece, "turn", "role", "text", F.xxhash64("text").alias("h"))
+    task = F.pmod(F.xxhash64("conv_id", *KEY), F.lit(groups)).cast("int").alias("t")
+    dealt = dealt.select("*", task)
+
+    def ordered(key):
+        """Sortable form of a part's key."""
+        part, turn, role, piece = key
+        return part, turn is not None, turn or 0, role is not None, role or "", piece or 0
+
+    def keys_of(table):
+        return list(zip(*(table.column(c).to_pylist() for c in KEY)))
 
     def parts_of(table):
-        """Lists of (conv_id, part, role numbers, texts, raw roles), turns in order."""
-        table = table.sort_by([("conv_id", "ascending"), ("part", "ascending")])
-        conv, part = table.column("conv_id").to_pylist(), table.column("part").to_pylist()
-        turn, role, text = (table.column(c).to_pylist() for c in ("turn", "role", "text"))
-        i, n = 0, len(conv)
-        while i < n:
-            j = i
-            while j < n and conv[j] == conv[i] and part[j] == part[i]:
-                j += 1
-            order = sorted(range(i, j), key=lambda k: (turn[k] is not None, turn[k] or 0, role[k] is not None, role[k] or "", text[k]))
-            yield conv[i], part[i], [_role(role[k]) for k in order], [text[k] for k in order]
-            i = j
+        """(conv_id, part's key, role numbers, texts) of every part, turns in order."""
+        conv, keys = table.column("conv_id").to_pylist(), keys_of(table)
+        turn, role, text, h = (table.column(c).to_pylist() for c in ("turn", "role", "text", "h"))
+        by = {}
+        for k, name in enumerate(zip(conv, keys)):
+            by.setdefault(name, []).append(k)
+        for (c, key), at in by.items():
+            at.sort(key=lambda k: (turn[k] is not None, turn[k] or 0, role[k] is not None, role[k] or "", h[k], text[k]))
+            yield c, key, [_role(role[k]) for k in at], [text[k] for k in at]
+
+    def keyed(conv, keys):
+        cols = list(zip(*keys)) if keys else [()] * len(KEY)
+        kinds = (pa.int32(), pa.int64(), pa.string(), pa.int32())
+        return {"conv_id": pa.array(conv, pa.int64())} | {n: pa.array(v, k) for n, v, k in zip(KEY, cols, kinds)}
 
     def tables(table):
-        out = [(c, p, [x for s in range(4) for x in costs(roles, s)]) for c, p, roles, _ in parts_of(table)]
-        c, p, m = zip(*out) if out else ((), (), ())
-        return pa.table({"conv_id": pa.array(c, pa.int64()), "part": pa.array(p, pa.int32()), "m": pa.array(m, pa.list_(pa.int64()))})
+        out = [(c, key, [x for s in range(4) for x in costs(roles, s)]) for c, key, roles, _ in parts_of(table)]
+        c, key, m = zip(*out) if out else ((), (), ())
+        return pa.table(keyed(c, key) | {"m": pa.array(m, pa.list_(pa.int64()))})
 
     def join_parts(table):
-        """Entry and exit state of every part, and the turns that close the conversation."""
+        """Number, entry and exit state of every part, and the turns that close the conversation."""
         out = []
         by = {}
-        for c, p, m in zip(*(table.column(x).to_pylist() for x in ("conv_id", "part", "m"))):
-            by.setdefault(c, []).append((p, m))
+        for c, key, m in zip(table.column("conv_id").to_pylist(), keys_of(table), table.column("m").to_pylist()):
+            by.setdefault(c, []).append((key, m))
         for c, parts in by.items():
-            parts.sort()
+            parts.sort(key=lambda x: ordered(x[0]))
             now, back = [0, NEVER, NEVER, NEVER], []
             for _, m in parts:
                 step = [min((now[s] + m[4 * s + e], s) for s in range(4)) for e in range(4)]
@@ -201,11 +233,11 @@ def format_chats(
             _, state, tail = close(now)
             for k in range(len(parts) - 1, -1, -1):
                 entry = back[k][state]
-                out.append((c, parts[k][0], entry, state, k == 0, list(tail) if k == len(parts) - 1 else []))
+                out.append((c, parts[k][0], k, entry, state, list(tail) if k == len(parts) - 1 else []))
                 state = entry
-        cols = list(zip(*out)) if out else [()] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()))
-        return pa.table({n: pa.array(v, k) for n, v, k in zip(("conv_id", "part", "entry", "exit", "first", "tail"), cols, kinds)})
+        conv, key, *cols = zip(*out) if out else [()] * 6
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+        return pa.table(keyed(conv, key) | {n: pa.array(v, k) for n, v, k in zip(("number", "entry", "exit", "tail"), cols, kinds)})
 
     def finished(conv, part, roles, texts, entry, exit_, first, tail):
         cost, plan = repair(roles, entry, exit_)
@@ -223,11 +255,11 @@ def format_chats(
         return pa.table({n: pa.array(v, k) for n, v, k in zip(fields, cols, kinds)})
 
     def render(key, table, states):
-        at = {(r["conv_id"], r["part"]): r for r in states.to_pylist()}
+        at = dict(zip(zip(states.column("conv_id").to_pylist(), keys_of(states)), states.to_pylist()))
         out = []
-        for c, p, roles, texts in parts_of(table):
-            s = at[c, p]
-            out.append(finished(c, p, roles, texts, s["entry"], s["exit"], s["first"], tuple(s["tail"])))
+        for c, key, roles, texts in parts_of(table):
+            s = at[c, key]
+            out.append(finished(c, s["number"], roles, texts, s["entry"], s["exit"], s["number"] == 0, tuple(s["tail"])))
         return as_table(out)
 
     def alone(batches):
@@ -239,11 +271,11 @@ def format_chats(
                 out.append(finished(None, 0, roles, [text], START, state, True, tail))
             yield from as_table(out).to_batches()
 
-    first = dealt.groupBy("t").applyInArrow(tables, "conv_id long, part int, m array<long>")
+    first = dealt.groupBy("t").applyInArrow(tables, f"conv_id long, {KEYS}, m array<long>")
     few = first.withColumn("c", F.pmod(F.xxhash64("conv_id"), F.lit(groups)).cast("int"))
     states = few.groupBy("c").applyInArrow(
-        lambda table: join_parts(table), "conv_id long, part int, entry int, exit int, first boolean, tail array<int>"
+        lambda table: join_parts(table), f"conv_id long, {KEYS}, number int, entry int, exit int, tail array<int>"
     )
-    states = states.withColumn("t", F.pmod(F.xxhash64("conv_id", "part"), F.lit(groups)).cast("int"))
+    states = states.select("*", task)
     done = dealt.groupBy("t").cogroup(states.groupBy("t")).applyInArrow(render, f"conv_id long, {OUT}")
     return done.unionByName(lone.mapInArrow(alone, f"conv_id long, {OUT}"))

@@ -75,6 +75,36 @@ def test_odd_rows(spark):
     assert rr.format_chats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def joined(found):
+    """{conv_id: (cost, rendered)} over the parts in order, which count from 0."""
+    out = {}
+    for r in sorted(found, key=lambda r: (r.conv_id, r.part)):
+        cost, text, n = out.get(r.conv_id, (0, "", 0))
+        assert r.part == n
+        out[r.conv_id] = cost + r.cost, text + r.rendered, n + 1
+    return out
+
+
+def test_equal_numbers_and_long_texts_are_cut(spark, monkeypatch):
+    rnd = random.Random(5)
+    roles = ["user", "assistant", "system", None]
+    rows = [(1, rnd.choice([None, 7]), rnd.choice(roles), f"text{k}") for k in range(200)]
+    rows += [(2, t, rnd.choice(roles), f"text{t}" + "x" * 3000) for t in range(9)]
+    rows += [(3, 1, "user", "same")] * 20
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    whole = joined(rr.format_chats(frame).collect())
+    monkeypatch.setattr(rr, "PART_BYTES", 4000)
+    monkeypatch.setattr(rr, "GROUP_BYTES", 3000)
+    found = rr.format_chats(frame, part_turns=16).collect()
+    assert max(r.n_turns for r in found if r.conv_id == 1) < 40 and sum(r.conv_id == 2 for r in found) == 9
+    cut = joined(found)
+    for c in (1, 2, 3):
+        assert cut[c][0] == whole[c][0] and whole[c][2] == 1
+        legal(cut[c][1])
+        texts = [[x for x in t.split("\n") if x and not x.startswith("<|")] for t in (cut[c][1], whole[c][1])]
+        assert texts[0] == texts[1] and sorted(texts[0]) == sorted(r[3] for r in rows if r[0] == c)
+
+
 def test_query(spark):
     turns = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").orderBy("conv_id", "turn").collect()
     convs = {}
