@@ -152,3 +152,61 @@ def test_minimal_study(spark):
     assert study["shap_values"].count() == frame.count() * len(FEATURES)
     assert study["importance"].count() == len(FEATURES)
     assert [r[KEY] for r in study["sample"].collect()] == sorted(r[KEY] for r in frame.select(KEY).collect())[:10]
+
+
+def test_few_rows_have_few_partitions(spark):
+    """However many partitions the session shuffles into."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(100).select(F.col("id").cast("string").alias(KEY), *[F.rand(1).alias(f) for f in FEATURES])
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        frame = model.prepare(rows)
+        assert frame.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and frame.count() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shorter_preset_shares_the_longer_fit(spark, monkeypatch):
+    frame = _frame(spark).coalesce(1).checkpoint()  # sums in one order
+    fits, real = [], model.fit
+    monkeypatch.setattr(model, "fit", lambda df, preset, *rest: fits.append(preset) or real(df, preset, *rest))
+    long = model.Preset("boosted", {**QUICK.params, "maxIter": 6})
+    presets = {"long": long, "linear": model.Preset("linear"), "short": QUICK}
+    rows = {r["model"]: r for r in model.model_comparison(frame, presets, top_n=20).collect()}
+    assert list(rows) == list(presets) and len(fits) == 2 and QUICK not in fits
+    split = folds.train_test_split(frame)
+    for name in ("long", "short"):
+        alone = real(split.where("split = 'train'"), presets[name])
+        m = model.holdout_metrics(alone, split.where("split = 'test'")).first()
+        assert abs(rows[name]["rmse"] - m["rmse"]) < 1e-9 and abs(rows[name]["r2"] - m["r2"]) < 1e-9
+    cut = model.first_rounds(real(frame, long), 3)
+    assert np.allclose(model.final_model(cut).featureImportances.toArray(), model.final_model(real(frame, QUICK)).featureImportances.toArray())
+
+
+def test_first_point_is_refitted_beside_its_folds(spark, tmp_path, monkeypatch):
+    frame, store = _frame(spark).coalesce(1).checkpoint(), str(tmp_path / "fits")
+    fits, real = [], tuning.fit
+    monkeypatch.setattr(tuning, "fit", lambda df, preset, *rest: fits.append(preset.params) or real(df, preset, *rest))
+    best = tuning.tuned_model(frame, QUICK, store, GRID, k=3)
+    point = tuning.tuning_table(frame, QUICK, store, GRID, k=3).where("is_best").first()
+    assert len(fits) == 4 and all(p["maxIter"] == 4 for p in fits)  # three folds and all rows
+    assert model.final_model(best).getNumTrees == int(point["maxIter"])
+    params = {**QUICK.params, "maxIter": int(point["maxIter"]), "maxDepth": int(point["maxDepth"]), "subsamplingRate": float(point["subsamplingRate"])}
+    alone = {r[KEY]: r["prediction"] for r in model.score(real(frame, model.Preset("boosted", params)), frame).collect()}
+    assert all(abs(alone[r[KEY]] - r["prediction"]) < 1e-9 for r in model.score(best, frame).collect())
+    del fits[:]
+    tuning.tuned_model(frame, QUICK, store, GRID, k=3)
+    assert len(fits) == 1  # a scored point is only refitted
+
+
+def test_top_n_by_group_keeps_the_best_of_each_task(spark):
+    rows = [(str(i), i % 3, float(i * 7919 % 1000) if i % 11 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "customer_unique_id string, g int, s double").repartition(4)
+    best = rank.top_n_per_group(df, ["g"], "s", 15)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and "_salt" not in plan  # the best of each task alone are exchanged
+    order = lambda r: (r[2] is None, -(r[2] or 0.0), r[0])
+    want = {(r[0], g, i + 1) for g in range(3) for i, r in enumerate(sorted((r for r in rows if r[1] == g), key=order)[:15])}
+    assert {(r[0], r["g"], r["rank"]) for r in best.collect()} == want
+    salted = rank.top_n_per_group(df, ["g"], "s", 15, salts=4)
+    assert {(r[0], r["g"], r["rank"]) for r in salted.collect()} == want
