@@ -41,6 +41,13 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
 
 
+def _release() -> None:
+    """Give the memory that earlier groups and stages have freed back to the system: Spark
+    uses its Python workers again, and what each of them holds adds up on an executor."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def _rows(table: pa.Table):
     """(ids, bytes, offsets, order) of a batch in a reproducible row order: by id, rows of
     one id by the hash of their text."""
@@ -97,9 +104,10 @@ def _local_copies(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.
 
 def _shared_slices(table):
     """Step 3: for each batch's sorted fingerprints, a bit for those of several batches."""
+    _release()
     parts, values = _joined(table.column("keys"), np.uint64)
-    distinct, counts = np.unique(values, return_counts=True)
-    several = distinct[counts > 1]
+    values = np.sort(values)  # a batch holds a fingerprint once
+    several = np.unique(values[1:][values[1:] == values[:-1]])
     bits = []
     for p in parts:
         at = np.minimum(np.searchsorted(several, p), max(len(several) - 1, 0))
@@ -153,6 +161,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         return np.searchsorted(keys, slice_bounds(n_slices))
 
     def fingerprints(key, table):
+        _release()
         _, data, offsets, _ = _rows(table)
         found = finder.runs(*finder.units(data, offsets)[:2])
         keys = np.unique(found.key)
@@ -167,6 +176,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         )
 
     def records(key, table, replies):
+        _release()
         ids, data, offsets, _ = _rows(table)
         units, bounds = finder.units(data, offsets)[:2]
         found = finder.runs(units, bounds)
@@ -215,6 +225,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
 
     def compare(table):
         """Step 5, for all records of one destination."""
+        _release()
         sources = table.column("g").to_pylist()
         counts, count = _joined(table.column("count"), np.uint16)
         raw = [pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(table.column("units").to_pylist(), table.column("size").to_pylist())]
@@ -263,6 +274,7 @@ def mark_repeats(docs: DataFrame, finder, *, id_col: str, text_col: str, keep=()
         return pa.table({k: pa.array(v, pa.int32() if k == "g" else pa.binary()) for k, v in out.items()})
 
     def finish(key, table, spans):
+        _release()
         ids, data, offsets, order = _rows(table)
         units, bounds, *more = finder.units(data, offsets)
         _, row = _joined(spans.column("row"), np.uint32)
