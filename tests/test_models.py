@@ -210,3 +210,10 @@ def test_top_n_by_group_keeps_the_best_of_each_task(spark):
     assert {(r[0], r["g"], r["rank"]) for r in best.collect()} == want
     salted = rank.top_n_per_group(df, ["g"], "s", 15, salts=4)
     assert {(r[0], r["g"], r["rank"]) for r in salted.collect()} == want
+
+
+def test_sample_of_the_minimal_study_is_scored_alone(spark):
+    study = pipeline.minimal_study(_frame(spark), model.Preset("forest", {"numTrees": 2, "maxDepth": 2}), k=2, top_n=5)
+    plan = study["sample"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("UDF(") < plan.index("TakeOrderedAndProject")  # the ten rows come first
+    assert "UDF(" not in plan[plan.index("TakeOrderedAndProject") :]
