@@ -217,3 +217,13 @@ def test_sample_of_the_minimal_study_is_scored_alone(spark):
     plan = study["sample"]._jdf.queryExecution().executedPlan().toString()
     assert plan.index("UDF(") < plan.index("TakeOrderedAndProject")  # the ten rows come first
     assert "UDF(" not in plan[plan.index("TakeOrderedAndProject") :]
+
+
+def test_folds_are_fitted_on_few_partitions(spark, tmp_path, monkeypatch):
+    """However many partitions the rows are sorted into for the contiguous folds."""
+    frame = _frame(spark).coalesce(2).checkpoint()
+    laid, real = [], tuning.fit
+    monkeypatch.setattr(tuning, "fit", lambda df, *rest: laid.append((df.rdd.getNumPartitions(), df.count())) or real(df, *rest))
+    monkeypatch.setattr(tuning.FO, "kfold_contiguous", lambda df, k, real=folds.kfold_contiguous: real(df, k=k).repartition(12, KEY))
+    tuning.tune(frame, model.Preset("linear"), str(tmp_path / "fits"), {"regParam": [0.0]}, k=3)
+    assert sorted(p for p, _ in laid) == [2, 2, 2] and sum(n for _, n in laid) == 2 * frame.count()
